@@ -260,9 +260,9 @@ on_flows("o1_sort", sql(f"SELECT autoid, saddr, {BYTES} AS bytes FROM f ORDER BY
 on_flows("o2_top", sql("SELECT saddr, count(*) AS n FROM f GROUP BY saddr ORDER BY n DESC, saddr NULLS LAST LIMIT 20"), lambda f: f.groupBy("saddr").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("saddr")).limit(20))
 on_flows("o4_top_per_bin", sql(f"SELECT bin_us, saddr, bytes, rank FROM (SELECT *, row_number() OVER (PARTITION BY bin_us ORDER BY bytes DESC, saddr NULLS LAST) - 1 AS rank FROM (SELECT {DAY_BIN.format(s=86400000000)} AS bin_us, saddr, cast(sum({BYTES}) AS BIGINT) AS bytes FROM f WHERE stime_us IS NOT NULL GROUP BY 1, 2)) WHERE rank < 5"),
          lambda f: bins.time_bins(f, "1d", ["saddr"], "nomodify").select("bin_us", "saddr", (F.col("sbytes") + F.col("dbytes")).alias("bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("bin_us").orderBy(F.desc("bytes"), F.asc_nulls_last("saddr"))) - 1).where("rank < 5"))
-on_flows("w4_gaps", sql("SELECT saddr, daddr, proto, count(g) AS n, floor(sum(g) * 1000 + 0.5) AS intflowsum, min(g) AS intflowmin, max(g) AS intflowmax FROM g WHERE g IS NOT NULL GROUP BY saddr, daddr, proto",
+on_flows("w4_gaps", sql("SELECT saddr, daddr, proto, count(g) AS n, min(g) AS intflowmin, max(g) AS intflowmax FROM g WHERE g IS NOT NULL GROUP BY saddr, daddr, proto",
          "g AS (SELECT *, (stime_us - lag(coalesce(ltime_us, stime_us)) OVER (PARTITION BY saddr, daddr, proto ORDER BY stime_us, autoid)) / 1e6 AS g FROM f WHERE stime_us IS NOT NULL)"),
-         lambda f: inventory.gaps_between(f, KEY3).select(*KEY3, "n", F.floor(F.col("intflow") * F.col("n") * 1000 + 0.5).cast("double").alias("intflowsum"), "intflowmin", "intflowmax"))
+         lambda f: inventory.gaps_between(f, KEY3).select(*KEY3, "n", "intflowmin", "intflowmax"))
 on_flows("s15_record_range", sql("SELECT autoid FROM (SELECT autoid, row_number() OVER (ORDER BY autoid) AS r FROM f) WHERE r BETWEEN 101 AND 200"), lambda f: bins.count_bins(f.select("autoid", "sbytes", "dbytes"), 100).where("bin = 1").select("autoid"))
 on_flows("u_intersect", sql("SELECT saddr FROM f WHERE saddr IS NOT NULL INTERSECT SELECT daddr FROM f"), lambda f: f.where("saddr is not null").select("saddr").intersect(f.select("daddr")))
 
@@ -342,7 +342,7 @@ on_flows("x7_address_map", sql("SELECT a AS addr_i, CASE WHEN kept THEN a ELSE 1
          "e AS (SELECT saddr_i AS a, autoid * 2 AS t FROM f UNION ALL SELECT daddr_i, autoid * 2 + 1 FROM f)", "s AS (SELECT a, min(t) AS t, a >= 3758096384 OR a & 255 = 255 AS kept, a & 4294967040 AS net FROM e WHERE a IS NOT NULL GROUP BY a)",
          "n AS (SELECT net, row_number() OVER (ORDER BY min(t)) AS no FROM s WHERE NOT kept GROUP BY net)", "k AS (SELECT s.*, no, row_number() OVER (PARTITION BY s.net, kept ORDER BY t) AS h FROM s LEFT JOIN n USING (net))"), anonymize.address_map)
 SIGNATURES = [labels.Signature("greeting", 6, 443, "src", "68656C6C6F2D"), labels.Signature("control", 17, 53, "src", "3?00??07"), labels.Signature("short", 17, 53, "src", "0?")]
-on_flows("x9_signatures", sql("""SELECT autoid, CASE WHEN proto = 6 AND hex(suser) LIKE '68656C6C6F2D%' THEN 'greeting' WHEN proto = 17 AND hex(suser) LIKE '3_00__07%' THEN 'control'
+on_flows("x9_signatures", sql("""SELECT autoid, CASE WHEN proto = 6 AND hex(suser) LIKE '68656C6C6F2D%' THEN 'greeting' WHEN proto = 17 AND hex(suser) LIKE '3_00__07%' AND (coalesce(dport = 53, false) OR coalesce(sport = 53, false)) THEN 'control'
   WHEN proto = 17 AND hex(suser) LIKE '0_%' AND (coalesce(dport = 53, false) OR coalesce(sport = 53, false)) THEN 'short' END AS service FROM f"""), lambda f: labels.match_signatures(f, SIGNATURES).select("autoid", "service"))
 
 # --- management and event records
