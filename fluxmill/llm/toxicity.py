@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 BITS = 20
 MASK = (1 << BITS) - 1
 #: Bounds of the training sample: so many labelled documents, chosen by a hash of doc_id, none of them longer.
-MAX_TRAINING_DOCS = 20_000
-MAX_TRAINING_CHARS = 20_000
+MAX_TRAINING_DOCS = 12_000
+MAX_TRAINING_CHARS = 10_000
 #: Texts go through the features in pieces of about this length, cut at line ends, to bound a worker's memory.
 PIECE_CHARS = 300_000
 THRESHOLD = 0.2
