@@ -263,7 +263,7 @@ def worst_passages(texts: list[str | None], weights: np.ndarray, bias: float, co
                 size = 0
     if pieces:
         flush()
-    return 1 / (1 + np.exp(-np.clip(out, -700, 30)))
+    return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -700, 30))))
 
 
 def score(text: str | Column, model: Model) -> Column:
