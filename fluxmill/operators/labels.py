@@ -35,10 +35,10 @@ def text(label: Column) -> Column:
 
 def merged_labels(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per group the union of all labels, as JSON. Values are made distinct before they are gathered."""
-    pairs = df.select(*keys, F.explode(parsed("label")).alias("k", "v")).select(*keys, "k", F.explode("v").alias("v")).distinct()
-    per_key = pairs.groupBy(*keys, "k").agg(F.array_sort(F.collect_list("v")).alias("v"))
-    rows = per_key.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("m"))
-    return rows.select(*keys, F.to_json("m").alias("label"))
+    pairs = df.select(*keys, F.explode(parsed("label")).alias("_k", "_vs")).select(*keys, "_k", F.explode("_vs").alias("_v")).distinct()
+    per_key = pairs.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list("_v")).alias("_v"))
+    rows = per_key.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("_m"))
+    return rows.select(*keys, F.to_json("_m").alias("label"))
 
 
 def flow_labels(df: DataFrame, rules: list[tuple[str, str, bool]], name: str = "tags") -> DataFrame:

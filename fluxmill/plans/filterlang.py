@@ -207,7 +207,7 @@ class Parser:
             return self.protocol(q.proto)
         if not given:
             q = self.last
-        elif q.proto and q.kind is None and q.side is None and self.peek() in X.PROTOCOLS:
+        elif q.proto in LINKS and q.kind is None and q.side is None and self.peek() in X.PROTOCOLS:
             return all_of(self.protocol(q.proto), self.protocol(self.next().lower()))
         return self.value(q)
 

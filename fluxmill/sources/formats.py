@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,7 +110,8 @@ def read_text(spark: SparkSession, paths: list[str] | str, separator: str = ",",
 
 def read_json(spark: SparkSession, paths: list[str] | str, mapping: dict[str, str] | None = None, recursive: bool = False) -> DataFrame:
     """One JSON object a line. Only mapped keys are read, as text, so no pass is spent on finding a schema."""
-    mapping = mapping or {**{f.name: f.name for f in FLOW_SCHEMA}, **TITLES}
+    names = {f.name: f.name for f in FLOW_SCHEMA}
+    mapping = mapping or names | {k: v for k, v in TITLES.items() if k.lower() not in names}
     reader, at = _files(spark.read, paths, recursive)
     schema = T.StructType([T.StructField(k, T.StringType()) for k in mapping])
     return to_flows(reader.schema(schema).json(at), mapping)
@@ -165,8 +167,6 @@ def decode_export(data: bytes) -> Iterator[tuple]:
 
 def read_export(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
     """Files of router export packets as flow records in one direction; one task a file, decoded as a stream of rows."""
-    import pandas as pd
-
     reader, at = _files(spark.read.format("binaryFile"), paths, recursive)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,8 +257,6 @@ def decode_dns(data: bytes | None) -> dict | None:
 
 def dns(payload: str | Column) -> Column:
     """Payload bytes as a parsed DNS message (struct), null where it is none."""
-    import pandas as pd
-
     def run(messages: pd.Series) -> pd.DataFrame:
         rows = [decode_dns(None if m is None else bytes(m)) or {} for m in messages]
         return pd.DataFrame({c: [r.get(c) for r in rows] for c in ("id", "response", "rcode", "qname", "qtype", "answers")})
