@@ -53,7 +53,8 @@ def _port(c: Column) -> Column:
 def to_flows(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Any table as flow records: ``mapping`` takes its columns to fields, '+name' adds the value to the JSON label.
 
-    Values that do not parse become null, columns without mapping are left out, fields without column are null.
+    Values that do not parse become null, columns without mapping are left out, fields without column are null. Of
+    several columns for one field the first that is not null counts.
     """
     taken: dict[str, Column] = {}
     notes = []
@@ -63,7 +64,7 @@ def to_flows(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
         if target and target.startswith("+"):
             notes.append((target[1:], text))
         elif target:
-            taken[target] = text
+            taken[target] = F.coalesce(taken[target], text) if target in taken else text
     out: dict[str, Column] = {}
     for name in ("stime", "ltime", "rtime"):
         if name in taken:
