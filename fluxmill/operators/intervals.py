@@ -117,7 +117,7 @@ def _fold(bits: int):
 def _local(df: DataFrame, key: str, start: str, end: str, bits: int) -> DataFrame:
     """Periods of each (key, slice), in half units; edge marks the first and last one of a slice."""
     rows = df.select(F.col(key).cast("string").alias("key"), (F.col(start).cast("bigint") * 2).alias("a"), (F.col(end).cast("bigint") * 2 + 1).alias("b"))
-    rows = rows.where("key is not null and a is not null and b is not null and a < b")
+    rows = rows.where("key is not null and a is not null and b is not null and a < b").distinct()  # repeats end before they travel
     cut = F.explode(F.sequence(F.shiftright("a", bits), F.shiftright(F.col("b") - 1, bits)))
     low = F.shiftleft(F.col("slice"), bits)
     rows = rows.select("key", "a", "b", cut.alias("slice")).select(
