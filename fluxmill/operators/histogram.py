@@ -72,16 +72,34 @@ def histogram(df: DataFrame, spec: str) -> DataFrame:
     return counts.select("bin", low.alias("low"), "freq", (100.0 * F.col("freq") / total).alias("rel"), (100.0 * F.sum("freq").over(upto) / total).alias("cum"))
 
 
+def with_ranks(counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds to counts (keys, v, c) the total n of the key and upto, the number of its values up to v.
+
+    Values are cut into ranges by magnitude; totals of the ranges give the offsets, and a running sum is taken within a
+    range only, so a key with most of the values is shared by its ranges.
+    """
+    size = F.floor(F.log2(F.abs("v") + 1) * 16).cast("int")
+    counts = counts.withColumn("_part", F.when(F.col("v") < 0, -size - 1).otherwise(size))
+    sums = counts.groupBy(*keys, "_part").agg(F.sum("c").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")
+    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("n"))
+    match = F.col("_part") == F.col("_p")
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    within = F.sum("c").over(Window.partitionBy(*keys, "_part").orderBy("v"))
+    return counts.join(sums, match).select(*keys, "v", "c", "n", (within + F.col("_before")).alias("upto"))
+
+
 def order_statistics(df: DataFrame, field: str, keys: tuple[str, ...] = (), nozero: bool = False) -> DataFrame:
     """n, mean, stddev (population), min, max, median, p95 (the value at 0-based rank floor(0.95 n)) and mode per key.
 
-    Values reduce to counts first; ranks come from running totals of the counts, so no list of values is ever built.
+    Values reduce to counts first; ranks come from running totals of the counts, so no list of values is ever built. Null
+    keys are keys; a key without values has no row.
     The smallest of equally frequent values is the mode, and only values that occur more than twice are one.
     """
     v = F.expr(X.sql(field, set(df.columns))).cast("double")
     counts = df.select(*keys, v.alias("v")).where("v is not null" + (" and v <> 0" if nozero else "")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    rows = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    rows = with_ranks(counts, keys)
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))  # noqa: E731  value at a 0-based rank
     half_low, half_high = F.expr("(n - 1) div 2"), F.expr("n div 2")
     mean = F.sum(F.col("v") * F.col("c")) / F.sum("c")

@@ -38,20 +38,23 @@ def time_range(df: DataFrame) -> DataFrame:
     return df.agg(F.min("stime_us").alias("start_us"), F.max(F.greatest("ltime_us", "stime_us")).alias("end_us"))
 
 
-def peers(df: DataFrame, list_up_to: int | None = None) -> DataFrame:
-    """Per host: number of peers, of those within the site (both localities 3 or more), and the sorted list.
-
-    ``list_up_to`` leaves the list null for hosts with more peers; the counts are of all. Pairs are made distinct first,
-    so a busy host costs its peers and not its records.
-    """
+def peer_rows(df: DataFrame) -> DataFrame:
+    """(host, peer, inside): every pair once in each direction; inside where both localities are 3 or more."""
     pairs = both_ways(df).where("saddr is not null and daddr is not null").groupBy(F.col("saddr").alias("host"), F.col("daddr").alias("peer"))
-    pairs = pairs.agg(F.max(F.coalesce((F.col("sloc") >= 3) & (F.col("dloc") >= 3), F.lit(False))).alias("inside"))
-    counts = [F.count(F.lit(1)).alias("peers"), F.sum(F.col("inside").cast("bigint")).alias("local_peers")]
-    if list_up_to is None:
-        return pairs.groupBy("host").agg(*counts, F.array_sort(F.collect_list("peer")).alias("list"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("peer"))
-    some = pairs.withColumn("_r", rank).groupBy("host").agg(*counts, F.array_sort(F.collect_list(F.when(F.col("_r") <= list_up_to, F.col("peer")))).alias("list"))
-    return some.withColumn("list", F.when(F.col("peers") <= list_up_to, F.col("list")))
+    return pairs.agg(F.max(F.coalesce((F.col("sloc") >= 3) & (F.col("dloc") >= 3), F.lit(False))).alias("inside"))
+
+
+def peers(df: DataFrame) -> DataFrame:
+    """Per host: number of peers and of those within the site. A busy host costs its peers, not its records."""
+    return peer_rows(df).groupBy("host").agg(F.count(F.lit(1)).alias("peers"), F.sum(F.col("inside").cast("bigint")).alias("local_peers"))
+
+
+def peer_lists(df: DataFrame, about: int = 1000) -> DataFrame:
+    """(host, part, parts, peers): the sorted peers of each host, in parts of about so many where it has more."""
+    rows = peer_rows(df).select("host", "peer")
+    parts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / about).cast("int").alias("parts"))
+    rows = rows.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("peer"), F.col("parts").cast("bigint")).cast("int"))
+    return rows.groupBy("host", "part", "parts").agg(F.array_sort(F.collect_list("peer")).alias("peers"))
 
 
 def matrix(df: DataFrame, row: str, column: str, metric: str, n: int = 10) -> DataFrame:
@@ -108,9 +111,22 @@ def payload_heads(df: DataFrame, length: int = 8, most: int = 5) -> DataFrame:
     return heads.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def gaps_between(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Pauses between the records of a key: mean, least, most and deviation of start - previous end, in seconds."""
-    w = Window.partitionBy(*keys).orderBy("stime_us", "autoid")
-    gap = (F.col("stime_us") - F.lag(F.coalesce("ltime_us", "stime_us")).over(w)) / 1e6
-    rows = df.where("stime_us is not null").withColumn("gap", gap).where("gap is not null")
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("intflow"), F.min("gap").alias("intflowmin"), F.max("gap").alias("intflowmax"), F.stddev_pop("gap").alias("intflowsdev"))
+def gaps_between(df: DataFrame, keys: list[str], slice_s: int = 86_400) -> DataFrame:
+    """Pauses between the records of a key: number, mean, least, most and deviation of start - previous end, in seconds.
+
+    Taken within slices of time, which also leave their first start and last end; the pauses between slices come from
+    these. So a key's records are shared by its slices.
+    """
+    w = Window.partitionBy(*keys, "_slice").orderBy("stime_us", "autoid")
+    end = F.coalesce("ltime_us", "stime_us")
+    rows = df.where("stime_us is not null").withColumn("_slice", F.expr(f"stime_us div {slice_s * 1_000_000}"))
+    rows = rows.withColumn("gap", (F.col("stime_us") - F.lag(end).over(w)) / 1e6)
+    stats = [F.count("gap").alias("n"), F.sum("gap").alias("s"), F.sum(F.col("gap") * F.col("gap")).alias("q"), F.min("gap").alias("lo"), F.max("gap").alias("hi")]
+    parts = rows.groupBy(*keys, "_slice").agg(*stats, F.min("stime_us").alias("first"), F.max(F.struct("stime_us", "autoid", end.alias("end"))).alias("last"))
+    between = (F.col("first") - F.lag("last.end").over(Window.partitionBy(*keys).orderBy("_slice"))) / 1e6
+    parts = parts.withColumn("b", between)
+    n, s = F.sum(F.col("n") + F.when(F.col("b").isNotNull(), 1).otherwise(0)), F.sum(F.coalesce("s", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)))
+    q = F.sum(F.coalesce("q", F.lit(0.0)) + F.coalesce(F.col("b") * F.col("b"), F.lit(0.0)))
+    out = parts.groupBy(*keys).agg(n.alias("n"), s.alias("s"), q.alias("q"), F.min(F.least("lo", "b")).alias("intflowmin"), F.max(F.greatest("hi", "b")).alias("intflowmax")).where("n > 0")
+    mean = F.col("s") / F.col("n")
+    return out.select(*keys, "n", mean.alias("intflow"), "intflowmin", "intflowmax", F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("intflowsdev"))

@@ -165,17 +165,17 @@ def dark_scans(df: DataFrame, more_than: int) -> DataFrame:
     """Sources with more than so many transactions to addresses that never sent payload: (saddr, trans, targets)."""
     ends = F.array(F.struct(F.col("saddr").alias("a"), F.col("sappbytes").alias("b")), F.struct(F.col("daddr").alias("a"), F.col("dappbytes").alias("b")))
     active = df.select(F.explode(ends).alias("x")).where("x.b > 0 and x.a is not null").select(F.col("x.a").alias("daddr")).distinct()
-    dark = df.where("saddr is not null and daddr is not null").join(active, "daddr", "left_anti").groupBy("saddr", "daddr").agg(F.sum("trans").alias("trans"))
+    pairs = df.where("saddr is not null and daddr is not null").groupBy("saddr", "daddr").agg(F.sum("trans").alias("trans"))
+    dark = pairs.join(active, "daddr", "left_anti")
     return dark.groupBy("saddr").agg(F.sum("trans").alias("trans"), F.count(F.lit(1)).alias("targets")).where(F.col("trans") > more_than)
 
 
 def mutual_peers(df: DataFrame) -> DataFrame:
-    """Per host the hosts it both opened flows to and got flows from, as a sorted list."""
+    """(host, peer): pairs in which each side opened flows to the other, in both directions."""
     pairs = df.where("saddr is not null and daddr is not null and saddr <> daddr").select("saddr", "daddr").distinct()
-    low, high = F.least("saddr", "daddr"), F.greatest("saddr", "daddr")
-    both = pairs.groupBy(low.alias("a"), high.alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    ends = both.select(F.explode(F.array(F.struct(F.col("a").alias("host"), F.col("b").alias("peer")), F.struct(F.col("b").alias("host"), F.col("a").alias("peer")))).alias("x")).select("x.*")
-    return ends.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("peer")).alias("peers"))
+    both = pairs.groupBy(F.least("saddr", "daddr").alias("a"), F.greatest("saddr", "daddr").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    ends = F.array(F.struct(F.col("a").alias("host"), F.col("b").alias("peer")), F.struct(F.col("b").alias("host"), F.col("a").alias("peer")))
+    return both.select(F.explode(ends).alias("x")).select("x.*")
 
 
 def two_probes(df: DataFrame, within_s: int = 60) -> DataFrame:

@@ -233,8 +233,10 @@ on_flows("a18_order_statistics", sql("""SELECT proto, count(*) AS n, round(avg(v
          "r AS (SELECT proto, dur AS v, row_number() OVER (PARTITION BY proto ORDER BY dur) AS r, count(*) OVER (PARTITION BY proto) AS n FROM f WHERE dur IS NOT NULL)"),
          lambda f: histogram.order_statistics(f, "dur", ("proto",)).select("proto", "n", F.round("mean", 5).alias("mean"), "min", "max", "median", "p95"))
 on_flows("a18_mode", sql("SELECT proto, min(v) AS mode FROM (SELECT *, max(c) OVER (PARTITION BY proto) AS m FROM (SELECT proto, sbytes::DOUBLE AS v, count(*) AS c FROM f WHERE sbytes <> 0 GROUP BY 1, 2)) WHERE c = m AND c > 2 GROUP BY proto"), lambda f: histogram.order_statistics(f, "sbytes", ("proto",), nozero=True).where("mode is not null").select("proto", "mode"))
-on_flows("a19_peers", sql("SELECT host, count(*) AS peers, count(*) FILTER (inside) AS local_peers, list(peer ORDER BY peer) AS list FROM p GROUP BY host",
-         "p AS (SELECT host, peer, bool_or(inside) AS inside FROM (SELECT saddr AS host, daddr AS peer, coalesce(sloc >= 3 AND dloc >= 3, false) AS inside FROM f UNION ALL SELECT daddr, saddr, coalesce(sloc >= 3 AND dloc >= 3, false) FROM f) WHERE host IS NOT NULL AND peer IS NOT NULL GROUP BY ALL)"), inventory.peers)
+_PEERS = ("p AS (SELECT host, peer, bool_or(inside) AS inside FROM (SELECT saddr AS host, daddr AS peer, coalesce(sloc >= 3 AND dloc >= 3, false) AS inside FROM f UNION ALL SELECT daddr, saddr, coalesce(sloc >= 3 AND dloc >= 3, false) FROM f) WHERE host IS NOT NULL AND peer IS NOT NULL GROUP BY ALL)")
+on_flows("a19_peers", sql("SELECT host, count(*) AS peers, count(*) FILTER (inside) AS local_peers FROM p GROUP BY host", _PEERS), inventory.peers)
+on_flows("a19_peer_lists", sql("SELECT host, 0 AS part, 1 AS parts, list(peer ORDER BY peer) AS peers FROM p GROUP BY host", _PEERS), lambda f: inventory.peer_lists(f, 1_000_000))
+on_flows("a19_peer_rows", sql("SELECT * FROM p", _PEERS), inventory.peer_rows)
 on_flows("a20_matrix", None, lambda f: inventory.matrix(f, "saddr", "daddr", "sbytes", 8))
 on_flows("a20_edges", sql("SELECT saddr, daddr, cast(sum(coalesce(sbytes, 0)) AS BIGINT) AS sbytes FROM f WHERE daddr IN (SELECT daddr FROM f WHERE daddr IS NOT NULL GROUP BY daddr ORDER BY sum(coalesce(sbytes, 0)) DESC, daddr LIMIT 8) GROUP BY ALL"),
          lambda f: f.join(f.where("daddr is not null").groupBy("daddr").agg(F.sum(F.coalesce("sbytes", F.lit(0))).alias("v")).orderBy(F.desc("v"), "daddr").limit(8).select("daddr"), "daddr", "left_semi").groupBy("saddr", "daddr").agg(F.sum(F.coalesce("sbytes", F.lit(0))).alias("sbytes")))
@@ -324,7 +326,7 @@ add("j7_as_of_time", sql("SELECT autoid, m.ts_us AS status_us FROM f ASOF LEFT J
     lambda spark, d: lookups.as_of(flows(spark, d).select("autoid", "sid", "stime_us"), table(spark, d, "man").select("sid", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")).withColumn("status_us", F.col("ts_us")), "sid", "stime_us", "ts_us", ["status_us"]).select("autoid", "status_us"))
 add("x17_clock", None, lambda spark, d: _probe_status(spark, d).select("autoid", (F.col("stime_us") - F.coalesce("drift", F.lit(0))).alias("corrected_us")))
 on_flows("j8_scans", sql("SELECT saddr, cast(sum(trans) AS BIGINT) AS trans, count(DISTINCT daddr) AS targets FROM f WHERE saddr IS NOT NULL AND daddr NOT IN (SELECT a FROM (SELECT saddr AS a, sappbytes AS b FROM f UNION ALL SELECT daddr, dappbytes FROM f) WHERE b > 0 AND a IS NOT NULL) GROUP BY saddr HAVING sum(trans) > 2"), lambda f: lookups.dark_scans(f, 2))
-on_flows("j9_mutual_peers", sql("SELECT a AS host, count(*) AS n, list(b ORDER BY b) AS peers FROM (SELECT DISTINCT f.saddr AS a, f.daddr AS b FROM f JOIN f g ON g.saddr = f.daddr AND g.daddr = f.saddr WHERE f.saddr <> f.daddr) GROUP BY a"), lookups.mutual_peers)
+on_flows("j9_mutual_peers", sql("SELECT DISTINCT f.saddr AS host, f.daddr AS peer FROM f JOIN (SELECT DISTINCT saddr, daddr FROM f) g ON g.saddr = f.daddr AND g.daddr = f.saddr WHERE f.saddr <> f.daddr"), lookups.mutual_peers)
 on_flows("j11_intersect", sql("SELECT saddr, daddr FROM f WHERE proto = 6 INTERSECT SELECT saddr, daddr FROM f WHERE proto = 17"), lambda f: lookups.intersect(f.where("proto = 6"), f.where("proto = 17"), ["saddr", "daddr"]))
 on_flows("j12_vendors", sql("SELECT vendor, count(*) AS n FROM f LEFT JOIN (VALUES ('02:00:00', 'local lab'), ('00:00:5e', 'registry')) v(oui, vendor) ON lower(substring(smac, 1, 8)) = oui WHERE smac IS NOT NULL GROUP BY vendor"),
          lambda f: lookups.vendors(f, "smac", f.sparkSession.createDataFrame([("02:00:00", "local lab"), ("00:00:5E", "registry")], "oui string, vendor string")).where("smac is not null").groupBy("vendor").agg(F.count(F.lit(1)).alias("n")))
