@@ -1,0 +1,74 @@
+"""Registry of payload decoders: a name, the columns it gives, and a function over payload bytes."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+DECODERS: dict[str, Callable[[bytes], dict | None]] = {}
+
+
+def decoder(name: str) -> Callable[[Callable[[bytes], dict | None]], Callable[[bytes], dict | None]]:
+    """Registers a function from payload bytes to a dict, or None where the payload is something else."""
+
+    def add(f: Callable[[bytes], dict | None]) -> Callable[[bytes], dict | None]:
+        DECODERS[name] = f
+        return f
+
+    return add
+
+
+@decoder("dns")
+def _dns(data: bytes) -> dict | None:
+    from ..sources.formats import decode_dns
+
+    return decode_dns(data)
+
+
+@decoder("http")
+def _http(data: bytes) -> dict | None:
+    line = data.split(b"\r\n", 1)[0].decode("latin-1").split(" ")
+    if len(line) >= 3 and line[0].isupper() and line[-1].startswith("HTTP/"):
+        return {"method": line[0], "target": " ".join(line[1:-1])}
+    if len(line) >= 2 and line[0].startswith("HTTP/") and line[1].isdigit():
+        return {"status": int(line[1])}
+    return None
+
+
+@decoder("ssh")
+def _ssh(data: bytes) -> dict | None:
+    return {"banner": data.split(b"\r\n", 1)[0].split(b"\n", 1)[0].decode("latin-1")} if data.startswith(b"SSH-") else None
+
+
+@decoder("tls")
+def _tls(data: bytes) -> dict | None:
+    if len(data) < 6 or data[0] != 0x16 or data[1] != 3:
+        return None
+    return {"version": f"3.{data[2]}", "handshake": data[5]}
+
+
+def decode(payload: str | Column, *names: str) -> Column:
+    """JSON {"decoder": ..., fields} of the first named decoder (all, if none is named) that knows the payload, or null.
+
+    Runs on Arrow batches; a decoder that fails counts as not knowing the payload.
+    """
+    chosen = {n: DECODERS[n] for n in names or DECODERS}
+
+    def run(payloads: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> str | None:
+            for name, f in chosen.items():
+                try:
+                    found = f(bytes(data)) if data else None
+                except Exception:  # noqa: BLE001  what a plug-in throws is no reason to lose the row
+                    found = None
+                if found:
+                    return json.dumps({"decoder": name, **found}, sort_keys=True, default=str)
+            return None
+
+        return payloads.map(one)
+
+    return F.pandas_udf(run, "string")(payload)

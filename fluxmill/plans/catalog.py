@@ -1,4 +1,4 @@
 """All core queries: importing this module registers them."""
 
-from . import problems, reference  # noqa: F401
+from . import live, problems, reference  # noqa: F401
 from .registry import core  # noqa: F401

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.addresses import v4_number
+from ..functions.addresses import v4_number, v4_text
 from ..functions.fields import PROTOCOLS, SERVICES
 
 _DDL = (
@@ -132,6 +134,60 @@ def read_jdbc(spark: SparkSession, url: str, name: str, predicates: list[str], p
     return spark.read.jdbc(url, name, predicates=predicates, properties=properties or {})
 
 
+def read_named_tables(spark: SparkSession, pattern: str, start: datetime, end: datetime, where: str = "true") -> DataFrame:
+    """Stored tables named by time, such as 'flows/day_%Y_%m_%d': those of [start, end] that exist, with a condition."""
+    step = timedelta(hours=1) if re.search("%[HI]", pattern) else timedelta(days=1)
+    names, at = [], start
+    while at <= end:
+        names.append(at.strftime(pattern))
+        at += step
+    names.append(end.strftime(pattern))
+    jvm = spark._jvm.org.apache.hadoop.fs
+    there = [n for n in dict.fromkeys(names) if jvm.Path(n).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(n))]
+    if not there:
+        return spark.createDataFrame([], FLOW_SCHEMA)
+    lo, hi = (int(t.timestamp() * 1_000_000) for t in (start, end))
+    return spark.read.parquet(*there).where(F.col("stime_us").between(lo, hi)).where(where)
+
+
+def read_lines(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
+    """Lines of text files, also of those that Spark has no codec for (xz); such a file is one task, read as a stream."""
+    import io
+    import lzma
+
+    reader, at = _files(spark.read.format("binaryFile"), paths, recursive)
+
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                source = lzma.open(io.BytesIO(content), "rt", errors="replace") if path.endswith((".xz", ".lzma")) else io.TextIOWrapper(io.BytesIO(content), errors="replace")
+                block = []
+                for line in source:
+                    block.append(line.rstrip("\r\n"))
+                    if len(block) == 10_000:
+                        yield pd.DataFrame({"value": block})
+                        block = []
+                yield pd.DataFrame({"value": block})
+
+    return reader.load(at).select("path", "content").mapInPandas(lines, "value string")
+
+
+def read_xz_text(spark: SparkSession, paths: list[str] | str, separator: str = ",", titles: dict[str, str] | None = None) -> DataFrame:
+    """:func:`read_text` for xz files: every line equal to the first file's title line is one."""
+    rows = read_lines(spark, paths)
+    head = rows.first()
+    if head is None:
+        return spark.createDataFrame([], FLOW_SCHEMA)
+    schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in head[0].split(separator)])
+    parsed = spark.read.schema(schema).option("sep", separator).csv(rows.where(F.col("value") != head[0]).rdd.map(lambda r: r[0]))
+    return to_flows(parsed, {**{f.name: f.name for f in FLOW_SCHEMA}, **(titles or TITLES)})
+
+
+def scan_range(df: DataFrame, start: int, end: int) -> DataFrame:
+    """Stored rows from number ``start`` up to but not including ``end``; the reader skips row groups outside."""
+    return df.where((F.col("autoid") >= start) & (F.col("autoid") < end))
+
+
 # --- binary exports of routers
 
 #: Layouts of export packets in network byte order. Version 1 and 5 headers and records.
@@ -182,14 +238,17 @@ def read_export(spark: SparkSession, paths: list[str] | str, recursive: bool = F
                         rows = []
                 yield pd.DataFrame(rows, columns=names)
 
-    from ..functions.addresses import v4_text
+    return _export_flows(reader.load(at).select("content").mapInPandas(decode, EXPORT))
+
 
-    raw = reader.load(at).select("content").mapInPandas(decode, EXPORT)
+def _export_flows(raw: DataFrame) -> DataFrame:
+    """Decoded export rows in the flow schema: one direction, status bits from the TCP flags."""
     bit = lambda b, s: F.when(F.col("flags").bitwiseAND(b) != 0, s).otherwise(0)
     status = F.when(F.col("proto") == 6, bit(2, 1) + bit(16, 4) + bit(1, 8) + bit(4, 4096)).otherwise(0)
+    v6 = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     rows = raw.withColumns({
-        "saddr": v4_text("saddr_i"), "daddr": v4_text("daddr_i"), "seq": F.col("exporter_seq"), "trans": F.lit(1), "status": status, "dur": (F.col("ltime_us") - F.col("stime_us")) / 1e6,
-        "stime": F.timestamp_micros("stime_us"), "ltime": F.timestamp_micros("ltime_us"), "autoid": F.monotonically_increasing_id(),
+        "saddr": F.coalesce(v4_text("saddr_i"), v6("saddr6")), "daddr": F.coalesce(v4_text("daddr_i"), v6("daddr6")), "seq": F.col("exporter_seq"), "trans": F.lit(1), "status": status,
+        "dur": (F.col("ltime_us") - F.col("stime_us")) / 1e6, "stime": F.timestamp_micros("stime_us"), "ltime": F.timestamp_micros("ltime_us"), "autoid": F.monotonically_increasing_id(),
     })
     here = set(rows.columns)
     return rows.select(*((F.col(f.name) if f.name in here else F.lit(None)).cast(f.dataType).alias(f.name) for f in FLOW_SCHEMA))
@@ -263,3 +322,125 @@ def dns(payload: str | Column) -> Column:
         return pd.DataFrame({c: [r.get(c) for r in rows] for c in ("id", "response", "rcode", "qname", "qtype", "answers")})
 
     return F.pandas_udf(run, DNS)(payload)
+
+
+# --- exports with templates, and packet samples
+
+#: Field types of template exports that become flow fields.
+V9_FIELDS = {1: "octets", 2: "pkts", 4: "proto", 5: "tos", 6: "flags", 7: "sport", 8: "src", 11: "dport", 12: "dst", 16: "sas", 17: "das", 21: "last", 22: "first", 27: "src6", 28: "dst6"}
+
+
+def decode_templates(data: bytes) -> Iterator[dict]:
+    """Flow records of consecutive version 9 export packets; templates hold from where they stand to the end of the file.
+
+    A packet's length is not in its header: it ends where its count of records is used up. Data without template and
+    option data are passed over.
+    """
+    import ipaddress
+
+    templates: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    at = 0
+    while at + 20 <= len(data):
+        version, count, uptime, sec, seq, source = struct.unpack_from("!HHIIII", data, at)
+        if version != 9:
+            return
+        at += 20
+        boot, left = sec * 1_000_000 - uptime * 1000, count
+        while left > 0 and at + 4 <= len(data):
+            kind, length = struct.unpack_from("!HH", data, at)
+            if length < 4 or at + length > len(data):
+                return
+            body, end = at + 4, at + length
+            if kind == 0:
+                while body + 4 <= end:
+                    number, n = struct.unpack_from("!HH", data, body)
+                    if number < 256 or body + 4 + 4 * n > end:
+                        break
+                    templates[source, number] = [struct.unpack_from("!HH", data, body + 4 + 4 * i) for i in range(n)]
+                    body, left = body + 4 + 4 * n, left - 1
+            elif kind >= 256 and (source, kind) in templates:
+                layout = templates[source, kind]
+                size = sum(n for _, n in layout)
+                while size and body + size <= end and left > 0:
+                    row: dict = {"seq": seq, "boot": boot}
+                    for what, n in layout:
+                        if what in V9_FIELDS:
+                            raw = data[body : body + n]
+                            row[V9_FIELDS[what]] = str(ipaddress.ip_address(raw)) if what in (27, 28) and n == 16 else int.from_bytes(raw, "big")
+                        body += n
+                    left -= 1
+                    yield row
+            else:
+                left -= 1
+            at = end
+
+
+def decode_samples(data: bytes) -> Iterator[dict]:
+    """Flow samples of consecutive version 5 sample datagrams, each stored behind its length (four bytes).
+
+    A sample stands for as many packets as its sampling rate; of its records the raw packet header is read (Ethernet,
+    optional VLAN tag, IPv4). Counter samples and other records are passed over.
+    """
+    at = 0
+    while at + 4 <= len(data):
+        (length,) = struct.unpack_from("!I", data, at)
+        pkt, at = data[at + 4 : at + 4 + length], at + 4 + length
+        try:
+            version, family = struct.unpack_from("!II", pkt, 0)
+            p = 8 + (4 if family == 1 else 16)
+            _, seq, uptime, samples = struct.unpack_from("!IIII", pkt, p)
+            p += 16
+            for _ in range(samples if version == 5 else 0):
+                kind, size = struct.unpack_from("!II", pkt, p)
+                body, p = p + 8, p + 8 + size
+                if kind not in (1, 3):
+                    continue
+                rate = struct.unpack_from("!I", pkt, body + (8 if kind == 1 else 12))[0]
+                head = body + (32 if kind == 1 else 44)
+                (records,) = struct.unpack_from("!I", pkt, head - 4)
+                for _ in range(records):
+                    what, n = struct.unpack_from("!II", pkt, head)
+                    record, head = head + 8, head + 8 + n
+                    if what != 1:
+                        continue
+                    protocol, frame, _, held = struct.unpack_from("!IIII", pkt, record)
+                    raw = pkt[record + 16 : record + 16 + held]
+                    if protocol != 1 or len(raw) < 34:
+                        continue
+                    etype, ip = struct.unpack_from("!H", raw, 12)[0], 14
+                    if etype == 0x8100:
+                        etype, ip = struct.unpack_from("!H", raw, 16)[0], 18
+                    if etype != 0x0800:
+                        continue
+                    hdr = (raw[ip] & 15) * 4
+                    src, dst = struct.unpack_from("!II", raw, ip + 12)
+                    row = {"seq": seq, "boot": 0, "first": uptime, "last": uptime, "src": src, "dst": dst, "proto": raw[ip + 9], "tos": raw[ip + 1], "pkts": rate, "octets": rate * frame}
+                    if row["proto"] in (6, 17) and len(raw) >= ip + hdr + 4:
+                        row["sport"], row["dport"] = struct.unpack_from("!HH", raw, ip + hdr)
+                    if row["proto"] == 6 and len(raw) >= ip + hdr + 14:
+                        row["flags"] = raw[ip + hdr + 13]
+                    yield row
+        except (struct.error, IndexError):
+            continue
+
+
+def read_decoded(spark: SparkSession, paths: list[str] | str, kind: str, recursive: bool = False) -> DataFrame:
+    """Files of 'templates' (version 9 exports) or 'samples' (sample datagrams) as flow records; one task a file."""
+    decoder = {"templates": decode_templates, "samples": decode_samples}[kind]
+    names = [c.split()[0] for c in EXPORT.split(", ")] + ["src6", "dst6"]
+    reader, at = _files(spark.read.format("binaryFile"), paths, recursive)
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                rows = []
+                for r in decoder(bytes(content)):
+                    first, last = (None if r.get(k) is None else r["boot"] + r[k] * 1000 for k in ("first", "last"))
+                    rows.append((9, r["seq"], first, last, *(r.get(k) for k in ("src", "dst", "sport", "dport", "proto", "pkts", "octets", "tos", "flags", "sas", "das", "src6", "dst6"))))
+                    if len(rows) == 50_000:
+                        yield pd.DataFrame(rows, columns=names).astype(object)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names).astype(object)
+
+    raw = reader.load(at).select("content").mapInPandas(decode, EXPORT + ", src6 string, dst6 string")
+    return _export_flows(raw.withColumns({"saddr6": F.col("src6"), "daddr6": F.col("dst6")}))

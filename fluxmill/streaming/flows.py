@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -131,6 +133,62 @@ def run_available(writer) -> None:
     q.awaitTermination()
 
 
+def run_for(writer, seconds: float) -> None:
+    """Runs a continuous query for so many seconds, then stops it."""
+    q = writer.start()
+    try:
+        q.awaitTermination(int(seconds))
+    finally:
+        q.stop()
+
+
+def read_live(spark: SparkSession, uri: str, **options: str) -> DataFrame:
+    """Live source by URI: 'kafka://host:port/topic' (needs the connector on the class path), 'tcp://host:port', 'file:dir'.
+
+    Messages of the first two are JSON records of the flow schema.
+    """
+    kind, _, rest = uri.partition(":")
+    if kind == "file":
+        return read_stream(spark, rest)
+    host, _, topic = rest.lstrip("/").partition("/")
+    if kind == "kafka":
+        raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", host).option("subscribe", topic).options(**options).load().selectExpr("cast(value as string) as value")
+    elif kind == "tcp":
+        name, _, port = host.partition(":")
+        raw = spark.readStream.format("socket").option("host", name).option("port", port).load()
+    else:
+        raise ValueError(f"no live source {uri!r}")
+    return clean(raw.select(F.from_json("value", FLOW_SCHEMA).alias("x")).select("x.*"))
+
+
+def replay(df: DataFrame, writer_path: str, speed: float, seconds_per_step: float = 1.0) -> DataFrame:
+    """Stored records as one directory for each step of event time, for a stream that reads one file a trigger.
+
+    At ``speed`` 60 a step of one second holds a minute of records. Returns the steps with their record counts.
+    """
+    step = int(speed * seconds_per_step * 1_000_000)
+    rows = df.where("stime_us is not null").withColumn("step", F.expr(f"stime_us div {step}"))
+    rows.repartition("step").write.mode("overwrite").partitionBy("step").parquet(writer_path)
+    return rows.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_result(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote.
+
+    The result goes to the shared folder (spark.checkpoint.dir) and not through the driver. In mode 'complete' the last
+    batch is the result, in 'append' all batches are, each under its own directory so that a repeated one replaces itself.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    at = f"{root}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={0 if mode == 'complete' else no}")
+
+    run_available(df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").foreachBatch(write))
+    return spark.read.schema(df.schema).parquet(f"{at}/out/batch=*")
+
+
 def latest_ranked(batch: DataFrame, key: str, by: str, k: int) -> DataFrame:
     """The ``k`` greatest rows of each key of a batch."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by)))

@@ -205,7 +205,7 @@ def test_select_list(make_flows):
 
 
 def test_rules_reader():
-    rules = cluster.parse_rules('RACLUSTER_MODEL=x\nfilter="tcp" model="saddr" status="120" label="a" cont # note\nmodel="all"')
+    rules = cluster.parse_rules('DEFAULT_MODEL=x\nfilter="tcp" model="saddr" status="120" label="a" cont # note\nmodel="all"')
     assert [(r.filter, r.keys, r.label, r.cont) for r in rules] == [("tcp", "saddr", "a", True), ("", "all", "", False)]
 
 
