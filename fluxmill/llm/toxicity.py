@@ -30,7 +30,11 @@ MAX_TRAINING_DOCS = 12_000
 MAX_TRAINING_CHARS = 10_000
 #: Texts go through the features in pieces of about this length, cut at line ends, to bound a worker's memory.
 PIECE_CHARS = 300_000
-THRESHOLD = 0.2
+THRESHOLD = 0.12
+#: Log-odds from which a feature counts in the first guess; words that both kinds of text share stay out of it.
+CLEAR_ODDS = 1.5
+#: From the fourth round on a case whose worst passage stays below this is taken for a wrong label.
+DOUBT = 0.3
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
     "аеорсухіјѕԁһӏԛԝвкмнтгпьвАЕОРСУХІЈЅВКМНТαοενρτυικχβΑΒΕΖΗΙΚΜΝΟΡΤΥΧıłøđ",
@@ -41,8 +45,8 @@ SIGNS = str.maketrans("013457@$!|+", "oieastasilt")
 _APART = re.compile(r"(?<![a-z0-9])(?:[a-z][-._*~ ]){2,}[a-z]?(?![a-z0-9])")
 _DRAWN = re.compile(r"([a-z])\1{2,}")
 _WORD = re.compile(r"\n|\s-\s|[.;:!?\]]\s|[^\W_][^\W_@$!|+*]*(?:[@$!|+*]+[^\W_]+)*[$@]*|[@$][^\W_@$!|+*]+(?:[@$!|+*]+[^\W_]+)*")
-#: Lines of a diff that name files and places; nobody wrote them.
-_PLACE = re.compile(r"^(?:diff --git .*|index [0-9a-f]+\.\.[0-9a-f]+.*|--- [ab]/.*|\+\+\+ [ab]/.*|Binary files .* differ)$", re.M | re.I)
+#: Lines of a diff that name files and places, and encoded lines of binary patches; nobody wrote them.
+_PLACE = re.compile(r"^(?:diff --git .*|index [0-9a-f]+\.\.[0-9a-f]+.*|--- [ab]/.*|\+\+\+ [ab]/.*|Binary files .* differ|[a-z](?:[0-9a-z!#$%&()*+;<=>?@^_`{|}~-]{5}){4,13})$", re.M | re.I)
 _MIXED = re.compile(r"(?=.*[a-z])(?=.*[013457@$!|+])")
 
 
@@ -163,7 +167,7 @@ def train(texts: list[str], toxic: np.ndarray, trust: np.ndarray, rounds: int =
     in_case = np.bincount(f, weights=(case * trust)[doc], minlength=MASK + 1)
     in_rest = np.bincount(f, weights=(~case * trust)[doc], minlength=MASK + 1)
     odds = np.log((in_case + 0.3) / ((case * trust).sum() + 0.6)) - np.log((in_rest + 0.3) / ((~case * trust).sum() + 0.6))
-    odds[in_case < 2] = 0
+    odds[(in_case < 2) | (odds < CLEAR_ODDS)] = 0
     del doc, f
     guess = np.bincount(at, weights=np.maximum(odds, 0)[feature], minlength=n)
     rng = np.random.default_rng(seed)
@@ -178,7 +182,8 @@ def train(texts: list[str], toxic: np.ndarray, trust: np.ndarray, rounds: int =
             belief = np.where(case, np.clip(worst / max(np.percentile(worst[case], 60), 1e-9), 0.05, 1), 1.0) if case.any() else np.ones(len(texts))
         else:
             p = 1 / (1 + np.exp(-np.clip(worst, -30, 30)))
-            belief = np.where(case, np.clip(p * 1.5, 0.02, 1), np.clip((1 - p) * 2, 0.1, 1))
+            doubted = np.clip(p * 1.5, 0.02, 1) if step < 3 else np.where(p < DOUBT, 0.0, np.clip(p * 1.5, 0.02, 1))
+            belief = np.where(case, doubted, np.clip((1 - p) * 2, 0.1, 1))
         y = np.where(case[text_of] & top, 1.0, 0.0)
         use = filled[~case[text_of[filled]] | top[filled]]
         importance = trust[text_of] * belief[text_of]
