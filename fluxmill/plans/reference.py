@@ -114,11 +114,11 @@ on_flows("p_select", sql("SELECT autoid, stime_us, CASE WHEN length(saddr) > 10
 on_flows(
     "p_fields",
     sql(f"""SELECT autoid, {BYTES} AS bytes, {PKTS} AS pkts, coalesce(sappbytes, 0) + coalesce(dappbytes, 0) AS appbytes, coalesce(sloss, 0) + coalesce(dloss, 0) AS loss,
-  round(CASE WHEN dur > 0 THEN {BYTES} * 8 / dur ELSE 0 END, 3) AS load, round(CASE WHEN dur > 0 THEN {PKTS} / dur ELSE 0 END, 3) AS rate, round(100.0 * sloss / nullif(spkts + sloss, 0), 3) AS sploss,
+  CASE WHEN dur > 0 THEN {BYTES} * 8 / dur ELSE 0 END AS load, CASE WHEN dur > 0 THEN {PKTS} / dur ELSE 0 END AS rate, round(100.0 * sloss / nullif(spkts + sloss, 0), 3) AS sploss,
   round((coalesce(sappbytes, 0) - coalesce(dappbytes, 0)) / nullif(coalesce(sappbytes, 0) + coalesce(dappbytes, 0), 0), 6) AS pcr, round(sbytes / nullif(spkts, 0), 3) AS smeansz,
   CASE WHEN sttl <= 32 THEN 32 - sttl WHEN sttl <= 64 THEN 64 - sttl WHEN sttl <= 128 THEN 128 - sttl ELSE 255 - sttl END AS shops, lower(substring(smac, 1, 8)) AS soui,
   CASE WHEN sloc >= dloc OR dloc IS NULL THEN saddr ELSE daddr END AS laddr FROM f"""),
-    lambda f: f.select("autoid", *(fields.field(n) for n in "bytes pkts appbytes loss".split()), *(F.round(F.expr(fields.sql(n)), k).alias(n) for n, k in (("load", 3), ("rate", 3), ("sploss", 3), ("pcr", 6), ("smeansz", 3))), *(fields.field(n) for n in ("shops", "soui", "laddr"))),
+    lambda f: f.select("autoid", *(fields.field(n) for n in "bytes pkts appbytes loss".split()), *(F.round(F.expr(fields.sql(n)), k).alias(n) for n, k in (("sploss", 3), ("pcr", 6), ("smeansz", 3))), *(fields.field(n) for n in ("load", "rate", "shops", "soui", "laddr"))),
 )
 on_flows("x1_metrics", sql(f"SELECT proto, round(avg({BYTES}), 3) AS bytes, round(avg(CASE WHEN dur > 0 THEN {BYTES} * 8 / dur ELSE 0 END), 1) AS load, max(greatest(sloc, dloc)) AS loc, round(avg(dbytes / nullif(dpkts, 0)), 3) AS dmeansz FROM f GROUP BY proto"),
          lambda f: f.groupBy("proto").agg(F.round(F.avg(F.expr(fields.sql("bytes"))), 3).alias("bytes"), F.round(F.avg(F.expr(fields.sql("load"))), 1).alias("load"), F.max(F.expr(fields.sql("loc"))).alias("loc"), F.round(F.avg(F.expr(fields.sql("dmeansz"))), 3).alias("dmeansz")))
@@ -255,7 +255,9 @@ on_flows("a24_neighbours", sql("SELECT sid, mac, addr, min(s) AS first_us, max(c
 on_flows("a25_payload_heads", sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proto, dport ORDER BY n DESC, head) AS rank FROM (SELECT proto, dport, left(hex(suser), 8) AS head, count(*) AS n FROM f WHERE suser IS NOT NULL AND dport IS NOT NULL GROUP BY 1, 2, 3)) WHERE rank <= 3"), lambda f: inventory.payload_heads(f, 4, 3))
 on_flows("a26_time_range", sql("SELECT min(stime_us) AS start_us, max(greatest(ltime_us, stime_us)) AS end_us FROM f"), inventory.time_range)
 on_flows("a27_time_of_day", sql("SELECT hour(make_timestamp(stime_us)) AS hour, count(*) AS n FROM f WHERE stime_us IS NOT NULL GROUP BY 1"), lambda f: bins.fold_period(f, "day").groupBy(F.expr("cast(stime_us div 3600000000 as bigint)").alias("hour")).agg(F.count(F.lit(1)).alias("n")))
-on_flows("a29_two_probes", None, lambda f: lookups.two_probes(f))
+on_flows("a29_two_probes", sql("SELECT fsid, sid, saddr, daddr, proto, sport, dport, round(v.d - fv.d, 6) AS dldur, (v.s - fv.s) / 1e6 AS dlstime, (v.l - fv.l) / 1e6 AS dlltime, v.sp - fv.sp AS dlspkt, v.dp - fv.dp AS dldpkt FROM n WHERE sid <> fsid",
+         "r AS (SELECT saddr, daddr, proto, sport, dport, stime_us // 60000000 AS slot, sid, min({'s': stime_us, 'l': ltime_us, 'd': dur, 'sp': spkts, 'dp': dpkts, 'a': autoid}) AS v FROM f WHERE stime_us IS NOT NULL AND sid IS NOT NULL AND saddr IS NOT NULL AND daddr IS NOT NULL GROUP BY ALL)",
+         "n AS (SELECT *, first_value(v) OVER w AS fv, first_value(sid) OVER w AS fsid FROM r WINDOW w AS (PARTITION BY saddr, daddr, proto, sport, dport, slot ORDER BY sid))"), lambda f: lookups.two_probes(f))
 
 # --- sort, limit, ranks
 on_flows("o1_sort", sql(f"SELECT autoid, saddr, {BYTES} AS bytes FROM f ORDER BY bytes DESC, stime_us NULLS LAST, autoid LIMIT 100"), lambda f: f.select("autoid", "saddr", "stime_us", fields.field("bytes")).orderBy(F.desc("bytes"), F.asc_nulls_last("stime_us"), "autoid").limit(100).drop("stime_us"))
@@ -319,12 +321,11 @@ def _probe_status(spark, d):
     return lookups.as_of(flows(spark, d).select("autoid", "sid", "stime_us"), man, "sid", "stime_us", "ts_us", ["cause", "drift"])
 
 
-add("j7_as_of", sql("SELECT autoid, v.cause AS cause, v.drift AS drift FROM f ASOF LEFT JOIN m ON f.sid = m.sid AND f.stime_us >= m.ts_us",
-    "m AS (SELECT sid, ts_us, arg_max({'cause': cause, 'drift': drift}, (coalesce('1' || cause, '0'), coalesce(drift, -1000000000))) AS v FROM (SELECT sid, epoch_us(ts) AS ts_us, lower(trim(cause)) AS cause, drift FROM man WHERE sid IS NOT NULL AND ts IS NOT NULL) GROUP BY sid, ts_us)"),
-    lambda spark, d: _probe_status(spark, d).select("autoid", "cause", "drift"))
+_STATUS = "m AS (SELECT sid, ts_us, arg_max({'cause': cause, 'drift': drift}, (coalesce('1' || cause, '0'), coalesce(drift, -1000000000))) AS v FROM (SELECT sid, epoch_us(ts) AS ts_us, lower(trim(cause)) AS cause, drift FROM man WHERE sid IS NOT NULL AND ts IS NOT NULL) GROUP BY sid, ts_us)"
+add("j7_as_of", sql("SELECT autoid, v.cause AS cause, v.drift AS drift FROM f ASOF LEFT JOIN m ON f.sid = m.sid AND f.stime_us >= m.ts_us", _STATUS), lambda spark, d: _probe_status(spark, d).select("autoid", "cause", "drift"))
 add("j7_as_of_time", sql("SELECT autoid, m.ts_us AS status_us FROM f ASOF LEFT JOIN m ON f.sid = m.sid AND f.stime_us >= m.ts_us", "m AS (SELECT DISTINCT sid, epoch_us(ts) AS ts_us FROM man WHERE sid IS NOT NULL AND ts IS NOT NULL)"),
     lambda spark, d: lookups.as_of(flows(spark, d).select("autoid", "sid", "stime_us"), table(spark, d, "man").select("sid", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")).withColumn("status_us", F.col("ts_us")), "sid", "stime_us", "ts_us", ["status_us"]).select("autoid", "status_us"))
-add("x17_clock", None, lambda spark, d: _probe_status(spark, d).select("autoid", (F.col("stime_us") - F.coalesce("drift", F.lit(0))).alias("corrected_us")))
+add("x17_clock", sql("SELECT autoid, stime_us - coalesce(v.drift, 0) AS corrected_us FROM f ASOF LEFT JOIN m ON f.sid = m.sid AND f.stime_us >= m.ts_us", _STATUS), lambda spark, d: _probe_status(spark, d).select("autoid", (F.col("stime_us") - F.coalesce("drift", F.lit(0))).alias("corrected_us")))
 on_flows("j8_scans", sql("SELECT saddr, cast(sum(trans) AS BIGINT) AS trans, count(DISTINCT daddr) AS targets FROM f WHERE saddr IS NOT NULL AND daddr NOT IN (SELECT a FROM (SELECT saddr AS a, sappbytes AS b FROM f UNION ALL SELECT daddr, dappbytes FROM f) WHERE b > 0 AND a IS NOT NULL) GROUP BY saddr HAVING sum(trans) > 2"), lambda f: lookups.dark_scans(f, 2))
 on_flows("j9_mutual_peers", sql("SELECT DISTINCT f.saddr AS host, f.daddr AS peer FROM f JOIN (SELECT DISTINCT saddr, daddr FROM f) g ON g.saddr = f.daddr AND g.daddr = f.saddr WHERE f.saddr <> f.daddr"), lookups.mutual_peers)
 on_flows("j11_intersect", sql("SELECT saddr, daddr FROM f WHERE proto = 6 INTERSECT SELECT saddr, daddr FROM f WHERE proto = 17"), lambda f: lookups.intersect(f.where("proto = 6"), f.where("proto = 17"), ["saddr", "daddr"]))
