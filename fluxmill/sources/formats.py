@@ -129,6 +129,23 @@ def read_conn_log(spark: SparkSession, paths: list[str] | str, recursive: bool =
     return to_flows(reader.schema(schema).csv(at, sep="\t", comment="#", nullValue="-", enforceSchema=True), CONN_LOG)
 
 
+#: Columns of the text form of flow archives and the fields they stand for.
+ARCHIVE_TEXT = {
+    "exaddr": "sid", "dpkts": "spkts", "doctets": "sbytes", "srcaddr": "saddr", "dstaddr": "daddr", "srcport": "sport", "dstport": "dport", "prot": "proto", "tos": "stos", "src_as": "sas", "dst_as": "das",
+    "_start": "stime", "_length": "dur", "nexthop": "+nexthop", "tcp_flags": "+tcp_flags",
+}
+
+
+def read_archive_text(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
+    """Flow archives exported as text: a title line '#:unix_secs,unix_nsecs,...', lasting from unix time for last - first ms."""
+    reader, at = _files(spark.read, paths, recursive)
+    df = reader.csv(at, header=True, inferSchema=False)
+    df = df.toDF(*(c.removeprefix("#:").strip().lower() for c in df.columns))
+    start = F.concat_ws(".", F.col("unix_secs"), F.lpad(F.floor(F.col("unix_nsecs").try_cast("bigint") / 1000).cast("string"), 6, "0"))
+    length = (F.col("last").try_cast("bigint") - F.col("first").try_cast("bigint")) / 1000
+    return to_flows(df.withColumns({"_start": start, "_length": length}), ARCHIVE_TEXT)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, predicates: list[str], properties: dict[str, str] | None = None) -> DataFrame:
     """A database table, one partition for each predicate (such as ranges of time), which the database evaluates."""
     return spark.read.jdbc(url, name, predicates=predicates, properties=properties or {})
@@ -193,19 +210,35 @@ def scan_range(df: DataFrame, start: int, end: int) -> DataFrame:
 #: Layouts of export packets in network byte order. Version 1 and 5 headers and records.
 V5_HEADER, V5_RECORD = struct.Struct("!HHIIIIBBH"), struct.Struct("!IIIHHIIIIHHBBBBHHBBH")
 V1_HEADER, V1_RECORD = struct.Struct("!HHIII"), struct.Struct("!IIIHHIIIIHHHBBBBBBI")
+V6_HEADER, V6_RECORD = V5_HEADER, struct.Struct("!IIIHHIIIIHHBBBBHHBBBBI")
 V7_HEADER, V7_RECORD = struct.Struct("!HHIIIII"), struct.Struct("!IIIHHIIIIHHBBBBHHBBHI")
+V8_HEADER = struct.Struct("!HHIIIIBBBBI")
+#: Version 8, by method of aggregation: flows, packets, octets, first and last, then the names of what follows.
+V8_RECORDS = {
+    1: (struct.Struct("!IIIIIHHHH"), ("sas", "das", None, None)), 2: (struct.Struct("!IIIIIBBHHH"), ("proto", None, None, "sport", "dport")),
+    3: (struct.Struct("!IIIIIIBBHHH"), ("src", None, None, "sas", None, None)), 4: (struct.Struct("!IIIIIIBBHHH"), ("dst", None, None, "das", None, None)),
+    5: (struct.Struct("!IIIIIIIBBHHHHH"), ("src", "dst", None, None, None, "sas", "das", None, None)),
+}
 EXPORT = "version int, exporter_seq bigint, stime_us bigint, ltime_us bigint, saddr_i bigint, daddr_i bigint, sport int, dport int, proto smallint, spkts bigint, sbytes bigint, stos smallint, flags int, sas bigint, das bigint"
 
 
 def decode_export(data: bytes) -> Iterator[tuple]:
-    """Flow records of consecutive export packets of version 1, 5 or 7; a cut-off packet ends it."""
+    """Flow records of consecutive export packets of version 1, 5, 6, 7 or 8; a cut-off packet ends it.
+
+    Version 8 holds aggregates; what an aggregate does not have is null.
+    """
     at = 0
     while at + 16 <= len(data):
         version, count = struct.unpack_from("!HH", data, at)
-        layout = {1: (V1_HEADER, V1_RECORD), 5: (V5_HEADER, V5_RECORD), 7: (V7_HEADER, V7_RECORD)}.get(version)
+        layout = {1: (V1_HEADER, V1_RECORD), 5: (V5_HEADER, V5_RECORD), 6: (V6_HEADER, V6_RECORD), 7: (V7_HEADER, V7_RECORD), 8: (V8_HEADER, None)}.get(version)
         if layout is None or at + layout[0].size > len(data):
             return
         head = layout[0].unpack_from(data, at)
+        names = ()
+        if version == 8:
+            if head[8] not in V8_RECORDS:
+                return
+            layout, names = (V8_HEADER, V8_RECORDS[head[8]][0]), V8_RECORDS[head[8]][1]
         uptime, sec, nsec = head[2:5]
         boot = sec * 1_000_000 + nsec // 1000 - uptime * 1000
         at += layout[0].size
@@ -214,6 +247,10 @@ def decode_export(data: bytes) -> Iterator[tuple]:
                 return
             r = layout[1].unpack_from(data, at)
             at += layout[1].size
+            if version == 8:
+                v = {k: x for k, x in zip(names, r[5:]) if k}
+                yield version, head[5], boot + r[3] * 1000, boot + r[4] * 1000, v.get("src"), v.get("dst"), v.get("sport"), v.get("dport"), v.get("proto"), r[1], r[2], None, None, v.get("sas"), v.get("das")
+                continue
             src, dst, _, _, _, pkts, octets, first, last, sport, dport = r[:11]
             if version == 1:
                 proto, tos, flags, sas, das, seq = r[12], r[13], r[14], None, None, None

@@ -72,3 +72,26 @@ def test_interop(spark, make_flows):
     assert interop.critic(np.ones((2, 3)), np.zeros((2, 3))) == 1.0
     got = spark.createDataFrame([(1378080000123456,)], "t bigint").select(interop.strftime("t", "%Y%%/%m at %T.%f %s"), F.lit(1)).first()[0]
     assert got == "2013%/09 at 00:00:00.123456 1378080000"
+
+
+def test_older_exports(spark, tmp_path):
+    head = lambda v, n, last: struct.pack("!HHIIII", v, n, 60_000, 1_378_080_000, 0, 9) + last
+    v6 = head(6, 1, bytes(4)) + formats.V6_RECORD.pack(0x0A000001, 0x0A000002, 0, 0, 0, 3, 300, 1000, 2000, 5, 6, 0, 2, 6, 1, 7, 8, 24, 24, 0, 0, 0)
+    v8 = b"".join(
+        head(8, 1, bytes([0, 0, method, 2]) + bytes(4)) + formats.V8_RECORDS[method][0].pack(2, 10, 999, 1000, 3000, *rest)
+        for method, rest in ((1, (64500, 64501, 0, 0)), (2, (17, 0, 0, 53, 99)), (3, (0x0A000000, 8, 0, 64500, 0, 0)), (4, (0xC0000200, 24, 0, 64501, 0, 0)), (5, (0x0A000000, 0xC0000200, 24, 8, 0, 1, 2, 0, 0)))
+    )
+    (tmp_path / "x").write_bytes(v6 + v8 + head(8, 1, bytes([0, 0, 99, 2]) + bytes(4)))
+    got = formats.read_export(spark, str(tmp_path / "x")).collect()
+    seen = [(r["saddr"], r["daddr"], r["proto"], r["sport"], r["dport"], r["spkts"], r["sbytes"], r["sas"], r["das"]) for r in got]
+    assert seen == [
+        ("10.0.0.1", "10.0.0.2", 6, 5, 6, 3, 300, 7, 8), (None, None, None, None, None, 10, 999, 64500, 64501), (None, None, 17, 53, 99, 10, 999, None, None),
+        ("10.0.0.0", None, None, None, None, 10, 999, 64500, None), (None, "192.0.2.0", None, None, None, 10, 999, None, 64501), ("10.0.0.0", "192.0.2.0", None, None, None, 10, 999, 1, 2),
+    ]
+    assert got[0]["status"] == 1 and got[0]["dur"] == 1.0 and got[1]["dur"] == 2.0
+
+
+def test_archive_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("#:unix_secs,unix_nsecs,sysuptime,exaddr,dpkts,doctets,first,last,srcaddr,dstaddr,nexthop,srcport,dstport,prot,tos,tcp_flags,src_as,dst_as\n1378080000,5000,1,192.0.2.9,3,300,1000,2500,10.0.0.1,10.0.0.2,0.0.0.0,5,443,6,0,2,7,8\n")
+    r = formats.read_archive_text(spark, str(tmp_path / "a.csv")).first()
+    assert (r["stime_us"], r["dur"], r["ltime_us"], r["sid"], r["spkts"], r["saddr"], r["dport"], r["das"]) == (1378080000000005, 1.5, 1378080001500005, "192.0.2.9", 3, "10.0.0.1", 443, 8)
