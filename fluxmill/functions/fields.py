@@ -89,7 +89,7 @@ DERIVED = {
     "ind": "pmod(xxhash64(saddr, daddr, proto, sport, dport), 4096)", "etype": "CASE WHEN saddr_i IS NOT NULL THEN 'ipv4' WHEN saddr LIKE '%:%' THEN 'ipv6' END",
     "retrans": _both("sloss", "dloss"), "sretrans": "sloss", "dretrans": "dloss", "sstime": "stime", "sltime": "ltime", "sdur": "dur", "cause": "'status'",
 }
-DERIVED["abr"] = DERIVED["pcr"]
+DERIVED |= {"abr": DERIVED["pcr"], "svc": "get_json_object(label, '$.svc')", "mindur": "dur", "maxdur": "dur", "psretrans": DERIVED["sploss"], "pdretrans": DERIVED["dploss"]}
 DERIVED["lnet"] = f"CASE WHEN sloc >= dloc OR dloc IS NULL THEN {DERIVED['snet']} ELSE {DERIVED['dnet']} END"
 DERIVED["rnet"] = f"CASE WHEN sloc >= dloc OR dloc IS NULL THEN {DERIVED['dnet']} ELSE {DERIVED['snet']} END"
 DERIVED["pretrans"], DERIVED["spretrans"], DERIVED["dpretrans"] = DERIVED["ploss"], DERIVED["sploss"], DERIVED["dploss"]
@@ -114,6 +114,7 @@ def _absent() -> dict[str, str]:
     out |= dict.fromkeys("pdspkts pddpkts pdsbytes pddbytes".split(), "DOUBLE")
     out |= {f"idle{x}": "DOUBLE" for x in ("mean", "min", "max", "stddev")}
     out |= {f"{a}intflow{b}": "DOUBLE" for a in ("", "act", "idle") for b in ("", "max", "min", "sdev")}
+    out |= dict.fromkeys("idlmean idlmin idlmax".split(), "DOUBLE") | {"ipid": "INT", "tranref": "BIGINT", "compare": "INT"}
     out |= dict.fromkeys("bins srng erng ias nstroke".split(), "BIGINT")
     out |= dict.fromkeys("xxx tcpext bssid ssid tcpopt resp cor ico node greproto genproto".split(), "STRING")
     out |= {"dstime": "TIMESTAMP", "dltime": "TIMESTAMP", "ddur": "DOUBLE", "score": "SMALLINT", "dsrs": "ARRAY<STRING>"}

@@ -23,7 +23,7 @@ from ..functions import fields as X
 _TOKEN = re.compile(r"\s*(?:(\()|(\))|(!=|<=|>=|==|=|<|>|!(?=[\s(\w]))|(&&|\|\|)|\"([^\"]*)\"|([^\s()<>=!]+))")
 
 RELATIONS = {"eq": "=", "equal": "=", "=": "=", "==": "=", "neq": "!=", "notequal": "!=", "!=": "!=", "lt": "<", "less": "<", "<": "<", "lte": "<=", "<=": "<=", "gt": ">", "greater": ">", ">": ">", "gte": ">=", ">=": ">="}
-LINKS = ("ether", "link", "arp", "rarp", "ip", "ipv4", "ipv6", "vlan", "mpls", "vxlan", "gre", "geneve", "isis", "rtp", "rtcp", "udt")
+LINKS = ("ether", "link", "arp", "rarp", "ip", "ipv4", "ipv6", "vlan", "mpls", "vxlan", "gre", "geneve", "isis", "rtp", "rtcp", "udt", "fddi", "ppp", "slip")
 #: Word -> (source field, destination field) of tests on a number; one name where direction does not matter.
 NUMBERS: dict[str, tuple[str, ...]] = {
     "port": ("sport", "dport"), "ttl": ("sttl", "dttl"), "tos": ("stos", "dtos"), "loc": ("sloc", "dloc"), "as": ("sas", "das"), "asn": ("sas", "das"), "loss": ("sloss", "dloss"),
@@ -34,19 +34,19 @@ NUMBERS: dict[str, tuple[str, ...]] = {
     "nstroke": ("snstroke", "dnstroke"), "nstrokes": ("snstroke", "dnstroke"), "tcpb": ("stcpb", "dtcpb"), "base": ("stcpb", "dtcpb"), "tcprtt": ("tcprtt",), "intflow": ("intflow",),
     "intflowsdev": ("intflowsdev",), "inter": ("sintpkt", "dintpkt"), "intpkt": ("sintpkt", "dintpkt"), "intpktact": ("sintpktact", "dintpktact"), "intpktidle": ("sintpktidl", "dintpktidl"),
     "jit": ("sjit", "djit"), "jitter": ("sjit", "djit"), "jitact": ("sjitact", "djitact"), "jitidle": ("sjitidl", "djitidl"), "deldur": ("dldur",), "delltime": ("dlltime",), "delstime": ("dlstime",),
-    "lat": ("slat", "dlat"), "lon": ("slon", "dlon"), "spi": ("spi",), "len": ("bytes",), "hops": ("shops", "dhops"), "dup": ("sdup", "ddup"),
+    "lat": ("slat", "dlat"), "lon": ("slon", "dlon"), "spi": ("spi",), "len": ("bytes",), "length": ("bytes",), "hops": ("shops", "dhops"), "dup": ("sdup", "ddup"),
 }
 FLOATS = {"rate", "load", "ploss", "dur", "avgdur", "pcr", "pcratio", "abr", "abratio", "lat", "lon", "jit", "jitter", "inter", "intpkt", "intflow", "intflowsdev", "deldur", "delltime", "delstime", "tcprtt"}
 PRECISION = 6
 #: Word -> (source field, destination field) of tests on a text.
-TEXTS = {"co": ("sco", "dco"), "srcid": ("sid",), "sid": ("sid",), "inf": ("inf",), "inode": ("inode",), "node": ("node",), "encaps": ("senc", "denc"), "class": ("smacclass", "dmacclass"), "macclass": ("smacclass", "dmacclass")}
+TEXTS = {"co": ("sco", "dco"), "cocode": ("sco", "dco"), "srcid": ("sid",), "sid": ("sid",), "inf": ("inf",), "inode": ("inode",), "node": ("node",), "encaps": ("senc", "denc"), "class": ("smacclass", "dmacclass"), "macclass": ("smacclass", "dmacclass")}
 #: State word -> (bits for either side, source bits, destination bits) of the TCP status.
 TCP_STATES = {
     "syn": X.SYN, "synack": X.SYN_ACK, "est": X.EST, "con": X.EST, "avail": X.EST, "fin": X.FIN, "finack": X.FIN_ACK, "normal": X.NORMAL_CLOSE, "wait": X.CLOSE_WAIT, "reuse": X.REUSE,
     "rst": X.RESET, "reset": X.RESET, "retrans": X.RETRANS, "drop": X.RETRANS, "winshut": X.WINSHUT, "ecn": X.ECN, "outoforder": X.OUT_OF_ORDER, "ooo": X.OUT_OF_ORDER,
 }
 #: Words for tests on sections that a view may have as a true/false column of that name.
-SWITCHES = "frag fragonly multipath mpath timeout cor corolated echo redirect timexed unreach unr icmpmap rtr mbr lvg hello lsp csnp psnp ack push urg ece cwr tcpopt mss wscale selackok selack tcpecho tcpechoreply tcptimestamp tcpcc tcpccnew tcpccecho secn decn index baseline match svc inbound outbound".split() + [
+SWITCHES = "anon auth recurs req rsp frag fragonly multipath mpath timeout cor corolated echo redirect timexed unreach unr icmpmap rtr mbr lvg hello lsp csnp psnp ack push urg ece cwr tcpopt mss wscale selackok selack tcpecho tcpechoreply tcptimestamp tcpcc tcpccnew tcpccecho secn decn index baseline match svc inbound outbound".split() + [
     f"unr{x}" for x in "net host proto port frag srcfail netunk hostunk iso netpro hostpro nettos hosttos filter hostpre netpre".split()
 ]
 RECORD_TYPES = {"man": "man", "mar": "man", "far": "far", "event": "event", "start": "start", "init": "start", "stop": "stop", "shut": "shutdown", "error": "error", "status": "status"}

@@ -193,7 +193,11 @@ on_flows(
     ),
     lambda f: cluster.idle_split(f, KEY3, 60).select(*KEY3, "stime_us", "ltime_us", "trans"),
 )
-on_flows("a5_status", None, lambda f: cluster.status_split(f, KEY3, 300, 600).drop("part"))
+_TIMED = """r AS (SELECT *, coalesce(saddr, '~') || '|' || coalesce(daddr, '~') || '|' || coalesce(proto::VARCHAR, '~') AS key, row_number() OVER (PARTITION BY saddr, daddr, proto ORDER BY stime_us, autoid) AS k, coalesce(ltime_us, stime_us) AS e FROM f WHERE stime_us IS NOT NULL),
+w AS (SELECT key, k, stime_us AS s0, e AS e0, 0 AS no FROM r WHERE k = 1 UNION ALL
+  SELECT r.key, r.k, CASE WHEN e0 - s0 >= 300000000 OR r.stime_us - e0 >= 600000000 THEN r.stime_us ELSE least(s0, r.stime_us) END, CASE WHEN e0 - s0 >= 300000000 OR r.stime_us - e0 >= 600000000 THEN r.e ELSE greatest(e0, r.e) END,
+    no + CASE WHEN e0 - s0 >= 300000000 OR r.stime_us - e0 >= 600000000 THEN 1 ELSE 0 END FROM w JOIN r ON r.key = w.key AND r.k = w.k + 1)"""
+on_flows("a5_status", f"WITH RECURSIVE {VIEW},\n{_TIMED}\nSELECT saddr, daddr, proto, {MERGED} FROM r JOIN w USING (key, k) GROUP BY saddr, daddr, proto, no", lambda f: cluster.status_split(f, KEY3, 300, 600).drop("part"))
 DAY_BIN = "(epoch_us(date_trunc('year', make_timestamp(stime_us))) + floor((stime_us - epoch_us(date_trunc('year', make_timestamp(stime_us)))) / {s})::BIGINT * {s})"
 on_flows("a9_nomodify", sql(f"SELECT {DAY_BIN.format(s=3600000000)} AS bin_us, proto, {MERGED} FROM f WHERE stime_us IS NOT NULL GROUP BY 1, 2"), lambda f: bins.time_bins(f, "1h", ["proto"], "nomodify"))
 on_flows("a9_months", sql("SELECT epoch_us(date_trunc('month', make_timestamp(stime_us))) AS bin_us, count(*) AS n FROM f WHERE stime_us IS NOT NULL GROUP BY 1"), lambda f: f.where("stime_us is not null").groupBy(bins.bin_start(F.col("stime_us"), "1M").alias("bin_us")).agg(F.count(F.lit(1)).alias("n")))
