@@ -19,8 +19,8 @@ def _length_us() -> Column:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    argus = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null")
-    return argus.select(address("saddr").alias("saddr"), F.col("stime_us").alias("s"), (F.col("stime_us") + _length_us()).alias("e")).where("e >= s")
+    stored = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null")
+    return stored.select(address("saddr").alias("saddr"), F.col("stime_us").alias("s"), (F.col("stime_us") + _length_us()).alias("e")).where("e >= s")
 
 
 _P1 = """WITH spans AS (
@@ -50,8 +50,8 @@ def p1_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    argus = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null")
-    return rolling.trailing_totals(records(argus, saddr=address("saddr"), day=day_number("stime_us"), sbytes=counter("sbytes")), "saddr", "day", "sbytes")
+    stored = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null")
+    return rolling.trailing_totals(records(stored, saddr=address("saddr"), day=day_number("stime_us"), sbytes=counter("sbytes")), "saddr", "day", "sbytes")
 
 
 _P3 = f"""WITH daily AS (SELECT saddr, day, sum(coalesce(sbytes, 0)) AS b FROM
@@ -88,8 +88,8 @@ s AS (SELECT saddr, min(us) AS start_us, max(us) AS end_us, max(us) - min(us) AS
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    argus = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null")
-    return sessions.sessions(records(argus, saddr=address("saddr"), us="stime_us", spkts=counter("spkts")), "saddr", "us", 1800, ("spkts",))
+    stored = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null")
+    return sessions.sessions(records(stored, saddr=address("saddr"), us="stime_us", spkts=counter("spkts")), "saddr", "us", 1800, ("spkts",))
 
 
 @core("p4_found", _P4 + "SELECT saddr, start_us, end_us FROM s WHERE n >= 3 AND spkts >= 100")

@@ -232,7 +232,11 @@ on_flows("a15_address_types", sql("SELECT side, version, type, CASE WHEN version
 on_flows("a16_histogram", sql("SELECT bin, round(CASE WHEN bin > 0 THEN (bin - 1) * 0.5 END, 9) AS low, freq, round(100.0 * freq / sum(freq) OVER (), 6) AS rel, round(100.0 * sum(freq) OVER (ORDER BY bin) / sum(freq) OVER (), 6) AS cum FROM (SELECT CASE WHEN dur < 0 THEN 0 ELSE least(floor(dur / 0.5)::BIGINT + 1, 21) END AS bin, count(*) AS freq FROM f WHERE dur IS NOT NULL GROUP BY 1)"),
          lambda f: histogram.histogram(f, "dur 20:0-10").select("bin", F.round("low", 9).alias("low"), "freq", F.round("rel", 6).alias("rel"), F.round("cum", 6).alias("cum")))
 on_flows("a16_log_histogram", sql("SELECT CASE WHEN v < 0 THEN 0 ELSE least(floor(v / 0.5)::BIGINT + 1, 17) END AS bin, count(*) AS freq FROM (SELECT log10(sbytes) AS v FROM f WHERE sbytes > 0) GROUP BY 1"), lambda f: histogram.histogram(f, "sbytes 16L:0-8").select("bin", "freq"))
-on_flows("a17_auto_range", None, lambda f: histogram.histogram(f, "dur 10"))
+on_flows("a17_auto_range", sql("SELECT bin, round(CASE WHEN bin > 0 THEN start + (bin - 1) * width END, 6) AS low, freq, round(100.0 * freq / sum(freq) OVER (), 6) AS rel, round(100.0 * sum(freq) OVER (ORDER BY bin) / sum(freq) OVER (), 6) AS cum FROM c",
+         "p AS (SELECT least(0, min(dur)) AS start, (max(dur) - least(0, min(dur))) / 10 AS step FROM f WHERE dur IS NOT NULL)",
+         "w AS (SELECT start, CASE WHEN step >= 10 THEN ceil(step - 1e-9) ELSE ceil(step * pow(10, ceil(1 - log10(step))) - 1e-9) / pow(10, ceil(1 - log10(step))) END AS width FROM p)",
+         "c AS (SELECT CASE WHEN dur < start THEN 0 ELSE least(floor((dur - start) / width)::BIGINT + 1, 11) END AS bin, any_value(start) AS start, any_value(width) AS width, count(*) AS freq FROM f, w WHERE dur IS NOT NULL GROUP BY 1)"),
+         lambda f: histogram.histogram(f, "dur 10").select("bin", F.round("low", 6).alias("low"), "freq", F.round("rel", 6).alias("rel"), F.round("cum", 6).alias("cum")))
 on_flows("a18_order_statistics", sql("""SELECT proto, count(*) AS n, round(avg(v), 5) AS mean, min(v) AS min, max(v) AS max, median(v) AS median, min(CASE WHEN r > floor(0.95::DOUBLE * n) THEN v END) AS p95 FROM r GROUP BY proto""",
          "r AS (SELECT proto, dur AS v, row_number() OVER (PARTITION BY proto ORDER BY dur) AS r, count(*) OVER (PARTITION BY proto) AS n FROM f WHERE dur IS NOT NULL)"),
          lambda f: histogram.order_statistics(f, "dur", ("proto",)).select("proto", "n", F.round("mean", 5).alias("mean"), "min", "max", "median", "p95"))
@@ -344,10 +348,18 @@ on_flows("x16_label_union", None, lambda f: labels.merged_labels(f.where("label
 on_flows("x13_sha1", sql("SELECT autoid, sha1(coalesce(saddr, '')) AS digest FROM f"), lambda f: f.select("autoid", F.sha1(F.coalesce("saddr", F.lit(""))).alias("digest")))
 on_flows("x15_direction_hint", sql("SELECT CASE WHEN sloc >= 3 AND dloc >= 3 THEN 'inside' WHEN sloc >= 3 THEN 'out' WHEN dloc >= 3 THEN 'in' WHEN sloc IS NULL AND dloc IS NULL THEN 'unknown' ELSE 'outside' END AS way, count(*) AS n FROM f GROUP BY 1"),
          lambda f: f.groupBy(F.when((F.col("sloc") >= 3) & (F.col("dloc") >= 3), "inside").when(F.col("sloc") >= 3, "out").when(F.col("dloc") >= 3, "in").when(F.col("sloc").isNull() & F.col("dloc").isNull(), "unknown").otherwise("outside").alias("way")).agg(F.count(F.lit(1)).alias("n")))
-on_flows("x7_anonymize", None, lambda f: anonymize.anonymize(f, port_offset=17, time_offset_us=-86_400_000_000, seq_offset=1000).select("autoid", "saddr", "daddr", "sport", "dport", "stime_us", "seq", "sbytes"))
-on_flows("x7_address_map", sql("SELECT a AS addr_i, CASE WHEN kept THEN a ELSE 167772160 + (no - 1) * 256 + h END AS anon_i FROM k",
-         "e AS (SELECT saddr_i AS a, autoid * 2 AS t FROM f UNION ALL SELECT daddr_i, autoid * 2 + 1 FROM f)", "s AS (SELECT a, min(t) AS t, a >= 3758096384 OR a & 255 = 255 AS kept, a & 4294967040 AS net FROM e WHERE a IS NOT NULL GROUP BY a)",
-         "n AS (SELECT net, row_number() OVER (ORDER BY min(t)) AS no FROM s WHERE NOT kept GROUP BY net)", "k AS (SELECT s.*, no, row_number() OVER (PARTITION BY s.net, kept ORDER BY t) AS h FROM s LEFT JOIN n USING (net))"), anonymize.address_map)
+_MAP = (
+    "e AS (SELECT saddr_i AS a, autoid * 2 AS t FROM f UNION ALL SELECT daddr_i, autoid * 2 + 1 FROM f)", "s AS (SELECT a, min(t) AS t, a >= 3758096384 OR a & 255 = 255 AS kept, a & 4294967040 AS net FROM e WHERE a IS NOT NULL GROUP BY a)",
+    "n AS (SELECT net, row_number() OVER (ORDER BY min(t)) AS no FROM s WHERE NOT kept GROUP BY net)", "k AS (SELECT s.*, no, row_number() OVER (PARTITION BY s.net, kept ORDER BY t) AS h FROM s LEFT JOIN n USING (net))",
+    "m AS (SELECT a AS addr_i, CASE WHEN kept THEN a ELSE 167772160 + (no - 1) * 256 + h END AS anon_i FROM k)",
+)
+_DOTTED = "(({a} >> 24) & 255) || '.' || (({a} >> 16) & 255) || '.' || (({a} >> 8) & 255) || '.' || ({a} & 255)"
+_PORT = "CASE WHEN {p} < 1024 THEN {p} WHEN {p} < 49152 THEN 1024 + ({p} - 1024 + 17) % 48128 ELSE 49152 + ({p} - 49152 + 17) % 16384 END"
+on_flows("x7_anonymize", sql(
+    "SELECT autoid, coalesce(" + _DOTTED.format(a="ms.anon_i") + ", 'x:' || left(sha256(saddr), 16)) AS saddr, coalesce(" + _DOTTED.format(a="md.anon_i") + ", 'x:' || left(sha256(daddr), 16)) AS daddr, "
+    + _PORT.format(p="sport") + " AS sport, " + _PORT.format(p="dport") + " AS dport, stime_us - 86400000000 AS stime_us, seq + 1000 AS seq, sbytes FROM f LEFT JOIN m ms ON ms.addr_i = saddr_i LEFT JOIN m md ON md.addr_i = daddr_i", *_MAP),
+    lambda f: anonymize.anonymize(f, port_offset=17, time_offset_us=-86_400_000_000, seq_offset=1000).select("autoid", "saddr", "daddr", "sport", "dport", "stime_us", "seq", "sbytes"))
+on_flows("x7_address_map", sql("SELECT addr_i, anon_i FROM m", *_MAP), anonymize.address_map)
 SIGNATURES = [labels.Signature("greeting", 6, 443, "src", "68656C6C6F2D"), labels.Signature("control", 17, 53, "src", "3?00??07"), labels.Signature("short", 17, 53, "src", "0?")]
 on_flows("x9_signatures", sql("""SELECT autoid, CASE WHEN proto = 6 AND hex(suser) LIKE '68656C6C6F2D%' THEN 'greeting' WHEN proto = 17 AND hex(suser) LIKE '3_00__07%' AND (coalesce(dport = 53, false) OR coalesce(sport = 53, false)) THEN 'control'
   WHEN proto = 17 AND hex(suser) LIKE '0_%' AND (coalesce(dport = 53, false) OR coalesce(sport = 53, false)) THEN 'short' END AS service FROM f"""), lambda f: labels.match_signatures(f, SIGNATURES).select("autoid", "service"))
