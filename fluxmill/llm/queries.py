@@ -18,9 +18,9 @@ GROUPS = ["utc_day", "proto", "metric"]
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    argus = table(spark, sf_dir, "argus").where("stime_us is not null")
+    stored = table(spark, sf_dir, "argus").where("stime_us is not null")
     dur = F.when(F.col("dur") >= 0, F.round(F.col("dur") * 1e6).cast("bigint"))
-    rows = records(argus, day=day_number("stime_us"), proto=F.col("proto").cast("int"), dur=dur, sbytes=counter("sbytes"), dbytes=counter("dbytes"))
+    rows = records(stored, day=day_number("stime_us"), proto=F.col("proto").cast("int"), dur=dur, sbytes=counter("sbytes"), dbytes=counter("dbytes"))
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.when(F.col(m) >= 0, F.col(m)).alias("value")) for m in ("dur", "sbytes", "dbytes")))
     return rows.select("day", "proto", F.explode(pairs).alias("x")).select("day", "proto", "x.metric", "x.value")
 
@@ -73,8 +73,8 @@ def p2_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pair_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    argus = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null and daddr is not null")
-    rows = argus.select(address("saddr").alias("saddr"), address("daddr").alias("daddr"), day_number("stime_us").alias("day"))
+    stored = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null and daddr is not null")
+    rows = stored.select(address("saddr").alias("saddr"), address("daddr").alias("daddr"), day_number("stime_us").alias("day"))
     pairs = membership.members(membership.bitmaps(rows, ["saddr"], "daddr", "day"), ["saddr"])
     sides = F.array(F.struct(F.lit("saddr").alias("grp"), F.col("saddr").alias("addr")), F.struct(F.lit("daddr").alias("grp"), F.col("ident").alias("addr")))
     rows = pairs.select("pattern", F.explode(sides).alias("x")).select("x.grp", "x.addr", "pattern")
