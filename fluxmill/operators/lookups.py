@@ -179,16 +179,40 @@ def mutual_peers(df: DataFrame) -> DataFrame:
 
 
 def two_probes(df: DataFrame, within_s: int = 60) -> DataFrame:
-    """Flows that two probes saw: differences of duration, start, end and packets between the first probe's and another's.
+    """Flows that two probes saw: differences of duration, start, end and packets between the lower probe's and the other's.
 
-    Records meet on the five-tuple and the slot of their start; of a probe the earliest record in a slot counts.
+    Records meet on the five-tuple, null ports included. Each record is paired with the record of each other probe that
+    starts nearest to it, at most ``within_s`` seconds away (on a tie the earlier one, then the lower autoid); a pair that
+    both sides choose counts once, copies of a record (sid, seq) too. Five-tuples of one probe leave first. The others are
+    cut into slots of time, each record goes into its own slot and both neighbours, and the nearest are running extremes
+    within (five-tuple, slot, two probes): no two records are joined, so a heavy five-tuple costs no more a record.
     """
     step = within_s * 1_000_000
-    keys = ["saddr", "daddr", "proto", "sport", "dport", "slot"]
-    rows = df.where("stime_us is not null and sid is not null and saddr is not null and daddr is not null").withColumn("slot", F.expr(f"stime_us div {step}"))
-    value = F.struct("stime_us", "ltime_us", "dur", "spkts", "dpkts", "autoid")
-    per = rows.groupBy(*keys, "sid").agg(F.min(value).alias("v"))
-    w = Window.partitionBy(*keys).orderBy("sid")
-    per = per.withColumns({"f": F.first("v").over(w), "fsid": F.first("sid").over(w)}).where("sid <> fsid")
+    keys, values = ["saddr", "daddr", "proto", "sport", "dport"], ["stime_us", "ltime_us", "dur", "spkts", "dpkts"]
+    rows = df.where("stime_us is not null and sid is not null and saddr is not null and daddr is not null")
+    sides = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("sid").alias("_a"), F.max("sid").alias("_b")).where("_a <> _b")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = rows.join(sides, same, "left_semi")
+    own = F.when(F.col("seq").isNull(), F.col("autoid")).alias("own")
+    rows = rows.groupBy(*keys, "sid", "seq", own, *values).agg(F.min("autoid").alias("autoid"))
+    rows = rows.withColumn("home", F.expr(f"stime_us div {step}")).withColumn("slot", F.explode(F.array(*(F.col("home") + i for i in (-1, 0, 1)))))
+    probes = F.collect_set("sid").over(Window.partitionBy(*keys, "slot"))
+    rows = rows.withColumn("_probes", probes).withColumn("other", F.explode(F.array_except("_probes", F.array("sid"))))
+    rows = rows.withColumns({"p": F.least("sid", "other"), "q": F.greatest("sid", "other"), "v": F.struct(*values, "autoid")})
+    pair = Window.partitionBy(*keys, "slot", "p", "q")
+    until, since = (pair.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("stime_us"), F.desc("stime_us")))
+
+    def nearest(side: str) -> Column:
+        of = F.col("sid") == F.col(side)
+        before = F.max(F.when(of, F.struct("stime_us", -F.col("autoid"), "v"))).over(until)["v"]
+        after = F.min(F.when(of, F.struct("stime_us", "autoid", "v"))).over(since)["v"]
+        return F.when(after.isNull() | (F.col("stime_us") - before["stime_us"] <= after["stime_us"] - F.col("stime_us")), before).otherwise(after)
+
+    rows = rows.withColumns({"_p": nearest("p"), "_q": nearest("q")}).where("slot = home")
+    first = F.col("sid") == F.col("p")
+    rows = rows.select(F.col("p").alias("fsid"), F.col("q").alias("sid"), *keys, F.when(first, F.col("v")).otherwise(F.col("_p")).alias("f"), F.when(first, F.col("_q")).otherwise(F.col("v")).alias("v"))
+    rows = rows.where(F.abs(F.col("v.stime_us") - F.col("f.stime_us")) <= step).distinct()
     less = lambda c: F.col(f"v.{c}") - F.col(f"f.{c}")
-    return per.select("fsid", "sid", *keys[:5], F.round(less("dur"), 6).alias("dldur"), (less("stime_us") / 1e6).alias("dlstime"), (less("ltime_us") / 1e6).alias("dlltime"), less("spkts").alias("dlspkt"), less("dpkts").alias("dldpkt"))
+    return rows.select("fsid", "sid", *keys, F.round(less("dur"), 6).alias("dldur"), (less("stime_us") / 1e6).alias("dlstime"), (less("ltime_us") / 1e6).alias("dlltime"), less("spkts").alias("dlspkt"), less("dpkts").alias("dldpkt"))
