@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.addresses import v4_net
+from ..sources.flows import PAIRS
 
 
 def longest_prefix(df: DataFrame, number: str, ranges: DataFrame, values: dict[str, str], at_least: int = 0) -> DataFrame:
@@ -73,8 +74,12 @@ WEEK_US = 7 * 86400 * 10**6
 
 
 def baseline(df: DataFrame, keys: list[str]) -> DataFrame:
-    """What a later :func:`score` compares with: key, first start and span of its records."""
-    return df.where("stime_us is not null").groupBy(*keys).agg(F.min("stime_us").alias("b_start"), (F.max(F.greatest("ltime_us", "stime_us")) - F.min("stime_us")).alias("b_span"))
+    """What a later :func:`score` compares with: key, first start and span of its records, whether a TCP SYN was among them."""
+    return df.where("stime_us is not null").groupBy(*keys).agg(F.min("stime_us").alias("b_start"), (F.max(F.greatest("ltime_us", "stime_us")) - F.min("stime_us")).alias("b_span"), F.max(_syn()).alias("b_syn"))
+
+
+def _syn() -> Column:
+    return F.coalesce((F.col("proto") == 6) & (F.col("status").bitwiseAND(1) == 1), F.lit(False))
 
 
 def score(df: DataFrame, annual: DataFrame, monthly: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,14 +87,23 @@ def score(df: DataFrame, annual: DataFrame, monthly: DataFrame, keys: list[str])
 
     Known before the record's start: 4 for a span above four weeks, 3 above one week, else 1 (annual) or 0 (monthly).
     The same start gives 1, equal spans in both baselines at least 1, no match 0. The greater of both counts.
+
+    A key that a baseline lacks is looked up there once more in the other direction, as the record may have been seen from
+    the far side; not so for ESP, and not where record and baseline both carry a SYN: these are conversations of their own.
     """
     rows = df
-    for name, side in (("a", annual), ("m", monthly)):
-        side = side.select(*(F.col(k).alias(f"_{name}{i}") for i, k in enumerate(keys)), F.col("b_start").alias(f"_{name}_start"), F.col("b_span").alias(f"_{name}_span"))
-        cond = F.lit(True)
-        for i, k in enumerate(keys):
-            cond &= F.col(k) == F.col(f"_{name}{i}")
-        rows = rows.join(side, cond, "left")
+    other = dict(PAIRS) | {d: s for s, d in PAIRS}
+    parts = ("start", "span", "syn")
+    for turned in (False, True):
+        for name, side in (("a", annual), ("m", monthly)):
+            side = side.select(*(F.col(k).alias(f"_{name}{i}") for i, k in enumerate(keys)), *(F.col(f"b_{x}").alias(f"_{name}_{x}{'_r' * turned}") for x in parts))
+            cond = F.lit(True)
+            for i, k in enumerate(keys):
+                cond &= F.col(other.get(k, k) if turned else k) == F.col(f"_{name}{i}")
+            if turned:
+                cond &= F.col(f"_{name}_start").isNull() & ~F.coalesce(F.col("proto") == 50, F.lit(False)) & ~(_syn() & F.col(f"_{name}_syn_r"))
+            rows = rows.join(side, cond, "left").drop(*(f"_{name}{i}" for i in range(len(keys))))
+    rows = rows.withColumns({f"_{n}_{x}": F.coalesce(f"_{n}_{x}", f"_{n}_{x}_r") for n in "am" for x in ("start", "span")})
 
     def one(name: str, least: int) -> Column:
         start, span = F.col(f"_{name}_start"), F.col(f"_{name}_span")

@@ -36,3 +36,14 @@ def test_two_probes_like_interval_join(spark, sf, duck):
     got = core.queries["a29_two_probes"](spark, sf).select("fsid", "sid", "dldur", "dlstime", "dlspkt").collect()
     want = duck.execute(NEAREST).fetchall()
     assert Counter(map(plain, got)) == Counter(map(plain, want)) and want
+
+
+def test_score_tries_the_other_direction(make_flows):
+    week = 7 * 86400 * S
+    base = [seen("p", 0, saddr="c", daddr="d", proto=17, dport=53, ltime_us=2 * week), seen("p", 0, saddr="c", daddr="d", dport=80, ltime_us=2 * week, status=1), seen("p", 0, saddr="c", daddr="d", proto=50, dport=7)]
+    far = {"saddr": "d", "daddr": "c"}
+    rows = [seen("p", 9, **far, proto=17, sport=53, dport=9), seen("p", 9, **far, sport=80, dport=9, status=4), seen("p", 9, **far, sport=80, dport=9, status=1), seen("p", 9, **far, proto=50, sport=7, dport=9), seen("p", 9, **far, proto=17, sport=54, dport=53), seen("p", 9, saddr="c", daddr="d", proto=17, dport=53)]
+    keys = ["saddr", "daddr", "proto", "dport"]
+    known = lookups.baseline(make_flows(base), keys)
+    got = {r["autoid"]: r["score"] for r in lookups.score(make_flows(rows), known, known, keys).collect()}
+    assert got == {0: 3, 1: 3, 2: 0, 3: 0, 4: 0, 5: 3}  # two SYNs and ESP: conversations of their own; 4: another port
