@@ -268,7 +268,7 @@ on_flows("a29_two_probes", sql("SELECT fsid, sid, saddr, daddr, proto, sport, dp
          "n AS (SELECT *, first_value(v) OVER w AS fv, first_value(sid) OVER w AS fsid FROM r WINDOW w AS (PARTITION BY saddr, daddr, proto, sport, dport, slot ORDER BY sid))"), lambda f: lookups.two_probes(f))
 
 # --- sort, limit, ranks
-on_flows("o1_sort", sql(f"SELECT autoid, saddr, {BYTES} AS bytes FROM f ORDER BY bytes DESC, stime_us NULLS LAST, autoid LIMIT 100"), lambda f: f.select("autoid", "saddr", "stime_us", fields.field("bytes")).orderBy(F.desc("bytes"), F.asc_nulls_last("stime_us"), "autoid").limit(100).drop("stime_us"))
+on_flows("o1_sort", sql(f"SELECT autoid, saddr, {BYTES} AS bytes FROM f ORDER BY bytes DESC, stime_us NULLS LAST, autoid LIMIT 100"), lambda f: f.select("autoid", "saddr", "stime_us", fields.field("bytes")).orderBy(F.desc("bytes"), F.asc_nulls_last("stime_us"), "autoid").drop("stime_us"))
 on_flows("o2_top", sql("SELECT saddr, count(*) AS n FROM f GROUP BY saddr ORDER BY n DESC, saddr NULLS LAST LIMIT 20"), lambda f: f.groupBy("saddr").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("saddr")).limit(20))
 on_flows("o4_top_per_bin", sql(f"SELECT bin_us, saddr, bytes, rank FROM (SELECT *, row_number() OVER (PARTITION BY bin_us ORDER BY bytes DESC, saddr NULLS LAST) - 1 AS rank FROM (SELECT {DAY_BIN.format(s=86400000000)} AS bin_us, saddr, cast(sum({BYTES}) AS BIGINT) AS bytes FROM f WHERE stime_us IS NOT NULL GROUP BY 1, 2)) WHERE rank < 5"),
          lambda f: bins.time_bins(f, "1d", ["saddr"], "nomodify").select("bin_us", "saddr", (F.col("sbytes") + F.col("dbytes")).alias("bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("bin_us").orderBy(F.desc("bytes"), F.asc_nulls_last("saddr"))) - 1).where("rank < 5"))

@@ -47,3 +47,18 @@ def test_score_tries_the_other_direction(make_flows):
     known = lookups.baseline(make_flows(base), keys)
     got = {r["autoid"]: r["score"] for r in lookups.score(make_flows(rows), known, known, keys).collect()}
     assert got == {0: 3, 1: 3, 2: 0, 3: 0, 4: 0, 5: 3}  # two SYNs and ESP: conversations of their own; 4: another port
+
+
+def test_sort_keeps_the_whole_table(spark, sf, duck):
+    got = [tuple(r) for r in core.queries["o1_sort"](spark, sf).select("autoid", "saddr", "bytes").collect()]
+    text = core.sql["o1_sort"]
+    want = duck.execute(text.removesuffix(" LIMIT 100")).fetchall()
+    assert len(got) == duck.execute("SELECT count(*) FROM argus").fetchone()[0] > 100
+    assert got == want and got[:100] == duck.execute(text).fetchall()[:100]
+
+
+def test_written_sort_keeps_its_order(spark, sf, tmp_path):
+    at = str(tmp_path / "sorted")
+    core.queries["o1_sort"](spark, sf).write.parquet(at)
+    parts = [spark.read.parquet(str(p)).collect() for p in sorted((tmp_path / "sorted").glob("part-*.parquet"))]
+    assert [tuple(r) for part in parts for r in part] == [tuple(r) for r in core.queries["o1_sort"](spark, sf).collect()]
