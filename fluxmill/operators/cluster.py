@@ -175,19 +175,19 @@ def cluster_by_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def idle_split(df: DataFrame, keys: list[str], idle_s: float, slice_s: int = 3600) -> DataFrame:
     """Aggregates by key, a new record beginning where nothing was active for ``idle_s`` seconds or more.
 
-    Done within slices of time first, then over what the slices leave (at most slice_s / idle_s + 1 rows each), so a key
-    with a large part of all records is shared by many tasks.
+    A record without an end ends where it starts. Done within slices of time first, then over what the slices leave (at
+    most slice_s / idle_s + 1 rows each), so a key with a large part of all records is shared by many tasks.
     """
     idle = int(idle_s * 1e6)
 
     def numbered(rows: DataFrame, within: list[str]) -> DataFrame:
         w = Window.partitionBy(*within).orderBy("stime_us", "ltime_us")
-        before = F.max(F.coalesce("ltime_us", "stime_us")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        before = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
         rows = rows.withColumn("_new", F.when(F.col("stime_us") - before < idle, 0).otherwise(1))
         return rows.withColumn("part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    rows = df.where("stime_us is not null").withColumn("_slice", F.expr(f"stime_us div {slice_s * 1_000_000}"))
-    rows = numbered(rows, [*keys, "_slice"]).groupBy(*keys, "_slice", "part").agg(*merged()).drop("part")
+    rows = df.where("stime_us is not null").withColumns({"_slice": F.expr(f"stime_us div {slice_s * 1_000_000}"), "_end": F.coalesce("ltime_us", "stime_us")})
+    rows = numbered(rows, [*keys, "_slice"]).groupBy(*keys, "_slice", "part").agg(*merged(), F.max("_end").alias("_end")).drop("part")
     return numbered(rows, keys).groupBy(*keys, "part").agg(*_united(None))
 
 

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from fluxmill.operators import lookups
+from fluxmill.operators import cluster, lookups
 from fluxmill.plans.catalog import core
 from fluxmill.plans.reference import sql
 
@@ -62,3 +62,9 @@ def test_written_sort_keeps_its_order(spark, sf, tmp_path):
     core.queries["o1_sort"](spark, sf).write.parquet(at)
     parts = [spark.read.parquet(str(p)).collect() for p in sorted((tmp_path / "sorted").glob("part-*.parquet"))]
     assert [tuple(r) for part in parts for r in part] == [tuple(r) for r in core.queries["o1_sort"](spark, sf).collect()]
+
+
+def test_idle_timer_null_end_at_a_slice_edge(make_flows):
+    rows = [seen("p", 3500, ltime_us=3505 * S), seen("p", 3550, ltime_us=None), seen("p", 3606), seen("p", 3666)]
+    got = cluster.idle_split(make_flows(rows), ["saddr"], 60).orderBy("stime_us").collect()
+    assert [(r["stime_us"] // S, r["ltime_us"] // S, r["trans"]) for r in got] == [(3500, 3606, 3), (3666, 3666, 1)]
