@@ -63,7 +63,7 @@ def st6_top(spark: SparkSession, d: str) -> DataFrame:
 
 @core("st5_status")
 def st5_status(spark: SparkSession, d: str) -> DataFrame:
-    return live.stored_result(live.status_reports(_stream(spark, d), ["saddr"], 300, 3600))
+    return live.stored_result(live.status_reports(_stream(spark, d), ["saddr"], 300, 3600), still_open=live.open_reports)
 
 
 @core("s2_range", sql("SELECT autoid, saddr FROM f WHERE autoid >= 100 AND autoid < 5000"))

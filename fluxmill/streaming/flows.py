@@ -77,6 +77,12 @@ def status_reports(df: DataFrame, keys: list[str], status_s: float, idle_s: floa
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, "s bigint, e bigint, n bigint, b bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def open_reports(states: DataFrame) -> DataFrame:
+    """What :func:`status_reports` still holds, as reports with the reason 'open': rows of its state (key, value)."""
+    now = "value.groupState"
+    return states.where(f"{now} is not null").select("key.*", F.col(f"{now}.s").alias("stime_us"), F.col(f"{now}.e").alias("ltime_us"), F.col(f"{now}.n").alias("n"), F.col(f"{now}.b").alias("bytes"), F.lit("open").alias("reason"))
+
+
 def events_with_flows(flows: DataFrame, events: DataFrame, within: str) -> DataFrame:
     """Stream-stream join of flows and open-port events (sid, ts, prog, proto, port) of one probe up to ``within`` apart."""
     a = flows.where("stime is not null").withWatermark("stime", within).select("autoid", "sid", "proto", "dport", "stime")
@@ -172,11 +178,12 @@ def replay(df: DataFrame, writer_path: str, speed: float, seconds_per_step: floa
     return rows.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stored_result(df: DataFrame, mode: str = "append") -> DataFrame:
+def stored_result(df: DataFrame, mode: str = "append", still_open: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote.
 
     The result goes to the shared folder (spark.checkpoint.dir) and not through the driver. In mode 'complete' the last
     batch is the result, in 'append' all batches are, each under its own directory so that a repeated one replaces itself.
+    ``still_open`` makes rows of the state that is left after the last batch; they end the result.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
@@ -186,7 +193,8 @@ def stored_result(df: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={0 if mode == 'complete' else no}")
 
     run_available(df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").foreachBatch(write))
-    return spark.read.schema(df.schema).parquet(f"{at}/out/batch=*")
+    out = spark.read.schema(df.schema).parquet(f"{at}/out/batch=*")
+    return out.unionByName(still_open(spark.read.format("statestore").load(f"{at}/log"))) if still_open else out
 
 
 def latest_ranked(batch: DataFrame, key: str, by: str, k: int) -> DataFrame:

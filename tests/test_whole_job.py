@@ -68,3 +68,22 @@ def test_idle_timer_null_end_at_a_slice_edge(make_flows):
     rows = [seen("p", 3500, ltime_us=3505 * S), seen("p", 3550, ltime_us=None), seen("p", 3606), seen("p", 3666)]
     got = cluster.idle_split(make_flows(rows), ["saddr"], 60).orderBy("stime_us").collect()
     assert [(r["stime_us"] // S, r["ltime_us"] // S, r["trans"]) for r in got] == [(3500, 3606, 3), (3666, 3666, 1)]
+
+
+def test_status_reports_hold_every_record(spark, sf, duck):
+    rows = duck.execute(sql("SELECT saddr, stime_us, greatest(coalesce(ltime_us, stime_us), stime_us), coalesce(sbytes, 0) + coalesce(dbytes, 0) FROM f WHERE saddr IS NOT NULL AND stime_us IS NOT NULL ORDER BY ALL")).fetchall()
+    want, last = [], None
+    for k, s, e, b in rows:
+        if k != last or want[-1][2] - want[-1][1] >= 300 * S or s - want[-1][2] >= 3600 * S:
+            want.append([k, s, e, 0, 0])
+        last = k
+        want[-1] = [k, min(want[-1][1], s), max(want[-1][2], e), want[-1][3] + 1, want[-1][4] + b]
+    got = core.queries["st5_status"](spark, sf).collect()
+    assert sum(r["n"] for r in got) == len(rows)
+    assert Counter((r["saddr"], r["stime_us"], r["ltime_us"], r["n"], r["bytes"]) for r in got) == Counter(map(tuple, want))
+    assert "open" in {r["reason"] for r in got}
+
+
+def test_status_reports_of_nothing(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/argus.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / "argus.parquet"))
+    assert core.queries["st5_status"](spark, str(tmp_path)).count() == 0
