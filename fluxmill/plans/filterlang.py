@@ -45,7 +45,7 @@ TCP_STATES = {
     "syn": X.SYN, "synack": X.SYN_ACK, "est": X.EST, "con": X.EST, "avail": X.EST, "fin": X.FIN, "finack": X.FIN_ACK, "normal": X.NORMAL_CLOSE, "wait": X.CLOSE_WAIT, "reuse": X.REUSE,
     "rst": X.RESET, "reset": X.RESET, "retrans": X.RETRANS, "drop": X.RETRANS, "winshut": X.WINSHUT, "ecn": X.ECN, "outoforder": X.OUT_OF_ORDER, "ooo": X.OUT_OF_ORDER,
 }
-#: Words for tests on sections that a view may have as a true/false column of that name.
+#: Words for tests on sections that a view may have as a true/false column of that name; without it they are an error.
 SWITCHES = "anon auth recurs req rsp frag fragonly multipath mpath timeout cor corolated echo redirect timexed unreach unr icmpmap rtr mbr lvg hello lsp csnp psnp ack push urg ece cwr tcpopt mss wscale selackok selack tcpecho tcpechoreply tcptimestamp tcpcc tcpccnew tcpccecho secn decn index baseline match svc inbound outbound".split() + [
     f"unr{x}" for x in "net host proto port frag srcfail netunk hostunk iso netpro hostpro nettos hosttos filter hostpre netpre".split()
 ]
@@ -362,7 +362,9 @@ class Parser:
             return all_of(Test(f"sloc {op} 3"), Test(f"dloc {op} 3"))
         if word in RECORD_TYPES:
             return Test(f"{X.sql('type', self.columns)} = '{RECORD_TYPES[word]}'" if word not in ("start", "init", "stop", "status", "shut", "error") else f"{X.sql('cause', self.columns)} = '{RECORD_TYPES[word]}'")
-        return Test(word if self.columns and word in self.columns else "false")
+        if word not in (self.columns or ()):
+            raise FilterError(f"{word!r} needs a column of that name, which the records lack")
+        return Test(word)
 
     # --- arithmetic over named fields: "sbytes + dbytes > 100 * spkts"
 

@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+import pytest
 from fluxmill.operators import cluster, lookups
 from fluxmill.plans.catalog import core
+from fluxmill.plans.filterlang import SWITCHES, FilterError, compile_sql
 from fluxmill.plans.reference import sql
 
 S = 1_000_000
@@ -87,3 +89,11 @@ def test_status_reports_hold_every_record(spark, sf, duck):
 def test_status_reports_of_nothing(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/argus.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / "argus.parquet"))
     assert core.queries["st5_status"](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("word", SWITCHES)
+def test_filter_words_without_a_column(word):
+    for text in (word, f"not {word}", f"tcp or {word}"):
+        with pytest.raises(FilterError):
+            compile_sql(text, {"proto"})
+    assert word in compile_sql(word, {word})
