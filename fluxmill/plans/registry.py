@@ -13,6 +13,8 @@ class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
+        #: What queries keep between calls in one session (trained models); emptied by whoever measures them.
+        self.caches: list[dict] = []
 
     def __call__(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
