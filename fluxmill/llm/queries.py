@@ -195,9 +195,18 @@ def p9_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 10: abusive, hateful or sexual content
 
 
+#: Models of this session by folder and content of the labels, so that several queries over a table train once.
+MODELS: dict[tuple, toxicity.Model] = {}
+llm.caches.append(MODELS)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, table(spark, sf_dir, "doc_label"))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label")
+    content = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "toxic", "confidence").cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *content)
+    if key not in MODELS:
+        MODELS[key] = toxicity.fit(docs, labels)
+    model = MODELS[key]
     return docs.select("doc_id", "source", toxicity.score("text", model).alias("score"))
 
 

@@ -257,6 +257,57 @@ def test_long_texts_are_read_to_the_end():
     assert p[0] < toxicity.THRESHOLD <= p[1]
 
 
+def test_nothing_is_passed_over_but_binary_patches():
+    """Unbroken lines of any length are scored; encoded lines are only known below the head of a binary patch."""
+    for n in range(21, 67):
+        line = "kill-yourself-stupid!" + "x" * (n - 21)
+        assert line[:16] in toxicity.plain(line) and toxicity._WORD.findall(toxicity.plain(line))
+    assert "idiot" in toxicity.plain("diff --git a/idiot.c b/idiot.c")
+    encoded = "z" + "aB3$x" * 13
+    block = f"GIT binary patch\nliteral 104\n{encoded}\n{encoded}\n\nyou idiot\n{encoded}\n"
+    assert toxicity.plain(block) == f"git binary patch\nyou idiot\n{encoded.lower()}\n"
+    assert toxicity.plain(f"GIT binary patch\r\nliteral 52\r\n{encoded}") == "git binary patch\n"
+    assert "stay" in toxicity.plain(f"GIT binary patch\nliteral 52\n{encoded}\nstay")
+
+
+def test_passages_over_a_cut_count_whole(monkeypatch):
+    texts, y = _corpus(400, 3)
+    weights, bias = toxicity.train(texts, y.astype(float), np.ones(len(y)))
+    text = ("fix a1 in parser, you worthless idiot and drop b2 in parser " * 40 + "\n") * 3 + "kill the child process. " * 50 + "you lying bastard"
+    whole = toxicity.worst_passages([text, "you lying bastard", "x" * 500], weights, bias, toxicity._Codes())
+    for size in (7, 20, 64, 300):
+        monkeypatch.setattr(toxicity, "PIECE_CHARS", size)
+        assert np.allclose(toxicity.worst_passages([text, "you lying bastard", "x" * 500], weights, bias, toxicity._Codes()), whole, atol=1e-9)
+
+
+def test_few_labels_still_give_weights():
+    texts, y = _corpus(60, 5)
+    weights, bias = toxicity.train(texts, y.astype(float), np.ones(len(y)))
+    held, truth = _corpus(300, 6)
+    p = toxicity.worst_passages(held, weights, bias, toxicity._Codes())
+    assert p.std() > 0.05 and (p[truth] >= toxicity.THRESHOLD).mean() > 0.9 and (p[~truth] >= toxicity.THRESHOLD).mean() < 0.05
+
+
+def test_masked_letters():
+    codes = toxicity._Codes()
+    codes.weights = np.zeros(toxicity.MASK + 1)
+    for word in ("bastard", "idiot"):
+        codes.weights[toxicity._mix(np.array([codes[word]]), 1)] = 3.0
+    assert codes["b*stard"] == codes["b*st*rd"] == codes["bastard"] and codes["id**t"] == codes["idiot"]
+    assert codes["b**t**d"] not in (codes["bastard"], codes["idiot"])
+
+
+def test_one_training_for_a_table(spark, sf, monkeypatch):
+    from fluxmill.llm import queries as q
+
+    q.MODELS.clear()
+    calls, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: calls.append(1) or fit(*a))
+    for name in ("p10_found", "p10_scores", "p10_rates"):
+        llm.queries[name](spark, sf)
+    assert len(calls) == 1
+
+
 def test_fit_and_score(spark):
     texts, y = _corpus(500, 4)
     docs = spark.createDataFrame([(i, t, "S ") for i, t in enumerate(texts)] + [(None, None, None)], "doc_id bigint, text string, source string")
