@@ -1,9 +1,10 @@
 """Sum-of-squares packing of sized items into containers of fixed capacity.
 
-The size of each item is spread over shards of items in an order by hash; every shard packs by itself and keeps, besides
-the numbers of its open containers, the count N(g) of open containers for each residual gap g. An item goes where the
-sum of N(g)**2 becomes smallest, which keeps no gap popular and lets gaps fill up exactly. Shards follow the bytes of the
-shuffle (adaptive execution), not the number of machines, and each leaves a few open containers only.
+Items are spread over shards by a hash of identifier and size; there are as many shards as the number of items asks for, so
+a shard is of the same size on every input and the numbers of its containers do not depend on machines or partitions. Every
+shard packs by itself and keeps, besides the numbers of its open containers, the count N(g) of open containers for each
+residual gap g. An item goes where the sum of N(g)**2 becomes smallest, which keeps no gap popular and lets gaps fill up
+exactly. A shard leaves a few open containers only.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 8192
+#: Items of a shard: enough to fill its containers, few enough that many tasks pack.
+PER_SHARD = 20_000
+#: Beyond so many shards a task packs several, one after the other.
+MOST_TASKS = 20_000
 
 
 class Packer:
@@ -53,42 +57,53 @@ class Packer:
 
 def _pack(capacity: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, shard, empty = Packer(capacity), TaskContext.get().partitionId(), None
+        packer, shard, empty = None, None, None
         for batch in batches:
-            ids, pieces, sizes, bins = [], [], [], []
-            for i, size in zip(batch.column("id"), batch.column("size").to_pylist()):
+            at, pieces, sizes, bins = [], [], [], []
+            for i, (here, size) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("size").to_pylist())):
+                if here != shard:
+                    packer, shard, empty = Packer(capacity), here, None
                 if size <= 0:
                     empty = packer._new() if empty is None else empty
                     todo = [(0, empty)]
                 else:
                     full, rest = divmod(size, capacity)
-                    todo = [(capacity, packer._new()) for _ in range(full)] + ([(rest, packer.place(rest))] if rest else [])
+                    todo = [(capacity, packer.place(capacity)) for _ in range(full)] + ([(rest, packer.place(rest))] if rest else [])
                 for no, (part, number) in enumerate(todo):
-                    ids.append(i)
+                    at.append(i)
                     pieces.append(no)
                     sizes.append(part)
                     bins.append((shard << 32) + number)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i.as_py() for i in ids], pa.int64()), pa.array(pieces, pa.int32()), pa.array(sizes, pa.int64()), pa.array(bins, pa.int64())], names=["id", "piece", "size", "container"]
-                )
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(pieces, pa.int32()), pa.array(sizes, pa.int64()), pa.array(bins, pa.int64())], names=["id", "piece", "size", "container"])
 
     return pack
 
 
-def pack(df: DataFrame, ident: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(df: DataFrame, ident: str, size: str, capacity: int = CAPACITY, per_shard: int = PER_SHARD) -> DataFrame:
     """Container of every item: (ident, piece, size, container).
 
     Items above the capacity are split into full containers and a remainder, which is packed like an item; no other item
     is split. Null, zero and negative sizes take no room: such items share one container of their shard, with size 0. A
-    null identifier is an item as well, and repeated rows are items each. An empty table gives an empty result.
+    null identifier is an item as well, and repeated rows are items each. An empty table gives an empty result. The same
+    items give the same containers whatever the partitions. ``df`` is read twice, to count and to pack: hand in a stored
+    or checkpointed table.
     """
     rows = df.select(F.col(ident).cast("bigint").alias("id"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
-    spread = rows.repartition(F.xxhash64("id", "size")).sortWithinPartitions(F.xxhash64("id", "size"), "id")
+    shards = max(1, -(-rows.count() // per_shard))
+    tasks = min(shards, MOST_TASKS)
+    rows = rows.withColumn("h", F.xxhash64("id", "size")).withColumn("shard", F.pmod("h", F.lit(shards)))
+    spread = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "h", "id", "size").select("id", "size", "shard")
     out = spread.mapInArrow(_pack(capacity), "id bigint, piece int, size bigint, container bigint")
     return out.select(F.col("id").alias(ident), "piece", F.col("size").alias(size), "container")
 
 
+def in_several(packed: DataFrame, ident: str) -> DataFrame:
+    """Identifiers of the items that lie in more than one container."""
+    rows = packed.groupBy(ident).agg(F.max("piece").alias("last"), F.min("container").alias("a"), F.max("container").alias("b"))
+    return rows.where("last > 0 and a < b").select(ident)
+
+
 def fill(packed: DataFrame, size: str, capacity: int = CAPACITY) -> DataFrame:
     """Containers by how full they are, in twentieths: (filled, containers, size, share of all room that is used)."""
     per = packed.groupBy("container").agg(F.sum(size).alias("size")).where("size > 0")

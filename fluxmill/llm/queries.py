@@ -141,13 +141,17 @@ def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", tokens.count_tokens("text").alias("tokens"))
-    return packing.pack(docs, "doc_id", "tokens")
+    return packing.pack(cut(docs), "doc_id", "tokens")
+
+
+def _packed_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("chars")), "doc_id", "chars", CHARS)
 
 
 @llm("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that packing had to split."""
-    return _packed(spark, sf_dir).where("piece = 1").select("doc_id")
+    """Documents that packing had to put into more than one container."""
+    return packing.in_several(_packed(spark, sf_dir), "doc_id")
 
 
 @llm("p8_containers")
@@ -160,6 +164,25 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(_packed(spark, sf_dir), "tokens")
 
 
+#: Capacity of the containers that are packed by characters, for comparison with SQL.
+CHARS = 25_000
+
+
+@llm("p8_pieces_by_chars", f"SELECT doc_id, greatest(1, ceil(n_chars / {CHARS})::BIGINT) AS pieces, coalesce(n_chars, 0) AS chars, least(coalesce(n_chars, 0), {CHARS}) AS largest, n_chars > {CHARS} AS several FROM documents")
+def p8_pieces_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing made of every document, with characters for tokens: only what exceeds a container is split."""
+    rows = _packed_by_chars(spark, sf_dir).groupBy("doc_id")
+    return rows.agg(F.count(F.lit(1)).alias("pieces"), F.sum("chars").alias("chars"), F.max("chars").alias("largest"), (F.count_distinct("container") > 1).alias("several"))
+
+
+@llm("p8_room_by_chars", "SELECT sum(n_chars)::BIGINT AS chars, 0::BIGINT AS overfull, true AS tight FROM documents")
+def p8_room_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All characters are packed, no container holds too many, and the containers are at most a twentieth (and two) more than the least possible number."""
+    per = _packed_by_chars(spark, sf_dir).groupBy("container").agg(F.sum("chars").alias("size"))
+    least = F.sum("size") / CHARS
+    return per.agg(F.sum("size").alias("chars"), F.sum(F.when(F.col("size") > CHARS, 1).otherwise(0)).alias("overfull"), (F.count(F.when(F.col("size") > 0, 1)) <= least * 1.05 + 2).alias("tight"))
+
+
 # --- 9: mixing sources
 
 #: The main line fades while the small and the student repositories come in; the others keep their share throughout.
@@ -174,12 +197,16 @@ def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixture.mix(cut(sized), targets, TILTS)
 
 
+def _mixed_by_chars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").alias("tokens")), table(spark, sf_dir, "mix_target"), TILTS)
+
+
 @llm("p9_found", """WITH d AS (SELECT lower(trim(source)) AS source, sum(n_chars) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1),
 m AS (SELECT lower(trim(m.source)) AS source, target_share, max_repeats, coalesce(size, 0) AS size FROM mix_target m LEFT JOIN d ON d.source = lower(trim(m.source)))
 SELECT source FROM m WHERE target_share * (SELECT sum(size) FROM m) > max_repeats * size""")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets whose documents, in all their allowed repeats, end before the demand does."""
-    return _mixed(spark, sf_dir)[1].where("tokens < demand").select("source")
+    """Targets whose last use, in all their allowed repeats, ends before the course does."""
+    return _mixed(spark, sf_dir)[1].where("ends_at < 1").select("source")
 
 
 @llm("p9_report")
@@ -192,6 +219,33 @@ def p9_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0]
 
 
+_TILT = "CASE source " + " ".join(f"WHEN '{s}' THEN {x}::DOUBLE" for s, x in TILTS.items()) + " ELSE 0::DOUBLE END"
+_POSITION = "coalesce(2 * {x} / nullif((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * {x}), 0), 0)"
+_P9 = f"""WITH g AS (SELECT lower(trim(source)) AS source, max(coalesce(target_share, 0)) AS target_share, max(coalesce(max_repeats, 0)) AS max_repeats FROM mix_target WHERE source IS NOT NULL GROUP BY 1),
+k AS (SELECT doc_id, lower(trim(source)) AS source, n_chars AS n, md5(doc_id::VARCHAR) AS key FROM documents WHERE n_chars > 0 AND lower(trim(source)) IN (SELECT source FROM g)),
+z AS (SELECT source, count(*) AS docs, sum(n)::BIGINT AS size FROM k GROUP BY source),
+q AS (SELECT *, least(demand, (max_repeats * size)::DOUBLE) AS supply FROM (SELECT g.*, coalesce(docs, 0) AS docs, coalesce(size, 0) AS size, target_share * (SELECT sum(size) FROM z)::DOUBLE AS demand FROM g LEFT JOIN z USING (source))),
+w AS (SELECT *, (sum(n) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS before FROM k),
+u AS (SELECT *, repeat * size + before AS done FROM (SELECT doc_id, source, n, before, size, demand, supply, {_TILT} AS tilt, unnest(generate_series(0, ceil(supply / size)::BIGINT - 1)) AS repeat FROM w JOIN q USING (source) WHERE supply > 0)),
+o AS (SELECT doc_id, source, repeat, n AS tokens, {_POSITION.format(x="(done / demand)")} AS position, {_POSITION.format(x="least(1, (done + n) / demand)")} AS until FROM u WHERE done < supply)
+"""
+
+
+@llm("p9_order_by_chars", _P9 + "SELECT doc_id, source, repeat, tokens, round(position, 9) AS position, round(until, 9) AS until FROM o")
+def p9_order_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order with characters for tokens, which SQL can count."""
+    rows = _mixed_by_chars(spark, sf_dir)[0]
+    return rows.withColumns({"position": F.round("position", 9), "until": F.round("until", 9)})
+
+
+@llm("p9_report_by_chars", _P9 + """, r AS (SELECT source, sum(tokens)::BIGINT AS tokens, max(repeat) + 1 AS most_repeats, max(until) AS until FROM o GROUP BY source)
+SELECT source, target_share, max_repeats, docs, size, round(demand, 6) AS demand, round(supply, 6) AS supply, coalesce(tokens, 0) AS tokens, coalesce(most_repeats, 0) AS most_repeats, round(coalesce(tokens, 0) / sum(tokens) OVER (), 9) AS actual_share,
+  round(greatest(0, coalesce(tokens, 0) - demand), 6) AS overshoot, round(CASE WHEN demand <= 0 THEN 1 ELSE coalesce(until, 0) END, 9) AS ends_at FROM q LEFT JOIN r USING (source)""")
+def p9_report_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _mixed_by_chars(spark, sf_dir)[1]
+    return rows.withColumns({**{c: F.round(c, 6) for c in ("demand", "supply", "overshoot")}, **{c: F.round(c, 9) for c in ("actual_share", "ends_at")}})
+
+
 # --- 10: abusive, hateful or sexual content
 
 

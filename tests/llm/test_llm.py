@@ -165,6 +165,21 @@ def test_packing_keeps_every_item(spark):
     assert split == {d for d, n in rows if n and n > 100}
     assert sums[sums > 0].mean() > 85
     assert packing.pack(df.limit(0), "doc", "n", 100).count() == 0
+    assert {r[0] for r in packing.in_several(packed.where("doc is not null"), "doc").collect()} == {d for d, n in rows if d is not None and d != 5 and n and n > 100}
+    order = ["doc", "piece", "n", "container"]
+    other = packing.pack(df.repartition(7, "n"), "doc", "n", 100).toPandas()
+    assert sorted(map(str, got[order].values.tolist())) == sorted(map(str, other[order].values.tolist()))
+
+
+def test_shards_follow_the_number_of_items(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 1 + (i * 7919) % 90) for i in range(3000)], "doc bigint, n bigint")
+    few = packing.pack(df, "doc", "n", 100, per_shard=500)
+    assert few.rdd.getNumPartitions() == 6
+    want = sorted(map(tuple, few.collect()))
+    assert len({r[3] >> 32 for r in want}) == 6
+    monkeypatch.setattr(packing, "MOST_TASKS", 2)
+    several = packing.pack(df, "doc", "n", 100, per_shard=500)
+    assert several.rdd.getNumPartitions() == 2 and sorted(map(tuple, several.collect())) == want
 
 
 def test_whole_table_fill(spark):
@@ -180,9 +195,9 @@ def test_mixture(spark):
     rng = random.Random(8)
     docs = [(i, rng.choice(["A ", "a", "b", " B", "c", None, "other"]), rng.choice([None, 0, rng.randint(1, 500)])) for i in range(600)]
     targets = [("a", 0.5, 2), ("B", 0.3, 3), ("c", 0.15, 9), ("gone", 0.05, 4)]
-    df = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint").selectExpr("*", "1 as size", "2 as bucket", "3 as key")
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint").selectExpr("*", "1 as size", "2 as range", "3 as key", "4 as until")
     goal = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    order, report = mixture.mix(df, goal, {"a": -0.8, "b": 0.8}, buckets=16)
+    order, report = mixture.mix(df, goal, {"a": -0.8, "b": 0.8}, digits=1)
     rows, rep = order.toPandas(), {r["source"]: r for r in report.collect()}
     size = Counter()
     for _, s, n in docs:
@@ -194,15 +209,24 @@ def test_mixture(spark):
         supply = min(share * total, most * size[s])
         used = rows[rows.source == s].tokens.sum()
         assert rep[s]["tokens"] == used and abs(rep[s]["demand"] - share * total) < 1e-6
+        assert (rep[s]["ends_at"] < 1) == (share * total > most * size[s]) and abs(rep[s]["overshoot"] - max(0, used - share * total)) < 1e-6
         assert supply <= used < supply + 500 or used == 0 == size[s]
         assert rows[rows.source == s].groupby("doc_id").size().max() <= most if size[s] else True
     assert (np.diff(rows.position) >= 0).all() and rows.position.between(0, 1).all()
-    assert rows[rows.source == "a"].position.mean() < 0.45 < 0.55 < rows[rows.source == "b"].position.mean()
+    assert (rows.until >= rows.position).all() and list(rows[["position", "source", "doc_id", "repeat"]].itertuples(index=False)) == sorted(rows[["position", "source", "doc_id", "repeat"]].itertuples(index=False))
+    middle = {s: np.average(rows[rows.source == s].position / rep[s]["ends_at"]) for s in "ab"}
+    assert middle["a"] < 0.5 < middle["b"]
     assert abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-9
     order, report = mixture.mix(df.limit(0), goal)
     assert order.count() == 0 and report.count() == 4
 
 
+def test_found_sources_come_from_sorted_positions(spark, sf):
+    plan = llm.queries["p9_found"](spark, sf)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "rangepartitioning(position" in physical and "AS until" in physical
+
+
 @pytest.mark.parametrize("tilt", [-1.0, -0.3, 0.0, 0.5, 1.0])
 def test_position_inverts_the_integral(spark, tilt):
     df = spark.range(0, 1000).select((F.col("id") / 1000).alias("u")).withColumn("t", mixture.position(F.col("u"), F.lit(tilt))).toPandas()
