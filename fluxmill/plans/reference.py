@@ -263,12 +263,20 @@ on_flows("a24_neighbours", sql("SELECT sid, mac, addr, min(s) AS first_us, max(c
 on_flows("a25_payload_heads", sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proto, dport ORDER BY n DESC, head) AS rank FROM (SELECT proto, dport, left(hex(suser), 8) AS head, count(*) AS n FROM f WHERE suser IS NOT NULL AND dport IS NOT NULL GROUP BY 1, 2, 3)) WHERE rank <= 3"), lambda f: inventory.payload_heads(f, 4, 3))
 on_flows("a26_time_range", sql("SELECT min(stime_us) AS start_us, max(greatest(ltime_us, stime_us)) AS end_us FROM f"), inventory.time_range)
 on_flows("a27_time_of_day", sql("SELECT hour(make_timestamp(stime_us)) AS hour, count(*) AS n FROM f WHERE stime_us IS NOT NULL GROUP BY 1"), lambda f: bins.fold_period(f, "day").groupBy(F.expr("cast(stime_us div 3600000000 as bigint)").alias("hour")).agg(F.count(F.lit(1)).alias("n")))
-on_flows("a29_two_probes", sql("SELECT fsid, sid, saddr, daddr, proto, sport, dport, round(v.d - fv.d, 6) AS dldur, (v.s - fv.s) / 1e6 AS dlstime, (v.l - fv.l) / 1e6 AS dlltime, v.sp - fv.sp AS dlspkt, v.dp - fv.dp AS dldpkt FROM n WHERE sid <> fsid",
-         "r AS (SELECT saddr, daddr, proto, sport, dport, stime_us // 60000000 AS slot, sid, min({'s': stime_us, 'l': ltime_us, 'd': dur, 'sp': spkts, 'dp': dpkts, 'a': autoid}) AS v FROM f WHERE stime_us IS NOT NULL AND sid IS NOT NULL AND saddr IS NOT NULL AND daddr IS NOT NULL GROUP BY ALL)",
-         "n AS (SELECT *, first_value(v) OVER w AS fv, first_value(sid) OVER w AS fsid FROM r WINDOW w AS (PARTITION BY saddr, daddr, proto, sport, dport, slot ORDER BY sid))"), lambda f: lookups.two_probes(f))
+on_flows(
+    "a29_two_probes",
+    sql(
+        "SELECT fsid, sid, saddr, daddr, proto, sport, dport, round(dldur, 6) AS dldur, dlstime, dlltime, dlspkt, dldpkt FROM (SELECT DISTINCT * EXCLUDE (rf, rv) FROM c WHERE rf = 1 OR rv = 1)",
+        "r AS (SELECT sid, seq, saddr, daddr, proto, sport, dport, stime_us, ltime_us, dur, spkts, dpkts, min(autoid) AS a FROM f WHERE stime_us IS NOT NULL AND sid IS NOT NULL AND saddr IS NOT NULL AND daddr IS NOT NULL GROUP BY sid, seq, saddr, daddr, proto, sport, dport, stime_us, ltime_us, dur, spkts, dpkts, CASE WHEN seq IS NULL THEN autoid END)",
+        """c AS (SELECT x.a AS fa, y.a AS va, x.sid AS fsid, y.sid AS sid, x.saddr, x.daddr, x.proto, x.sport, x.dport, y.dur - x.dur AS dldur, (y.stime_us - x.stime_us) / 1e6 AS dlstime, (y.ltime_us - x.ltime_us) / 1e6 AS dlltime, y.spkts - x.spkts AS dlspkt, y.dpkts - x.dpkts AS dldpkt,
+  row_number() OVER (PARTITION BY x.a, y.sid ORDER BY abs(y.stime_us - x.stime_us), y.stime_us, y.a) AS rf, row_number() OVER (PARTITION BY y.a, x.sid ORDER BY abs(y.stime_us - x.stime_us), x.stime_us, x.a) AS rv
+  FROM r x JOIN r y ON x.saddr = y.saddr AND x.daddr = y.daddr AND x.proto IS NOT DISTINCT FROM y.proto AND x.sport IS NOT DISTINCT FROM y.sport AND x.dport IS NOT DISTINCT FROM y.dport AND x.sid < y.sid AND abs(y.stime_us - x.stime_us) <= 60000000)""",
+    ),
+    lookups.two_probes,
+)
 
 # --- sort, limit, ranks
-on_flows("o1_sort", sql(f"SELECT autoid, saddr, {BYTES} AS bytes FROM f ORDER BY bytes DESC, stime_us NULLS LAST, autoid LIMIT 100"), lambda f: f.select("autoid", "saddr", "stime_us", fields.field("bytes")).orderBy(F.desc("bytes"), F.asc_nulls_last("stime_us"), "autoid").drop("stime_us"))
+on_flows("o1_sort", sql(f"SELECT autoid, saddr, {BYTES} AS bytes FROM f ORDER BY bytes DESC, stime_us NULLS LAST, autoid"), lambda f: f.select("autoid", "saddr", "stime_us", fields.field("bytes")).orderBy(F.desc("bytes"), F.asc_nulls_last("stime_us"), "autoid").drop("stime_us"))
 on_flows("o2_top", sql("SELECT saddr, count(*) AS n FROM f GROUP BY saddr ORDER BY n DESC, saddr NULLS LAST LIMIT 20"), lambda f: f.groupBy("saddr").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("saddr")).limit(20))
 on_flows("o4_top_per_bin", sql(f"SELECT bin_us, saddr, bytes, rank FROM (SELECT *, row_number() OVER (PARTITION BY bin_us ORDER BY bytes DESC, saddr NULLS LAST) - 1 AS rank FROM (SELECT {DAY_BIN.format(s=86400000000)} AS bin_us, saddr, cast(sum({BYTES}) AS BIGINT) AS bytes FROM f WHERE stime_us IS NOT NULL GROUP BY 1, 2)) WHERE rank < 5"),
          lambda f: bins.time_bins(f, "1d", ["saddr"], "nomodify").select("bin_us", "saddr", (F.col("sbytes") + F.col("dbytes")).alias("bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("bin_us").orderBy(F.desc("bytes"), F.asc_nulls_last("saddr"))) - 1).where("rank < 5"))
@@ -303,14 +311,16 @@ on_flows("j4_flow_labels", sql("SELECT autoid, nullif(concat_ws(':', CASE WHEN p
          lambda f: labels.flow_labels(f, TAGS).select("autoid", "tags"))
 CUT, MONTH = _us(2013, 10, 3), _us(2013, 9, 20)
 KEYS4 = ["saddr", "daddr", "proto", "dport"]
-_BASE = "{n} AS (SELECT saddr, daddr, proto, dport, min(stime_us) AS s, max(greatest(ltime_us, stime_us)) - min(stime_us) AS p FROM f WHERE stime_us >= {a} AND stime_us < {b} GROUP BY ALL)"
+_BASE = "{n} AS (SELECT saddr, daddr, proto, dport, min(stime_us) AS s, max(greatest(ltime_us, stime_us)) - min(stime_us) AS p, bool_or(proto = 6 AND status & 1 = 1) AS syn FROM f WHERE stime_us >= {a} AND stime_us < {b} GROUP BY ALL)"
+_TURNED = "LEFT JOIN {n} {n}r ON {n}.s IS NULL AND {n}r.saddr = f.daddr AND {n}r.daddr = f.saddr AND {n}r.proto = f.proto AND {n}r.dport = f.sport AND f.proto <> 50 AND NOT (coalesce(f.proto = 6 AND f.status & 1 = 1, false) AND coalesce({n}r.syn, false))"
 on_flows(
     "j5_score",
     sql(
-        f"""SELECT f.autoid, greatest(CASE WHEN stime_us > a.s THEN CASE WHEN a.p > 2419200000000 THEN 4 WHEN a.p > 604800000000 THEN 3 ELSE 1 END WHEN stime_us = a.s THEN 1 ELSE 0 END,
-  CASE WHEN stime_us > m.s THEN CASE WHEN m.p > 2419200000000 THEN 4 WHEN m.p > 604800000000 THEN 3 ELSE 0 END WHEN stime_us = m.s THEN 1 ELSE 0 END, CASE WHEN a.p = m.p THEN 1 ELSE 0 END) AS score
-  FROM f LEFT JOIN a USING (saddr, daddr, proto, dport) LEFT JOIN m USING (saddr, daddr, proto, dport) WHERE f.stime_us >= {CUT}""",
+        """SELECT autoid, greatest(CASE WHEN t > s THEN CASE WHEN p > 2419200000000 THEN 4 WHEN p > 604800000000 THEN 3 ELSE 1 END WHEN t = s THEN 1 ELSE 0 END,
+  CASE WHEN t > ms THEN CASE WHEN mp > 2419200000000 THEN 4 WHEN mp > 604800000000 THEN 3 ELSE 0 END WHEN t = ms THEN 1 ELSE 0 END, CASE WHEN p = mp THEN 1 ELSE 0 END) AS score FROM k""",
         _BASE.format(n="a", a=0, b=CUT), _BASE.format(n="m", a=MONTH, b=CUT),
+        f"""k AS (SELECT f.autoid, f.stime_us AS t, coalesce(a.s, ar.s) AS s, coalesce(a.p, ar.p) AS p, coalesce(m.s, mr.s) AS ms, coalesce(m.p, mr.p) AS mp
+  FROM f LEFT JOIN a USING (saddr, daddr, proto, dport) LEFT JOIN m USING (saddr, daddr, proto, dport) {_TURNED.format(n="a")} {_TURNED.format(n="m")} WHERE f.stime_us >= {CUT})""",
     ),
     lambda f: lookups.score(f.where(F.col("stime_us") >= CUT), lookups.baseline(f.where(F.col("stime_us") < CUT), KEYS4), lookups.baseline(f.where((F.col("stime_us") >= MONTH) & (F.col("stime_us") < CUT)), KEYS4), KEYS4).select("autoid", "score"),
 )
