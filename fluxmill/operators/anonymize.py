@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.addresses import v4_net, v4_text
-from .bins import _global_prefix
+from .ranges import running_total, split_points
 
 POOL = 10 << 24
 
@@ -21,7 +21,8 @@ def address_map(df: DataFrame) -> DataFrame:
     seen = df.select(F.explode(ends).alias("x")).select("x.*").where("a is not null").groupBy(F.col("a").alias("addr_i")).agg(F.min("at").alias("at"))
     kept = (F.col("addr_i") >= 0xE0000000) | (F.col("addr_i").bitwiseAND(F.lit(255)) == 255)
     hosts = seen.where(~kept).withColumn("net", v4_net("addr_i", 24))
-    nets = _global_prefix(hosts.groupBy("net").agg(F.min("at").alias("at")), ["at"], F.lit(1)).select("net", (F.col("_upto") - 1).alias("no"))
+    bounds = split_points(df.select((F.col("autoid") * 2).alias("at")), "at")
+    nets = running_total(hosts.groupBy("net").agg(F.min("at").alias("at")), ["at"], F.lit(1), bounds).select("net", (F.col("_upto") - 1).alias("no"))
     h = F.row_number().over(Window.partitionBy("net").orderBy("at"))
     numbered = hosts.withColumn("h", h).join(nets, "net").select("addr_i", (F.lit(POOL) + F.col("no") * 256 + F.col("h")).alias("anon_i"))
     return numbered.unionByName(seen.where(kept).select("addr_i", F.col("addr_i").alias("anon_i")))

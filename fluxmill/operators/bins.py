@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import SUMS, merged
+from .ranges import running_total
 
 #: Microseconds of the units of a bin size.
 UNIT_US = {"s": 10**6, "m": 60 * 10**6, "h": 3600 * 10**6, "d": 86400 * 10**6}
@@ -92,32 +93,16 @@ def with_empty_bins(binned: DataFrame, size: str, counters: list[str]) -> DataFr
     return calendar.join(binned, "bin_us", "left").select("bin_us", *(F.coalesce(c, F.lit(0)).alias(c) for c in counters))
 
 
-def _global_prefix(df: DataFrame, order: list[str], amount: Column, buckets: int = 1024) -> DataFrame:
-    """Adds _upto: sum of ``amount`` over all rows up to and with this one, in the order of ``order`` (first one numeric).
-
-    Ranges of the first order column are summed first; their running total gives each range's offset, so no task sees
-    more than a range.
-    """
-    edges = df.agg(F.min(order[0]).alias("_a"), F.max(order[0]).alias("_b"), F.lit(1).alias("_one"))
-    rows = df.withColumn("_amount", amount).withColumn("_one", F.lit(1)).join(F.broadcast(edges), "_one")  # a single row
-    rows = rows.withColumn("_part", F.floor((F.col(order[0]) - F.col("_a")) / ((F.col("_b") - F.col("_a") + 1) / F.lit(float(buckets)))).cast("int"))
-    sums = rows.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
-    offsets = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # as many rows as buckets
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_within", F.sum("_amount").over(w)).join(F.broadcast(offsets), "_part")  # at most `buckets` rows
-    return rows.withColumn("_upto", F.col("_within") + F.col("_before")).drop("_one", "_a", "_b", "_part", "_within", "_before", "_amount")
-
-
 def count_bins(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
     """Adds bin: records in order of arrival, ``n`` to a bin."""
-    rows = _global_prefix(df, order or ["autoid"], F.lit(1))
+    rows = running_total(df, order or ["autoid"], F.lit(1))
     return rows.withColumn("bin", F.expr(f"(_upto - 1) div {n}")).drop("_upto")
 
 
 def size_bins(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
     """Adds bin: the running total of bytes before a record, in steps of ``n``."""
     size = F.coalesce("sbytes", F.lit(0)) + F.coalesce("dbytes", F.lit(0))
-    rows = _global_prefix(df, order or ["autoid"], size).withColumn("_before", F.col("_upto") - size)
+    rows = running_total(df, order or ["autoid"], size).withColumn("_before", F.col("_upto") - size)
     return rows.withColumn("bin", F.expr(f"_before div {n}")).drop("_upto", "_before")
 
 

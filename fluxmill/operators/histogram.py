@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as X
+from .ranges import split_points, with_range
 
 
 def auto_step(low: float, high: float, bins: int) -> tuple[float, float]:
@@ -72,14 +73,13 @@ def histogram(df: DataFrame, spec: str) -> DataFrame:
     return counts.select("bin", low.alias("low"), "freq", (100.0 * F.col("freq") / total).alias("rel"), (100.0 * F.sum("freq").over(upto) / total).alias("cum"))
 
 
-def with_ranks(counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def with_ranks(counts: DataFrame, keys: tuple[str, ...], bounds: list[float]) -> DataFrame:
     """Adds to counts (keys, v, c) the total n of the key and upto, the number of its values up to v.
 
-    Values are cut into ranges by magnitude; totals of the ranges give the offsets, and a running sum is taken within a
-    range only, so a key with most of the values is shared by its ranges.
+    Values are cut into ranges at ``bounds``, which come from sampled quantiles; totals of the ranges give the offsets, and
+    a running sum is taken within a range only, so a key with most of the values is shared by its ranges.
     """
-    size = F.floor(F.log2(F.abs("v") + 1) * 16).cast("int")
-    counts = counts.withColumn("_part", F.when(F.col("v") < 0, -size - 1).otherwise(size))
+    counts = with_range(counts, "v", bounds)
     sums = counts.groupBy(*keys, "_part").agg(F.sum("c").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")
     sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("n"))
@@ -98,8 +98,9 @@ def order_statistics(df: DataFrame, field: str, keys: tuple[str, ...] = (), noze
     The smallest of equally frequent values is the mode, and only values that occur more than twice are one.
     """
     v = F.expr(X.sql(field, set(df.columns))).cast("double")
-    counts = df.select(*keys, v.alias("v")).where("v is not null" + (" and v <> 0" if nozero else "")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    rows = with_ranks(counts, keys)
+    values = df.select(*keys, v.alias("v")).where("v is not null" + (" and v <> 0" if nozero else ""))
+    counts = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    rows = with_ranks(counts, keys, split_points(values, "v"))
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))  # noqa: E731  value at a 0-based rank
     half_low, half_high = F.expr("(n - 1) div 2"), F.expr("n div 2")
     mean = F.sum(F.col("v") * F.col("c")) / F.sum("c")

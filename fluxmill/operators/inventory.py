@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import v4_class, v6_class
 from ..sources.flows import both_ways
+from .ranges import PER_RANGE, split_points, with_range
 
 
 def _s(c: str) -> Column:
@@ -111,15 +112,17 @@ def payload_heads(df: DataFrame, length: int = 8, most: int = 5) -> DataFrame:
     return heads.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def gaps_between(df: DataFrame, keys: list[str], slice_s: int = 86_400) -> DataFrame:
+def gaps_between(df: DataFrame, keys: list[str], per_range: int = PER_RANGE) -> DataFrame:
     """Pauses between the records of a key: number, mean, least, most and deviation of start - previous end, in seconds.
 
-    Taken within slices of time, which also leave their first start and last end; the pauses between slices come from
-    these. So a key's records are shared by its slices.
+    Taken within ranges of time with bounds from sampled quantiles, which also leave their first start and last end; the
+    pauses between ranges come from these. A range holds about ``per_range`` records, so a key that has most of them, or
+    has them all within one hour, is shared by many tasks.
     """
     w = Window.partitionBy(*keys, "_slice").orderBy("stime_us", "autoid")
     end = F.coalesce("ltime_us", "stime_us")
-    rows = df.where("stime_us is not null").withColumn("_slice", F.expr(f"stime_us div {slice_s * 1_000_000}"))
+    df = df.where("stime_us is not null")
+    rows = with_range(df, "stime_us", split_points(df, "stime_us", per_range), "_slice")
     rows = rows.withColumn("gap", (F.col("stime_us") - F.lag(end).over(w)) / 1e6)
     stats = [F.count("gap").alias("n"), F.sum("gap").alias("s"), F.sum(F.col("gap") * F.col("gap")).alias("q"), F.min("gap").alias("lo"), F.max("gap").alias("hi")]
     parts = rows.groupBy(*keys, "_slice").agg(*stats, F.min("stime_us").alias("first"), F.max(F.struct("stime_us", "autoid", end.alias("end"))).alias("last"))

@@ -37,11 +37,8 @@ def reverse(df: DataFrame, when=None) -> DataFrame:
 
 
 def both_ways(df: DataFrame) -> DataFrame:
-    """Every record as it is and once more reversed, in one pass over the input."""
-    here = set(df.columns)
-    other = dict(PAIRS) | {d: s for s, d in PAIRS}
-    halves = F.array(F.struct(*(F.col(c).alias(c) for c in df.columns)), F.struct(*(F.col(other[c] if other.get(c) in here else c).alias(c) for c in df.columns)))
-    return df.select(F.posexplode(halves).alias("reversed", "x")).select("x.*", (F.col("reversed") == 1).alias("reversed"))
+    """Every record as it is and once more reversed (column ``reversed``), in one pass over the columns that are used."""
+    return reverse(df.withColumn("reversed", F.explode(F.array(F.lit(False), F.lit(True)))), F.col("reversed"))
 
 
 def one_way(df: DataFrame) -> DataFrame:

@@ -214,3 +214,39 @@ def test_operators_on_nothing(make_flows):
     assert cluster.cluster(none).count() == 0 and cluster.idle_split(none, ["saddr"], 5).count() == 0 and bins.split(none, "1m").count() == 0
     assert bins.count_bins(none, 5).count() == 0 and inventory.peers(none).count() == 0 and anonymize.anonymize(none).count() == 0 and inventory.matrix(none, "saddr", "daddr", "sbytes").count() == 0
     assert cluster.cluster_by_rules(none, cluster.parse_rules('filter="tcp" model="saddr"')).count() == 0
+
+
+# --- ranges by sampled quantiles
+
+
+def test_ranges_stay_even_and_running_totals_right(spark):
+    from fluxmill.operators import ranges
+
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("a"), (F.lit(1_700_000_000_000_000) + F.pmod(F.col("id") * 7919, F.lit(n))).alias("v"))
+    bounds = ranges.split_points(df, "v")
+    sizes = [r["count"] for r in ranges.with_range(df, "v", bounds).groupBy("_part").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 1.5 * ranges.PER_RANGE
+    got = ranges.running_total(df, ["v"], F.lit(2)).select(F.sum(F.when(F.col("_upto") != (F.col("v") - 1_700_000_000_000_000 + 1) * 2, 1).otherwise(0))).first()[0]
+    assert got == 0
+    few = spark.createDataFrame([(3, 1.0), (1, None), (2, float("nan")), (4, -5.0)], "a int, v double")
+    assert ranges.split_points(few, "v") == []
+    assert {r["a"]: r["_part"] for r in ranges.with_range(few, "v", [0.0]).collect()} == {3: 1, 1: 2, 2: 2, 4: 0}
+    assert ranges.split_points(few.limit(0), "v", 1) == [] and ranges.split_points(few.where("v is null"), "v", 1) == []
+
+
+def test_pauses_of_one_key_in_one_hour(spark, make_flows):
+    """Half of all rows are one key's within an hour; every range of time keeps to its share and the pauses are right."""
+    from fluxmill.operators import inventory, ranges
+
+    rows = [{"saddr": "10.0.0.1", "stime_us": 10**15 + i * 1000, "ltime_us": 10**15 + i * 1000 + 400} for i in range(2000)]
+    rows += [{"saddr": f"10.0.1.{i % 200}", "stime_us": 10**15 + i * 3_600_000_000, "ltime_us": None} for i in range(2000)]
+    f = make_flows(rows)
+    bounds = ranges.split_points(f, "stime_us", 200)
+    parts = ranges.with_range(f, "stime_us", bounds).groupBy("saddr", "_part").count().agg(F.max("count")).first()[0]
+    assert parts <= 400
+    for per in (200, 10**6):
+        got = {r["saddr"]: r for r in inventory.gaps_between(f, ["saddr"], per).collect()}
+        hot = got["10.0.0.1"]
+        assert hot["n"] == 1999 and abs(hot["intflow"] - 0.0006) < 1e-12 and hot["intflowmin"] == hot["intflowmax"] == 0.0006
+        assert got["10.0.1.5"]["n"] == 9 and got["10.0.1.5"]["intflowmin"] == 200 * 3600.0
