@@ -1,9 +1,10 @@
 """Exact percentiles per group from cumulative frequencies that add up over days and partitions.
 
 Rows reduce to counts per (group, value) before anything else; these counts are the mergeable partial result. The counts
-are cut into value ranges (a monotone function of the value, so the cut is the same on every run and machine), each
-range's total gives the offset of the ranges after it, and a running sum inside a range plus its offset is the rank of a
-value. Only ranges that hold a wanted rank are sorted. A group that holds most rows is spread over its ranges.
+are range sorted: values are cut at sampled quantiles, each range's total gives the offset of the ranges after it, and a
+running sum inside a range plus its offset is the rank of a value; the first value to reach a target rank is the percentile.
+The bounds are fixed values of the plan, so a recomputed partition finds the same ranges, and there are as many ranges as
+the rows ask for, so a group that holds most rows is spread over them. Only ranges that hold a wanted rank are sorted.
 """
 
 from __future__ import annotations
@@ -11,13 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES_PER_OCTAVE = 32
-
-
-def value_range(v: Column) -> Column:
-    """Number of the range of a whole number; ranges are in the order of the values."""
-    size = F.floor(F.log2(F.abs(v.cast("double")) + 1) * RANGES_PER_OCTAVE).cast("int")
-    return F.when(v < 0, -size).otherwise(size)
+from ..operators.ranges import split_points, with_range
 
 
 def rounded(v: Column, bits: int) -> Column:
@@ -42,16 +37,18 @@ def merged(counts: DataFrame, groups: list[str]) -> DataFrame:
     return counts.groupBy(*groups, "value").agg(F.sum("n").alias("n"))
 
 
-def percentiles(counts: DataFrame, groups: list[str], percents: tuple[float, ...]) -> DataFrame:
+def percentiles(counts: DataFrame, groups: list[str], percents: tuple[float, ...], bounds: list[float] | None = None) -> DataFrame:
     """For each group and percent q the smallest value that at least q % of the group's values do not exceed.
 
     ``counts`` is a result of :func:`value_counts` or :func:`merged`. Result: (groups, q, value, n), n being the number of
     values of the group. q is taken to three decimals, 0 gives the smallest value. Equal values share their ranks, groups
-    with a null key are kept, an empty table gives an empty result.
+    with a null key are kept, an empty table gives an empty result. ``bounds`` are ascending cuts of the values, best from
+    ``ranges.split_points`` over the rows that were counted; without them the counts themselves are sampled, which runs what
+    they come from twice more. Any bounds give the same result, good ones give ranges of equal size.
     """
     counts = counts.select(*(F.col(g).alias(f"g{i}") for i, g in enumerate(groups)), F.col("value").cast("bigint").alias("value"), F.col("n").cast("bigint").alias("n"))
     gs = [f"g{i}" for i in range(len(groups))]
-    counts = counts.withColumn("part", value_range(F.col("value")))
+    counts = with_range(counts, "value", split_points(counts, "value") if bounds is None else bounds, "part")
     sums = counts.groupBy(*gs, "part").agg(F.sum("n").alias("part_n"))
     by_part = Window.partitionBy(*gs).orderBy("part")
     sums = sums.select(*gs, "part", (F.sum("part_n").over(by_part) - F.col("part_n")).alias("before"), "part_n", F.sum("part_n").over(Window.partitionBy(*gs)).alias("total"))

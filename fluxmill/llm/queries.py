@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import split_points
 from ..plans.registry import DADDR, DAY, RECORDS, SADDR, Registry
 from ..session import cut
 from ..sources.tables import address, counter, day_number, records, table
@@ -17,18 +18,30 @@ llm = Registry()
 GROUPS = ["utc_day", "proto", "metric"]
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = table(spark, sf_dir, "argus").where("stime_us is not null")
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     dur = F.when(F.col("dur") >= 0, F.round(F.col("dur") * 1e6).cast("bigint"))
-    rows = records(stored, day=day_number("stime_us"), proto=F.col("proto").cast("int"), dur=dur, sbytes=counter("sbytes"), dbytes=counter("dbytes"))
+    return table(spark, sf_dir, "argus").where("stime_us is not null").withColumns({"dur": dur, "sbytes": counter("sbytes"), "dbytes": counter("dbytes")})
+
+
+def _each(rows: DataFrame, *keep: str) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.when(F.col(m) >= 0, F.col(m)).alias("value")) for m in ("dur", "sbytes", "dbytes")))
-    return rows.select("day", "proto", F.explode(pairs).alias("x")).select("day", "proto", "x.metric", "x.value")
+    return rows.select(*keep, F.explode(pairs).alias("x")).select(*keep, "x.metric", "x.value")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(_measured(spark, sf_dir), day=day_number("stime_us"), proto=F.col("proto").cast("int"), dur="dur", sbytes="sbytes", dbytes="dbytes")
+    return _each(rows, "day", "proto")
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.value_counts(_metrics(spark, sf_dir), ["day", "proto", "metric"], "value")
 
 
+def _cuts(spark: SparkSession, sf_dir: str) -> list[float]:
+    """Bounds for the range sort, sampled from the stored rows; copies of records do not matter here."""
+    return split_points(_each(_measured(spark, sf_dir)), "value")
+
+
 def _text_day(df: DataFrame) -> DataFrame:
     return df.withColumn("utc_day", F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd")).drop("day")
 
@@ -44,7 +57,7 @@ p AS (SELECT {g}, q, min(value) AS value, any_value(n) AS n FROM k, (SELECT unne
 @llm("p2_found", _P2 + _RANKED.format(g="utc_day, proto, metric") + """SELECT DISTINCT utc_day, proto, metric FROM p WHERE n >= 30 AND
   ((metric = 'dur' AND q = 50 AND value >= 10000000) OR (metric = 'sbytes' AND q = 90 AND value >= 200000) OR (metric = 'dbytes' AND q = 95 AND value >= 2000000))""")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = percentiles.percentiles(_daily(spark, sf_dir), ["day", "proto", "metric"], (50, 90, 95))
+    rows = percentiles.percentiles(_daily(spark, sf_dir), ["day", "proto", "metric"], (50, 90, 95), _cuts(spark, sf_dir))
     case = "(metric = 'dur' and q = 50 and value >= 10000000) or (metric = 'sbytes' and q = 90 and value >= 200000) or (metric = 'dbytes' and q = 95 and value >= 2000000)"
     return _text_day(rows.where("n >= 30").where(case)).select(*GROUPS)
 
@@ -52,13 +65,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm("p2_percentiles", _P2 + _RANKED.format(g="utc_day, proto, metric") + "SELECT utc_day, proto, metric, cast(q AS DOUBLE) AS q, value, n FROM p")
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Durations are in microseconds."""
-    return _text_day(percentiles.percentiles(_daily(spark, sf_dir), ["day", "proto", "metric"], (50, 90, 95, 99))).select(*GROUPS, "q", "value", "n")
+    return _text_day(percentiles.percentiles(_daily(spark, sf_dir), ["day", "proto", "metric"], (50, 90, 95, 99), _cuts(spark, sf_dir))).select(*GROUPS, "q", "value", "n")
 
 
 @llm("p2_combined", _P2 + _RANKED.format(g="proto, metric") + "SELECT proto, metric, cast(q AS DOUBLE) AS q, value, n FROM p")
 def p2_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles over all days, from the partial results of the single days."""
-    return percentiles.percentiles(percentiles.merged(_daily(spark, sf_dir), ["proto", "metric"]), ["proto", "metric"], (50, 90, 95, 99))
+    return percentiles.percentiles(percentiles.merged(_daily(spark, sf_dir), ["proto", "metric"]), ["proto", "metric"], (50, 90, 95, 99), _cuts(spark, sf_dir))
 
 
 @llm("p2_rounded", _P2 + """s AS (SELECT proto, metric, value, greatest(0, cast(floor(log2(greatest(value, 1))) AS INT) - 7) AS d FROM v WHERE value >= 0),

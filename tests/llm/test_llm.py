@@ -55,6 +55,22 @@ def test_percentiles(spark):
     assert percentiles.percentiles(percentiles.value_counts(df.limit(0), ["g"], "v"), ["g"], qs).count() == 0
 
 
+def test_close_values_are_range_sorted(spark):
+    """100,000 values around 1.7e15 and a hot group: many even ranges, the same percentiles for any bounds."""
+    n, base = 100_000, 1_700_000_000_000_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), (F.lit(base) + F.pmod(F.col("id") * 7919, F.lit(n))).alias("v"))
+    bounds = percentiles.split_points(df, "v")
+    counts = percentiles.value_counts(df, ["g"], "v")
+    parts = percentiles.with_range(counts, "value", bounds, "part").groupBy("g", "part").count().toPandas()
+    assert parts[parts.g == "a"].part.nunique() > 8 and parts["count"].max() < 0.2 * n
+    per = defaultdict(list)
+    for r in df.collect():
+        per[r["g"]].append(r["v"])
+    want = {(g, float(q)): sorted(vs)[max(1, -(-q * len(vs) // 100)) - 1] for g, vs in per.items() for q in (0, 1, 50, 99, 100)}
+    for cuts in (bounds, [], None, [float(base + 5)]):
+        assert {(r["g"], r["q"]): r["value"] for r in percentiles.percentiles(counts, ["g"], (0, 1, 50, 99, 100), cuts).collect()} == want
+
+
 def test_rounded_values_keep_their_error_bound(spark):
     df = spark.range(0, 100_000, 37).select(F.col("id"), percentiles.rounded(F.col("id"), 5).alias("r")).toPandas()
     assert (df.r <= df.id).all() and ((df.id - df.r) <= df.id / 32).all()
