@@ -117,6 +117,51 @@ def p5_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.answers(_pair_patterns(spark, sf_dir), ["grp", "addr"], asked)
 
 
+@llm("p5_merged", _P5 + "SELECT utc_day, addr, count(DISTINCT other) AS n FROM e WHERE grp = 'saddr' GROUP BY ALL")
+def p5_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial results of two halves of the table, merged: the same counts as from the whole."""
+    stored = table(spark, sf_dir, "argus").where("stime_us is not null and saddr is not null and daddr is not null")
+    halves = [stored.where(f"autoid % 2 = {i}").select(address("saddr").alias("saddr"), address("daddr").alias("daddr"), day_number("stime_us").alias("day")) for i in (0, 1)]
+    maps = membership.merge(*(membership.bitmaps(h, ["saddr"], "daddr", "day") for h in halves))
+    rows = membership.per_group(membership.patterns(membership.members(maps, ["saddr"]), ["saddr"]), ["saddr"])
+    return _text_day(rows.withColumnRenamed("group_no", "day")).select("utc_day", F.col("saddr").alias("addr"), "n")
+
+
+#: Addresses that a question may combine; patterns grow with their number times the days.
+ASKED = 6
+
+
+@llm("p5_across", _P5 + f""", b AS (SELECT addr AS host FROM e WHERE grp = 'saddr' GROUP BY addr ORDER BY count(DISTINCT other) DESC, addr LIMIT {ASKED}),
+w AS (SELECT addr AS host, other, strftime(cast(utc_day AS DATE), '%w') IN ('0', '6') AS rest FROM e WHERE grp = 'saddr' AND addr IN (SELECT host FROM b)),
+i AS (SELECT other, count(DISTINCT host) AS hosts, count(DISTINCT CASE WHEN rest THEN host END) AS resting FROM w GROUP BY other)
+SELECT 'any' AS question, NULL AS host, count(*) AS n FROM i UNION ALL SELECT 'any at a weekend', NULL, count(*) FROM i WHERE resting > 0 UNION ALL SELECT 'all', NULL, count(*) FROM i WHERE hosts = (SELECT count(*) FROM b)
+UNION ALL SELECT 'only', host, count(DISTINCT other) FROM w JOIN i USING (other) WHERE hosts = 1 GROUP BY host UNION ALL SELECT 'shared at a weekend', host, count(DISTINCT other) FROM w JOIN i USING (other) WHERE rest AND resting > 1 GROUP BY host""")
+def p5_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct daddr over sets of saddr and days: patterns of (saddr, day) groups for the saddr with the most partners.
+
+    Totals of single addresses would not add up; a daddr's pattern over all asked addresses and days answers any
+    combination of them.
+    """
+    totals = _pair_patterns(spark, sf_dir).where("grp = 'saddr'")
+    hosts = [r[0] for r in totals.groupBy("addr").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "addr").limit(ASKED).collect()]
+    stored = table(spark, sf_dir, "argus").where("stime_us is not null and daddr is not null")
+    rows = stored.select(address("saddr").alias("saddr"), address("daddr").alias("daddr"), day_number("stime_us").alias("day")).where(F.col("saddr").isin(hosts))
+    number = F.array_position(F.array(*map(F.lit, hosts)), F.col("saddr")) - 1
+    rows = rows.withColumn("no", F.col("day") * ASKED + number)
+    totals = membership.patterns(membership.members(membership.bitmaps(rows, [], "daddr", "no"), []), [])
+    host, rest = (lambda g: F.pmod(g, F.lit(ASKED))), (lambda g: F.pmod(F.floor(g / ASKED) + 4, F.lit(7)).isin(0, 6))
+    of = lambda i, at=None: F.exists("groups", lambda g: (host(g) == i) if at is None else (host(g) == i) & rest(g))
+    some = lambda tests: F.array_contains(F.array(*tests), True)
+    everyone = range(len(hosts))
+    asked = {"any": some([of(i) for i in everyone]), "any at a weekend": some([of(i, 1) for i in everyone]), "all": ~F.array_contains(F.array(*(of(i) for i in everyone)), False)}
+    asked |= {f"only\t{hosts[i]}": of(i) & ~some([of(k) for k in everyone if k != i] or [F.lit(False)]) for i in everyone}
+    asked |= {f"shared at a weekend\t{hosts[i]}": of(i, 1) & some([of(k, 1) for k in everyone if k != i] or [F.lit(False)]) for i in everyone}
+    names = {f"q{i}": q for i, q in enumerate(asked)}
+    one = membership.answers(totals, [], {k: asked[q] for k, q in names.items()})
+    said = F.array(*(F.struct(F.lit(q.split("\t")[0]).alias("question"), F.lit((q.split("\t") + [None])[1]).cast("string").alias("host"), F.col(k).alias("n")) for k, q in names.items()))
+    return one.select(F.explode(said).alias("x")).select("x.*").where("n > 0 or host is null")
+
+
 # --- 7: most frequent values
 
 FIELDS = ["saddr", "daddr", "dport"]
@@ -126,10 +171,10 @@ c AS (SELECT fld, item, count(*) AS "count", sum(count(*)) OVER (PARTITION BY fl
 """
 
 
-def _frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _frequent(spark: SparkSession, sf_dir: str, ppm: int = 10_000) -> DataFrame:
     rows = records(table(spark, sf_dir, "argus"), saddr=address("saddr"), daddr=address("daddr"), dport="dport")
     names = F.element_at(F.array(*map(F.lit, FIELDS)), F.col("fld") + 1)
-    return votes.frequent(rows, FIELDS, 1).withColumn("fld", names)
+    return votes.frequent(rows, FIELDS, ppm).withColumn("fld", names)
 
 
 @llm("p7_found", _P7 + "SELECT fld, item FROM c WHERE \"count\" * 100 >= n")
@@ -142,6 +187,13 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequent(spark, sf_dir).select("fld", "item", "count", "n")
 
 
+@llm("p7_rarer", _P7 + "SELECT fld, item, \"count\", true AS bounded FROM c WHERE \"count\" * 2000 >= n")
+def p7_rarer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of at least one in two thousand, and whether the sketch's bounds, where it named them, hold."""
+    rows = _frequent(spark, sf_dir, 500)
+    return rows.select("fld", "item", "count", F.coalesce(F.col("count").between(F.col("lower"), F.col("upper")), F.lit(True)).alias("bounded"))
+
+
 @llm("p7_bounds")
 def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sketch alone: every candidate with lower and upper bound of its count."""
@@ -149,6 +201,16 @@ def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.bounds(votes.merge(votes.sketch(rows, FIELDS))).where("item is not null")
 
 
+@llm("p7_bounds_hold", _P7 + "SELECT fld, item, \"count\", true AS holds FROM c WHERE \"count\" * 100 >= n")
+def p7_bounds_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch's bounds against the counts of all values, for those of at least a hundredth."""
+    rows = records(table(spark, sf_dir, "argus"), saddr=address("saddr"), daddr=address("daddr"), dport="dport")
+    each = F.array(*(F.struct(F.lit(i).alias("fld"), F.col(c).cast("string").alias("item")) for i, c in enumerate(FIELDS)))
+    counts = rows.select(F.explode(each).alias("x")).select("x.*").where("item is not null").groupBy("fld", "item").agg(F.count(F.lit(1)).alias("count"))
+    found = votes.bounds(votes.merge(votes.sketch(rows, FIELDS))).join(counts, ["fld", "item"]).where("count * 100 >= n")
+    return found.select(F.element_at(F.array(*map(F.lit, FIELDS)), F.col("fld") + 1).alias("fld"), "item", "count", F.col("count").between(F.col("lower"), F.col("upper")).alias("holds"))
+
+
 # --- 8: filling containers
 
 

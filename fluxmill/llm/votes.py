@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 ROWS, WIDTH_BITS = 3, 10
 CELLS = "fld int, row int, cell int, item string, surplus bigint, total bigint"
 
@@ -90,32 +92,37 @@ def bounds(cells: DataFrame) -> DataFrame:
     return rows.groupBy("fld", "item").agg(F.max("surplus").alias("lower"), F.min(F.expr("(total + surplus) div 2")).alias("upper"), F.max("n").alias("n"))
 
 
-def frequent(df: DataFrame, fields: list[str], percent: int, rows: int = ROWS, bits: int = WIDTH_BITS) -> DataFrame:
-    """Values of each field that make up at least ``percent`` % of its non-null values: (fld, item, count, lower, upper, n).
+def bits_for(ppm: int) -> int:
+    """Width of a sketch row, in bits, for values of so many parts per million: four cells for each value there can be."""
+    return max(WIDTH_BITS, (4_000_000 // ppm - 1).bit_length())
+
+
+def frequent(df: DataFrame, fields: list[str], ppm: int, rows: int = ROWS, bits: int | None = None) -> DataFrame:
+    """Values of each field that make up at least ``ppm`` parts per million of its non-null values.
 
-    The sketch names the candidates, a second pass counts them exactly. A value can only be missed by the sketch if it
-    shares a cell with as frequent ones in every row; cells where that is possible are known from V - C, and values all of
-    whose cells are such are counted as well, so the result is exact. What the second pass broadcasts is bounded: at most
-    200 / percent candidates and 100 / percent doubtful cells a row and field.
+    Result: (fld, item, count, lower, upper, n). The sketch names the candidates and is stored, a second pass counts them
+    exactly. A value can only be missed by the sketch if it shares a cell with as frequent ones in every row; cells where
+    that is possible are known from V - C, and values all of whose cells are such are counted as well, so the result is
+    exact. What the second pass broadcasts is bounded: a field has at most rows * 1,000,000 / ppm candidates, and
+    500,000 / ppm doubtful cells a row, as the totals of a row's cells add up to n. A worker's memory follows from rows,
+    bits and fields, not from the data.
     """
-    cells = merge(sketch(df, fields, rows, bits))
+    bits = bits_for(ppm) if bits is None else bits
     n = F.sum("total").over(Window.partitionBy("fld", "row"))
-    cells = cells.select("*", n.alias("n"))
-    heavy = (F.col("total") + F.col("surplus")) * 50 >= F.col("n") * percent
-    doubtful = (F.col("total") - F.col("surplus")) * 50 >= F.col("n") * percent
-    info = cells.groupBy("fld").agg(
-        F.max("n").alias("n"),
-        F.collect_set(F.when(heavy, F.col("item"))).alias("items"),
-        *(F.collect_set(F.when((F.col("row") == r) & doubtful, F.col("cell"))).alias(f"doubt{r}") for r in range(rows)),
-        F.collect_set(F.when(heavy, F.struct("item", "surplus", F.expr("(total + surplus) div 2").alias("upper")))).alias("limits"),
-    )
+    cells = cut(merge(sketch(df, fields, rows, bits))).withColumn("n", n)
+    heavy = (F.col("total") + F.col("surplus")) * 500_000 >= F.col("n") * ppm
+    doubtful = (F.col("total") - F.col("surplus")) * 500_000 >= F.col("n") * ppm
+    limits = F.max("surplus").alias("lower"), F.min(F.expr("(total + surplus) div 2")).alias("upper")
+    named = cells.where(heavy & F.col("item").isNotNull()).groupBy("fld", "item").agg(*limits)
+    totals = cells.groupBy("fld").agg(F.max("n").alias("n"))
     values = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("fld"), F.col(c).cast("string").alias("item")) for i, c in enumerate(fields)))).alias("x")).select("x.*").where("item is not null")
-    cell = lambda r: F.shiftright(F.xxhash64("item"), bits * r).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
-    in_doubt = F.lit(True)
+    hits, open_ = values.join(F.broadcast(named), ["fld", "item"], "left"), F.lit(True)
     for r in range(rows):
-        in_doubt &= F.array_contains(f"doubt{r}", cell(r))
-    hits = values.join(F.broadcast(info.select("fld", "items", *(f"doubt{r}" for r in range(rows)))), "fld").where(F.array_contains("items", F.col("item")) | in_doubt)
-    counted = hits.groupBy("fld", "item").agg(F.count(F.lit(1)).alias("count"))
-    out = counted.join(F.broadcast(info.select("fld", "n", "limits")), "fld").where(F.col("count") * 100 >= F.col("n") * percent)
-    own = F.filter("limits", lambda x: x["item"] == F.col("item"))
-    return out.select("fld", "item", "count", F.array_max(F.transform(own, lambda x: x["surplus"])).alias("lower"), F.array_min(F.transform(own, lambda x: x["upper"])).alias("upper"), "n")
+        cell = F.shiftright(F.xxhash64("item"), bits * r).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
+        doubt = cells.where(doubtful & (F.col("row") == r)).select("fld", F.col("cell").alias(f"cell{r}"), F.lit(True).alias(f"doubt{r}"))
+        hits = hits.withColumn(f"cell{r}", cell).join(F.broadcast(doubt), ["fld", f"cell{r}"], "left")
+        open_ &= F.coalesce(f"doubt{r}", F.lit(False))
+    hits = hits.where(F.col("upper").isNotNull() | open_)
+    counted = hits.groupBy("fld", "item").agg(F.count(F.lit(1)).alias("count"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
+    out = counted.join(F.broadcast(totals), "fld").where(F.col("count") * 1_000_000 >= F.col("n") * ppm)  # one row a field
+    return out.select("fld", "item", "count", "lower", "upper", "n")

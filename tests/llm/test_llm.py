@@ -114,10 +114,13 @@ def test_bounds_hold_and_heavy_values_are_found(spark):
         assert r["lower"] <= count[r["item"]] <= r["upper"] and r["n"] == 4200
     # tiny sketches collide a lot: what they cannot exclude is counted exactly
     for bits in (1, 3, 8):
-        got = {(r["fld"], r["item"]): r["count"] for r in votes.frequent(df, ["a", "b"], 1, rows=2, bits=bits).collect()}
+        got = {(r["fld"], r["item"]): r["count"] for r in votes.frequent(df, ["a", "b"], 10_000, rows=2, bits=bits).collect()}
         want = {(0, v): n for v, n in count.items() if n * 100 >= 4200} | {(1, str(i)): sum(1 for j in range(len(values)) if j % 3 == i) for i in range(3)}
         assert got == want
-    assert votes.frequent(df.limit(0), ["a"], 1).count() == 0
+    rare = {(r["fld"], r["item"]): r["count"] for r in votes.frequent(df, ["a", "b"], 300, rows=2, bits=9).collect()}
+    assert rare == {(0, v): n for v, n in count.items() if n * 1_000_000 >= 300 * 4200} | {(1, str(i)): sum(1 for j in range(len(values)) if j % 3 == i) for i in range(3)}
+    assert votes.bits_for(10_000) == 10 and votes.bits_for(100) == 16
+    assert votes.frequent(df.limit(0), ["a"], 10_000).count() == 0
 
 
 def test_merging_is_vote_cancellation():
