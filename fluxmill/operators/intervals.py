@@ -7,6 +7,10 @@ all its slices. Within a slice each interval is decomposed into its canonical dy
 are removed, complete sibling pairs are merged upward, and adjacent blocks coalesce into periods. Rows arrive sorted, so a
 worker holds one Arrow batch and the last open period. Only the first and last period of a slice take part in stitching
 slices together, which is at most two rows a slice however many rows the key has.
+
+An interval over many slices goes into its first and last slice only. The slices between are covered whole: they are blocks
+of a higher level, an interval on the axis of slice numbers, and are merged there by the same steps, on as many levels as
+the longest interval asks for. What a covered slice holds of other intervals lies below these blocks and is absorbed.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_BITS = 33
+#: Intervals that reach over more slices than this become two edges and a cover; slice numbers are sliced by COVER_BITS.
+LONG, COVER_BITS = 64, 12
 LOCAL = "key string, slice bigint, lo bigint, hi bigint, prev_hi bigint, edge boolean"
 
 
@@ -114,22 +120,57 @@ def _fold(bits: int):
     return fold
 
 
-def _local(df: DataFrame, key: str, start: str, end: str, bits: int) -> DataFrame:
-    """Periods of each (key, slice), in half units; edge marks the first and last one of a slice."""
+def _half_open(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Intervals (key, a, b) in half units, b excluded."""
     rows = df.select(F.col(key).cast("string").alias("key"), (F.col(start).cast("bigint") * 2).alias("a"), (F.col(end).cast("bigint") * 2 + 1).alias("b"))
-    rows = rows.where("key is not null and a is not null and b is not null and a < b").distinct()  # repeats end before they travel
-    cut = F.explode(F.sequence(F.shiftright("a", bits), F.shiftright(F.col("b") - 1, bits)))
+    return rows.where("key is not null and a is not null and b is not null and a < b")
+
+
+def _pieces(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, slice, lo, hi) of intervals (key, a, b), and the merged covers (key, lo, hi) where slices are covered whole."""
+    first, last = F.shiftright("a", bits), F.shiftright(F.col("b") - 1, bits)
     low = F.shiftleft(F.col("slice"), bits)
-    rows = rows.select("key", "a", "b", cut.alias("slice")).select(
-        "key", "slice", F.greatest(F.col("a"), low).alias("lo"), F.least(F.col("b"), low + F.lit(1 << bits)).alias("hi")
-    )
-    return rows.repartition("key", "slice").sortWithinPartitions("key", "slice", "lo").mapInArrow(_fold(bits), LOCAL)
+    furthest = rows.agg(F.max(last - first)).first()[0]
+    rows = rows.distinct()  # repeats end before they travel
+    there = F.sequence(first, last)
+    if furthest is not None and furthest > LONG:
+        there = F.when(last - first > LONG, F.array(first, last)).otherwise(there)
+    pieces = rows.select("key", "a", "b", F.explode(there).alias("slice")).select("key", "slice", F.greatest(F.col("a"), low).alias("lo"), F.least(F.col("b"), low + F.lit(1 << bits)).alias("hi"))
+    if furthest is None or furthest <= LONG:
+        return pieces, None
+    covers = _merged(rows.where(last - first > LONG).select("key", (first + 1).alias("a"), last.alias("b")), COVER_BITS)
+    # slices that hold pieces and are covered get one more piece, the whole slice
+    held = pieces.select("key", "slice").join(covers.select("key").distinct(), "key", "left_semi").distinct()
+    both = held.select("key", F.col("slice").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("until")).unionByName(covers.select("key", F.col("lo").alias("at"), F.lit(0).alias("side"), F.col("hi").alias("until")))
+    until = F.last("until", ignorenulls=True).over(Window.partitionBy("key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    whole = both.withColumn("until", until).where("side = 1 and at < until").select("key", F.col("at").alias("slice"))
+    whole = whole.select("key", "slice", low.alias("lo"), (low + F.lit(1 << bits)).alias("hi"))
+    return pieces.unionByName(whole), covers.select("key", F.shiftleft("lo", bits).alias("lo"), F.shiftleft("hi", bits).alias("hi"))
+
+
+def _local(rows: DataFrame, bits: int) -> DataFrame:
+    """Periods of each (key, slice), and covers; edge marks the first and last one of a slice, and every cover."""
+    pieces, covers = _pieces(rows, bits)
+    local = pieces.repartition("key", "slice").sortWithinPartitions("key", "slice", "lo").mapInArrow(_fold(bits), LOCAL)
+    if covers is None:
+        return local
+    null = F.lit(None).cast("bigint")
+    return local.unionByName(covers.select("key", null.alias("slice"), "lo", "hi", null.alias("prev_hi"), F.lit(True).alias("edge")))
 
 
 def _with_previous(local: DataFrame) -> DataFrame:
-    """prev: end of the period before, across slices. Inner rows stay spread by slice, only edges gather by key."""
-    w = Window.partitionBy("key", F.when(~F.col("edge"), F.col("slice"))).orderBy("lo")
-    return local.withColumn("prev", F.coalesce("prev_hi", F.when(F.col("edge"), F.lag("hi").over(w))))
+    """prev: how far the periods before reach, across slices. Inner rows stay spread by slice, only edges gather by key."""
+    w = Window.partitionBy("key", F.when(~F.col("edge"), F.col("slice"))).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    return local.withColumn("prev", F.when(F.col("edge"), F.max("hi").over(w)).otherwise(F.col("prev_hi"))).withColumn("prev", F.greatest("prev", "prev_hi"))
+
+
+def _merged(rows: DataFrame, bits: int) -> DataFrame:
+    """Disjoint periods (key, lo, hi) of half-open intervals (key, a, b)."""
+    part: Column = F.when(~F.col("edge"), F.col("slice"))
+    rows = _with_previous(_local(rows, bits)).withColumn("part", part)
+    w = Window.partitionBy("key", "part").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.col("prev").isNull() | (F.col("prev") < F.col("lo")), 1).otherwise(0)
+    return rows.withColumn("no", F.sum(new).over(w)).groupBy("key", "part", "no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("key", "lo", "hi")
 
 
 def gaps(df: DataFrame, key: str, start: str, end: str, slice_bits: int = SLICE_BITS) -> DataFrame:
@@ -137,17 +178,14 @@ def gaps(df: DataFrame, key: str, start: str, end: str, slice_bits: int = SLICE_
 
     ``start`` and ``end`` are whole numbers, both ends included; intervals that overlap or share an end form one period.
     Rows with a null key, start or end and rows of negative length are left out; repeated rows change nothing; an empty
-    table gives an empty result. Other columns are ignored.
+    table gives an empty result. Other columns are ignored. An interval of any length makes five rows at most on its way,
+    or as many as the slices it touches if these are not more than LONG.
     """
-    rows = _with_previous(_local(df, key, start, end, slice_bits)).where("prev < lo")
+    rows = _with_previous(_local(_half_open(df, key, start, end), slice_bits)).where("prev < lo")
     return rows.select(F.col("key").alias(key), F.shiftright(F.col("prev") - 1, 1).alias("gap_start"), F.shiftright("lo", 1).alias("gap_end"))
 
 
 def periods(df: DataFrame, key: str, start: str, end: str, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Continuous periods of each key: (key, period_start, period_end). Cases as in :func:`gaps`."""
-    part: Column = F.when(~F.col("edge"), F.col("slice"))
-    rows = _with_previous(_local(df, key, start, end, slice_bits)).withColumn("part", part)
-    w = Window.partitionBy("key", "part").orderBy("lo")
-    new = F.when(F.col("prev").isNull() | (F.col("prev") < F.col("lo")), 1).otherwise(0)
-    rows = rows.withColumn("no", F.sum(new).over(w)).groupBy("key", "part", "no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = _merged(_half_open(df, key, start, end), slice_bits)
     return rows.select(F.col("key").alias(key), F.shiftright("lo", 1).alias("period_start"), F.shiftright(F.col("hi") - 1, 1).alias("period_end"))

@@ -63,6 +63,33 @@ def test_gaps_and_periods_match_brute_force(spark, bits):
     assert sorted(map(tuple, got)) == sorted((k, a[1], b[0]) for k, v in want.items() for a, b in zip(v, v[1:]))
 
 
+@pytest.mark.parametrize("bits, long, cover", [(6, 3, 5), (5, 64, 12)])
+def test_long_intervals_become_covers(spark, monkeypatch, bits, long, cover):
+    """Small slices and few levels: covers of covers, covered slices with pieces of their own, covers that touch."""
+    monkeypatch.setattr(intervals, "LONG", long)
+    monkeypatch.setattr(intervals, "COVER_BITS", cover)
+    rng = random.Random(bits)
+    rows = [(rng.choice("abc"), rng.randint(-3000, 9000), 0) for _ in range(120)]
+    rows = [(k, s, s + rng.choice([0, 1, 5, 30, 200, 900])) for k, s, _ in rows] + [("b", 100, 4000), ("c", -2000, 8000), ("c", 8000, 8100), ("d", 16, 320), ("d", 321, 400), ("d", 20, 21)]
+    df = spark.createDataFrame(rows, "id string, s bigint, e bigint")
+    want = brute_periods(rows)
+    assert sorted(map(tuple, intervals.periods(df, "id", "s", "e", bits).collect())) == sorted((k, s, e) for k, v in want.items() for s, e in v)
+    assert sorted(map(tuple, intervals.gaps(df, "id", "s", "e", bits).collect())) == sorted((k, a[1], b[0]) for k, v in want.items() for a, b in zip(v, v[1:]))
+
+
+def test_an_interval_to_the_year_9999(spark):
+    """It stays a handful of rows, however long, and the tasks of a hot key stay even beside it."""
+    end = 253_402_300_799_000_000
+    rows = [("k", 10**15 + i * 10**6, 10**15 + i * 10**6 + 5) for i in range(3000)] + [("k", 10**15 + 2_000 * 10**6, end), ("o", 0, end), ("o", end + 5, end + 6)]
+    df = spark.createDataFrame(rows, "id string, s bigint, e bigint")
+    pieces, covers = intervals._pieces(intervals._half_open(df, "id", "s", "e"), 20)
+    assert pieces.count() <= 3 * len(rows) and covers.count() == 2
+    assert pieces.groupBy("key", "slice").count().agg({"count": "max"}).first()[0] < 10
+    got = sorted(map(tuple, intervals.periods(df, "id", "s", "e").collect()))
+    assert len(got) == 2003 and got[-1] == ("o", end + 5, end + 6) and ("o", 0, end) in got and ("k", 10**15 + 2_000 * 10**6, end) in got
+    assert [tuple(r) for r in intervals.gaps(df.where("id = 'o'"), "id", "s", "e").collect()] == [("o", end, end + 5)]
+
+
 def test_gaps_of_nothing(spark):
     df = spark.createDataFrame([], "id string, s bigint, e bigint")
     assert intervals.gaps(df, "id", "s", "e").count() == 0
