@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as X
 from ..functions.addresses import net_text
 from ..sources.flows import normalised, reverse
+from .sessions import slot_of
 
 SUMS = ("spkts", "dpkts", "sbytes", "dbytes", "sappbytes", "dappbytes", "sloss", "dloss")
 FIVE_TUPLE = "saddr daddr proto sport dport"
@@ -172,11 +173,12 @@ def cluster_by_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
 # --- timers
 
 
-def idle_split(df: DataFrame, keys: list[str], idle_s: float, slice_s: int = 3600) -> DataFrame:
+def idle_split(df: DataFrame, keys: list[str], idle_s: float, slots: int = 1024) -> DataFrame:
     """Aggregates by key, a new record beginning where nothing was active for ``idle_s`` seconds or more.
 
-    A record without an end ends where it starts. Done within slices of time first, then over what the slices leave (at
-    most slice_s / idle_s + 1 rows each), so a key with a large part of all records is shared by many tasks.
+    A record without an end ends where it starts. Records of a key that start within one slot of ``idle_s`` always belong
+    together, so they merge first, by sums that start on the map side; what is left of a key is bounded by the length of
+    time and not by its records. It is divided within slices of ``slots`` slots and then over the slices.
     """
     idle = int(idle_s * 1e6)
 
@@ -186,8 +188,11 @@ def idle_split(df: DataFrame, keys: list[str], idle_s: float, slice_s: int = 360
         rows = rows.withColumn("_new", F.when(F.col("stime_us") - before < idle, 0).otherwise(1))
         return rows.withColumn("part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    rows = df.where("stime_us is not null").withColumns({"_slice": F.expr(f"stime_us div {slice_s * 1_000_000}"), "_end": F.coalesce("ltime_us", "stime_us")})
-    rows = numbered(rows, [*keys, "_slice"]).groupBy(*keys, "_slice", "part").agg(*merged(), F.max("_end").alias("_end")).drop("part")
+    rows = df.where("stime_us is not null").withColumn("_end", F.coalesce("ltime_us", "stime_us"))
+    slot = slot_of("stime_us", idle) if idle > 0 else F.col("autoid")
+    rows = rows.groupBy(*keys, slot.alias("_slot")).agg(*merged(), F.max("_end").alias("_end"))
+    rows = rows.withColumn("_slice", slot_of("stime_us", max(1, idle) * slots))
+    rows = numbered(rows, [*keys, "_slice"]).groupBy(*keys, "_slice", "part").agg(*_united(None), F.max("_end").alias("_end")).drop("part")
     return numbered(rows, keys).groupBy(*keys, "part").agg(*_united(None))
 
 
@@ -204,19 +209,30 @@ def status_split(df: DataFrame, keys: list[str], status_s: float, idle_s: float
     spread = rows.repartition("_key").sortWithinPartitions("_key", *keys, "stime_us", "autoid")
 
     def fold(batches):
+        import numpy as np
         import pandas as pd
 
         last, start, end, no = None, 0, 0, 0
         for pdf in batches:
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), dtype=bool)
+            for k in keys:
+                values, before = pdf[k], pdf[k].shift()
+                new |= ((values != before) & ~(values.isna() & before.isna())).to_numpy(dtype=bool)
+            heads = pdf[keys].iloc[[0, -1]].astype(object).where(pdf[keys].iloc[[0, -1]].notna(), None).itertuples(index=False, name=None)
+            first, final = heads
+            new[0] = last is None or first != last[0]
+            last = (final,)
             numbers = []
-            for k, s, e in zip(pdf[keys].itertuples(index=False, name=None), pdf["stime_us"], pdf["ltime_us"].fillna(pdf["stime_us"])):
-                k = tuple(None if pd.isna(x) else x for x in k)
-                if k != last:
-                    last, start, end, no = k, s, e, 0
+            starts, ends = pdf["stime_us"].tolist(), pdf["ltime_us"].fillna(pdf["stime_us"]).astype("int64").tolist()
+            for opens, s, e in zip(new.tolist(), starts, ends):
+                if opens:
+                    start, end, no = s, e, 0
                 elif end - start >= status or (idle is not None and s - end >= idle):
                     start, end, no = s, e, no + 1
-                else:
-                    start, end = min(start, s), max(end, e)
+                elif e > end:
+                    end = e
                 numbers.append(no)
             yield pdf.assign(part=pd.array(numbers, dtype="int64"))
 

@@ -155,3 +155,27 @@ def test_keyed_fold_splits_and_stitches(spark):
     states = skew.partial_states(df, "k", "t", {"total": "x"}, ("i",), partitions=7)
     assert states.where("k = 'hot'" if "k" in states.columns else "key = 'hot'").count() > 1
     assert skew.keyed_fold(df.limit(0), "k", "t", {"total": "x"}).count() == 0
+
+
+@pytest.mark.parametrize("gap, slots", [(1, 4), (0.5, 4096), (0, 8), (30, 2)])
+def test_sessions_of_a_hot_hour(spark, gap, slots):
+    """One key with half of all rows in one hour: its rows shrink to its slots before they are sorted."""
+    rng = random.Random(int(gap * 10) + slots)
+    rows = [("hot", 10**15 + rng.randint(0, 3_600_000) * 1000, 1) for _ in range(1500)] + [(f"k{i % 40}", rng.choice([None, -5_000_000, rng.randint(-(10**8), 10**8)]), 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id string, t bigint, x bigint")
+    by = defaultdict(list)
+    for k, t, _ in rows:
+        if t is not None:
+            by[k].append(t)
+    want = []
+    for k, ts in by.items():
+        ts.sort()
+        open_ = [ts[0], ts[0], 0]
+        for t in ts:
+            if t - open_[1] > gap * 1_000_000:
+                want.append((k, *open_))
+                open_ = [t, t, 0]
+            open_[1], open_[2] = t, open_[2] + 1
+        want.append((k, *open_))
+    got = [(r["id"], r["start_us"], r["end_us"], r["n"]) for r in sessions.sessions(df, "id", "t", gap, ("x",), slots).collect()]
+    assert sorted(got) == sorted(want)

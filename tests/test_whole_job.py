@@ -1,5 +1,6 @@
 """Operators and queries do the whole job: what an earlier form of them left out."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -97,3 +98,35 @@ def test_filter_words_without_a_column(word):
         with pytest.raises(FilterError):
             compile_sql(text, {"proto"})
     assert word in compile_sql(word, {word})
+
+
+@pytest.mark.parametrize("idle, slots", [(60, 1024), (7, 2), (0, 3)])
+def test_idle_timer_of_a_hot_hour(make_flows, idle, slots):
+    rng = random.Random(idle)
+    rows = [seen("p", rng.randint(0, 3600), saddr="hot") for _ in range(600)] + [seen("p", rng.randint(-5000, 50_000), saddr=f"k{i % 9}") for i in range(600)]
+    rows = [r | {"ltime_us": rng.choice([None, r["stime_us"], r["stime_us"] + rng.choice([1, 5, 4000]) * S])} for r in rows]
+    want = Counter()
+    for k in {r["saddr"] for r in rows}:
+        part = None
+        for r in sorted((r for r in rows if r["saddr"] == k), key=lambda r: (r["stime_us"], r["ltime_us"] or -(10**18))):
+            end = r["stime_us"] if r["ltime_us"] is None else r["ltime_us"]
+            if part and r["stime_us"] - part[1] < idle * S:
+                part = [part[0], max(part[1], end), part[2] + 1]
+            else:
+                if part:
+                    want[k, part[0], part[2]] += 1
+                part = [r["stime_us"], end, 1]
+        want[k, part[0], part[2]] += 1
+    got = Counter((r["saddr"], r["stime_us"], r["trans"]) for r in cluster.idle_split(make_flows(rows), ["saddr"], idle, slots).collect())
+    assert got == want
+
+
+def test_status_timer_over_small_batches(spark, make_flows):
+    rng = random.Random(4)
+    rows = [seen("p", rng.randint(0, 4000), saddr=rng.choice(["a", "b", None]), proto=rng.choice([6, None])) for _ in range(300)]
+    whole = Counter(tuple(r) for r in cluster.status_split(make_flows(rows), ["saddr", "proto"], 50, 100).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert Counter(tuple(r) for r in cluster.status_split(make_flows(rows), ["saddr", "proto"], 50, 100).collect()) == whole and len(whole) > 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
