@@ -47,9 +47,11 @@ def merged(metric: str | None = None) -> list[Column]:
 def cluster(df: DataFrame, keys: str = FIVE_TUPLE, metric: str | None = None, correct: bool | None = None) -> DataFrame:
     """One record for each key. ``correct``: direction correction, by default for the full five-tuple only.
 
-    'matrix' and 'matrix/len' group by the unordered pair of addresses. Null keys are keys; null counters count as 0; an
-    empty table gives no rows (for 'all' one row of nulls and zeros).
+    'matrix' and 'matrix/len' group by the unordered pair of addresses, 'none' passes the records through as they are. Null
+    keys are keys; null counters count as 0; an empty table gives no rows (for 'all' one row of nulls and zeros).
     """
+    if keys == "none":
+        return df
     if keys.split("/")[0] == "matrix":
         df, keys = normalised(df), " ".join(k + keys[6:] for k in ("saddr", "daddr"))
     elif correct or (correct is None and set(keys.split()) == set(FIVE_TUPLE.split())):
@@ -127,17 +129,24 @@ class Rule:
     grep: str = ""
     label: str = ""
     cont: bool = False
+    status_s: float | None = None
+    idle_s: float | None = None
 
 
 def parse_rules(text: str) -> list[Rule]:
-    """Rules from lines such as  filter="tcp" model="saddr daddr" label="web" cont ; '#' starts a comment."""
+    """Rules from lines such as  filter="tcp" model="saddr daddr" status=60 idle=300 label="web" cont ; '#' starts a comment."""
+
+    def seconds(name: str, line: str) -> float | None:
+        found = re.search(rf"\b{name}=\"?([0-9.]+)\"?", re.sub(r'(filter|model|grep|label)="[^"]*"', "", line))
+        return float(found[1]) if found and float(found[1]) > 0 else None
+
     out = []
     for line in text.splitlines():
         line = line.split("#")[0].strip()
         if not line or re.match(r"[A-Z_]+=", line):
             continue
         found = dict(re.findall(r'(\w+)="([^"]*)"', line))
-        out.append(Rule(f"rule{len(out)}", found.get("filter", ""), found.get("model", FIVE_TUPLE), found.get("grep", ""), found.get("label", ""), bool(re.search(r"\bcont\b", re.sub(r'"[^"]*"', "", line)))))
+        out.append(Rule(f"rule{len(out)}", found.get("filter", ""), found.get("model", FIVE_TUPLE), found.get("grep", ""), found.get("label", ""), bool(re.search(r"\bcont\b", re.sub(r'"[^"]*"', "", line))), seconds("status", line), seconds("idle", line)))
     return out
 
 
@@ -146,7 +155,9 @@ def cluster_by_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
     Records that match no rule, or only ones with ``cont``, are aggregated by the five-tuple as 'rest'. Result: rule,
     label, key (struct of texts of all key fields, null where the rule does not use them) and the merged counters. One
-    scan and one shuffle however many rules there are.
+    scan and one shuffle however many rules there are. A rule with ``idle`` begins a new aggregate after such a pause (see
+    :func:`idle_split`), one with ``status`` also once an aggregate spans that time (see :func:`status_split`); both leave
+    out records without start.
     """
     from ..plans.filterlang import compile_filter
 
@@ -167,7 +178,16 @@ def cluster_by_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
         if not r.cont:
             open_ &= ~match
     rows = df.withColumn("_rule", F.explode(F.array_compact(F.array(*taken))))
-    return rows.groupBy(F.col("_rule.rule").alias("rule"), F.col("_rule.label").alias("label"), F.col("_rule.key").alias("key")).agg(*merged())
+    rows = rows.withColumns({"rule": F.col("_rule.rule"), "label": F.col("_rule.label"), **{f"_k{i}": F.col(f"_rule.key.{n}") for i, n in enumerate(names)}})
+    keys = ["rule", "label", *(f"_k{i}" for i in range(len(names)))]
+    timed = {(r.status_s, r.idle_s) for r in rules if r.status_s or r.idle_s}
+    plain = rows.where(~F.col("rule").isin([r.name for r in rules if r.status_s or r.idle_s])) if timed else rows
+    out = plain.groupBy(*keys).agg(*merged())
+    for status_s, idle_s in sorted(timed, key=str):
+        some = rows.where(F.col("rule").isin([r.name for r in rules if (r.status_s, r.idle_s) == (status_s, idle_s)]))
+        out = out.unionByName((status_split(some, keys, status_s, idle_s) if status_s else idle_split(some, keys, idle_s)).drop("part"))
+    key = F.struct(*(F.col(f"_k{i}").alias(n) for i, n in enumerate(names)))
+    return out.select("rule", "label", key.alias("key"), *(c for c in out.columns if c not in keys))
 
 
 # --- timers

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import fields as X
 
 
+#: Words of an access list for flags of the TCP header, with their bits.
+FLAGS = {"fin": 0x01, "syn": 0x02, "rst": 0x04, "psh": 0x08, "ack": 0x10, "urg": 0x20}
+#: Words that change nothing about what is permitted.
+PASSED_OVER = {"log", "log-input"}
+
+
 @dataclass(frozen=True)
 class Line:
     number: int
@@ -23,10 +29,15 @@ class Line:
     target_port: tuple[str, int, int] | None
     established: bool
     text: str
+    flags: tuple[str, ...] = ()
 
 
 def parse_policy(text: str) -> list[Line]:
-    """Lines such as 'permit tcp 10.0.0.0 0.255.255.255 any eq 443 established'; masks are wildcards, 'host a' one address."""
+    """Lines such as 'permit tcp 10.0.0.0 0.255.255.255 any eq 443 established'; masks are wildcards, 'host a' one address.
+
+    After the ports may follow 'established' or flags of the TCP header (fin syn rst psh ack urg); a line with any other
+    word is an error.
+    """
     out = []
     for raw in text.splitlines():
         words = raw.split("!")[0].split()
@@ -65,12 +76,26 @@ def parse_policy(text: str) -> list[Line]:
         sport = port()
         dst = address()
         dport = port()
+        rest = words[at:]
+        unknown = set(rest) - {"established"} - set(FLAGS) - PASSED_OVER
+        if unknown or (proto != "tcp" and set(rest) - PASSED_OVER):
+            raise ValueError(f"cannot read {' '.join(sorted(unknown or rest))!r} in {raw.strip()!r}")
         number = None if proto == "ip" else int(proto) if re.fullmatch(r"\d+", proto) else X.PROTOCOLS[proto]
-        out.append(Line(len(out) + 1, permit, number, src, sport, dst, dport, "established" in words[at:], " ".join(words)))
+        out.append(Line(len(out) + 1, permit, number, src, sport, dst, dport, "established" in rest, " ".join(words), tuple(w for w in rest if w in FLAGS)))
     return out
 
 
-def _fits(line: Line) -> Column:
+def _flag(word: str, columns: set[str]) -> Column:
+    """Whether a flow shows the flag: from the flags seen (stcpf) where a view has them, else from the status bits."""
+    if "stcpf" in columns:
+        return F.col("stcpf").bitwiseAND(F.lit(FLAGS[word])) != 0
+    bits = {"syn": X.SYN, "ack": X.SYN_ACK | X.EST, "fin": X.FIN | X.FIN_ACK, "rst": X.RESET[0] | X.RESET[1]}
+    if word not in bits:
+        raise ValueError(f"{word!r} needs the column stcpf, which the records lack")
+    return F.col("status").bitwiseAND(F.lit(bits[word])) != 0
+
+
+def _fits(line: Line, columns: set[str]) -> Column:
     cond = F.lit(True)
     if line.proto is not None:
         cond &= F.col("proto") == line.proto
@@ -83,6 +108,8 @@ def _fits(line: Line) -> Column:
             cond &= {"eq": F.col(c) == a, "neq": F.col(c) != a, "lt": F.col(c) < a, "gt": F.col(c) > a, "range": F.col(c).between(a, b)}[op]
     if line.established:
         cond &= (F.col("proto") == 6) & (F.col("status").bitwiseAND(F.lit(X.EST | X.SYN_ACK)) != 0)
+    for word in line.flags:
+        cond &= _flag(word, columns)
     return F.coalesce(cond, F.lit(False))
 
 
@@ -90,6 +117,6 @@ def evaluate(df: DataFrame, lines: list[Line]) -> DataFrame:
     """Adds permitted (boolean) and acl_line: the number of the line that decided, 0 for the implicit deny at the end."""
     which, verdict = F.lit(0), F.lit(False)
     for line in reversed(lines):
-        fits = _fits(line)
+        fits = _fits(line, set(df.columns))
         which, verdict = F.when(fits, line.number).otherwise(which), F.when(fits, F.lit(line.permit)).otherwise(verdict)
     return df.withColumns({"permitted": verdict, "acl_line": which})

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as X
 
-_TOKEN = re.compile(r"\s*(?:(\()|(\))|(!=|<=|>=|==|=|<|>|!(?=[\s(\w]))|(&&|\|\|)|\"([^\"]*)\"|([^\s()<>=!]+))")
+_TOKEN = re.compile(r"\s*(?:(\()|(\))|(<<|>>|!=|<=|>=|==|=|<|>|!(?=[\s(\w]))|(&&|\|\|)|\"([^\"]*)\"|([^\s()<>=!]+))")
 
+#: Fixed values, down to RECORD_TYPES: the words of the language.
 RELATIONS = {"eq": "=", "equal": "=", "=": "=", "==": "=", "neq": "!=", "notequal": "!=", "!=": "!=", "lt": "<", "less": "<", "<": "<", "lte": "<=", "<=": "<=", "gt": ">", "greater": ">", ">": ">", "gte": ">=", ">=": ">="}
 LINKS = ("ether", "link", "arp", "rarp", "ip", "ipv4", "ipv6", "vlan", "mpls", "vxlan", "gre", "geneve", "isis", "rtp", "rtcp", "udt", "fddi", "ppp", "slip")
 #: Word -> (source field, destination field) of tests on a number; one name where direction does not matter.
@@ -45,10 +46,16 @@ TCP_STATES = {
     "syn": X.SYN, "synack": X.SYN_ACK, "est": X.EST, "con": X.EST, "avail": X.EST, "fin": X.FIN, "finack": X.FIN_ACK, "normal": X.NORMAL_CLOSE, "wait": X.CLOSE_WAIT, "reuse": X.REUSE,
     "rst": X.RESET, "reset": X.RESET, "retrans": X.RETRANS, "drop": X.RETRANS, "winshut": X.WINSHUT, "ecn": X.ECN, "outoforder": X.OUT_OF_ORDER, "ooo": X.OUT_OF_ORDER,
 }
+#: Bits of the TCP header's flags, which a view may have seen per direction in the columns stcpf and dtcpf.
+TCP_FLAGS = {"push": 0x08, "ack": 0x10, "urg": 0x20, "ece": 0x40, "cwr": 0x80}
+#: Word -> (ICMP types, ICMP code or None); needs the columns icmp_type and icmp_code.
+ICMP_TYPES = {
+    "echo": ((0, 8), None), "unreach": ((3,), None), "unr": ((3,), None), "redirect": ((5,), None), "timexed": ((11,), None),
+    "unrnet": ((3,), 0), "unrhost": ((3,), 1), "unrproto": ((3,), 2), "unrport": ((3,), 3), "unrfrag": ((3,), 4), "unrsrcfail": ((3,), 5), "unrnetunk": ((3,), 6), "unrhostunk": ((3,), 7),
+    "unriso": ((3,), 8), "unrnetpro": ((3,), 9), "unrhostpro": ((3,), 10), "unrnettos": ((3,), 11), "unrhosttos": ((3,), 12), "unrfilter": ((3,), 13), "unrhostpre": ((3,), 14), "unrnetpre": ((3,), 15),
+}
 #: Words for tests on sections that a view may have as a true/false column of that name; without it they are an error.
-SWITCHES = "anon auth recurs req rsp frag fragonly multipath mpath timeout cor corolated echo redirect timexed unreach unr icmpmap rtr mbr lvg hello lsp csnp psnp ack push urg ece cwr tcpopt mss wscale selackok selack tcpecho tcpechoreply tcptimestamp tcpcc tcpccnew tcpccecho secn decn index baseline match svc inbound outbound".split() + [
-    f"unr{x}" for x in "net host proto port frag srcfail netunk hostunk iso netpro hostpro nettos hosttos filter hostpre netpre".split()
-]
+SWITCHES = "anon auth recurs req rsp frag fragonly multipath mpath timeout cor corolated icmpmap rtr mbr lvg hello lsp csnp psnp tcpopt mss wscale selackok selack tcpecho tcpechoreply tcptimestamp tcpcc tcpccnew tcpccecho secn decn index baseline match svc".split()
 RECORD_TYPES = {"man": "man", "mar": "man", "far": "far", "event": "event", "start": "start", "init": "start", "stop": "stop", "shut": "shutdown", "error": "error", "status": "status"}
 
 
@@ -124,19 +131,20 @@ def _number(word: str) -> float | int | None:
 
 
 def _v6(column: str, net: ipaddress.IPv6Network) -> str:
-    """Test on the text of an address, of which the view has one spelling; prefixes end on whole hex digits."""
-    if net.prefixlen == 128:
-        return f"{column} = {_quote(str(net.network_address))}"
-    whole, rest = divmod(net.prefixlen, 16)
-    groups = net.network_address.exploded.split(":")
-    digits = groups[whole][: rest // 4] if rest else ""
-    if rest % 4 or digits.startswith("0"):
-        raise FilterError(f"prefix length {net.prefixlen} of {net.network_address} is not offered")
-    head = re.sub("(:0)+$", "", ":".join(f"{int(g, 16):x}" for g in groups[:whole]))
-    if not digits:
-        return f"{column} LIKE {_quote(head + ':%')}"
-    head = head + ":" if head else ""
-    return f"{column} RLIKE '^{head}{digits}[0-9a-f]{{{4 - len(digits)}}}:'"
+    """Test on the text of an address in any spelling: its 16-bit groups, as far as the prefix reaches, are compared as numbers."""
+    left = f"filter(split(split_part({column}, '::', 1), ':'), x -> x <> '')"
+    right = f"CASE WHEN contains({column}, '::') THEN filter(split(split_part({column}, '::', 2), ':'), x -> x <> '') ELSE array() END"
+    groups = f"transform(concat({left}, array_repeat('0', 8 - size({left}) - size({right})), {right}), x -> cast(conv(x, 16, 10) AS INT))"
+    wanted, length = [int(g, 16) for g in net.network_address.exploded.split(":")], net.prefixlen
+    tests = [f"contains({column}, ':')"]
+    if length:
+        whole = wanted[: length // 16]
+        if whole:
+            tests.append(f"slice({groups}, 1, {len(whole)}) = array({', '.join(map(str, whole))})")
+        if length % 16:
+            mask = 0xFFFF << (16 - length % 16) & 0xFFFF
+            tests.append(f"get({groups}, {length // 16}) & {mask} = {wanted[length // 16] & mask}")
+    return " AND ".join(tests)
 
 
 class Parser:
@@ -194,10 +202,12 @@ class Parser:
         word = self.peek()
         if word in TCP_STATES:
             return self.state(self.next().lower(), q)
+        if word in TCP_FLAGS:
+            return self.flag(self.next().lower(), q)
         if word in ("host", "addr", "net", "proto", "gateway") or word in NUMBERS or word in TEXTS:
             q, given = replace(q, kind=self.next().lower()), True
         elif not given:
-            if word in ("multicast", "broadcast", "local", "remote") or word in SWITCHES or word in RECORD_TYPES:
+            if word in ("multicast", "broadcast", "local", "remote", "inbound", "outbound") or word in SWITCHES or word in RECORD_TYPES or word in ICMP_TYPES:
                 return self.special(self.next().lower())
             if word in ("lat", "lon"):
                 raise FilterError(word)
@@ -347,6 +357,14 @@ class Parser:
             return all_of(tcp, Test(f"(status & {bits}) = {bits}"))
         return all_of(tcp, self.sides(q, bits, lambda b: f"(status & {b}) = {b}"))
 
+    def need(self, word: str, *columns: str) -> None:
+        if not set(columns) <= (self.columns or set()):
+            raise FilterError(f"{word!r} needs {' and '.join(columns)}, which the records lack")
+
+    def flag(self, word: str, q: Qualifiers) -> object:
+        self.need(word, "stcpf", "dtcpf")
+        return all_of(Test("proto = 6"), self.sides(q, ("stcpf", "dtcpf"), lambda c: f"({c} & {TCP_FLAGS[word]}) <> 0"))
+
     def cast(self, word: str, q: Qualifiers) -> object:
         if q.proto in ("ether", "link"):
             pattern = "ff:ff:ff:ff:ff:ff" if word == "broadcast" else "33:33:%"
@@ -360,6 +378,13 @@ class Parser:
         if word in ("local", "remote"):
             op = ">=" if word == "local" else "<"
             return all_of(Test(f"sloc {op} 3"), Test(f"dloc {op} 3"))
+        if word in ("inbound", "outbound"):
+            far, near = ("sloc", "dloc") if word == "inbound" else ("dloc", "sloc")
+            return all_of(Test(f"{far} < 3"), Test(f"{near} >= 3"))
+        if word in ICMP_TYPES:
+            types, code = ICMP_TYPES[word]
+            self.need(word, *(("icmp_type",) if code is None else ("icmp_type", "icmp_code")))
+            return all_of(Test("proto = 1"), Test(f"icmp_type IN ({', '.join(map(str, types))})"), *([Test(f"icmp_code = {code}")] if code is not None else []))
         if word in RECORD_TYPES:
             return Test(f"{X.sql('type', self.columns)} = '{RECORD_TYPES[word]}'" if word not in ("start", "init", "stop", "status", "shut", "error") else f"{X.sql('cause', self.columns)} = '{RECORD_TYPES[word]}'")
         if word not in (self.columns or ()):
@@ -375,7 +400,7 @@ class Parser:
         out = []
         while self.at < len(self.words) and self.peek() not in ("and", "or", ")") and self.peek() not in RELATIONS:
             word = self.next()
-            if word in ("+", "-", "*", "/", "&", "|"):
+            if word in ("+", "-", "*", "/", "&", "|", "<<", ">>"):
                 out.append(word)
             elif _number(word) is not None:
                 out.append(repr(_number(word)))

@@ -62,11 +62,39 @@ FILTERS = {
     "f9_attributes": ("src co XA and dst loc gte 3 or dst asn 64600", "(sco = 'XA' AND dloc >= 3) OR das = 64600"),
     "f10_states": ("est and not finack or dst reset", "((proto = 6 AND status & 4 = 4) AND NOT (coalesce(proto = 6, false) AND coalesce(status & 16 = 16, false))) OR (proto = 6 AND status & 8192 = 8192)"),
     "f11_locality": ("local or remote or ip multicast", "(sloc >= 3 AND dloc >= 3) OR (sloc < 3 AND dloc < 3) OR saddr_i BETWEEN 3758096384 AND 4026531839 OR daddr_i BETWEEN 3758096384 AND 4026531839"),
+    "f16_shifts": ("sbytes >> 10 > spkts << 1 or sport & 255 << 2 = 80", "(sbytes >> 10) > (spkts << 1) OR sport & (255 << 2) = 80"),
+    "f11_inbound": ("inbound or not outbound and tcp", "((sloc < 3 AND dloc >= 3) OR NOT coalesce(dloc < 3 AND sloc >= 3, false)) AND proto = 6"),
     "f16_arithmetic": ("sbytes + dbytes > 1000 * spkts and tcp", "sbytes + dbytes > 1000 * spkts AND proto = 6"),
 }
 for _name, (_text, _cond) in FILTERS.items():
     on_flows(_name, sql(f"SELECT autoid, saddr, daddr, proto FROM f WHERE {_cond}"), lambda f, t=_text: where(f, t).select("autoid", "saddr", "daddr", "proto"))
 
+_HEX = "list_transform(list_concat(l, list_transform(range(8 - len(l) - len(r)), lambda i: '0'), r), lambda x: ('0x' || x)::INT)"
+_SIX = f"g AS (SELECT *, CASE WHEN a LIKE '%:%' THEN {_HEX} END AS w FROM (SELECT DISTINCT a, list_filter(string_split(split_part(a, '::', 1), ':'), lambda x: x <> '') AS l, CASE WHEN a LIKE '%::%' THEN list_filter(string_split(split_part(a, '::', 2), ':'), lambda x: x <> '') ELSE [] END AS r FROM (SELECT saddr AS a FROM f UNION SELECT daddr FROM f)))"
+_NETS = "src net 2001:0::/32 or dst net 2001:db8:fa::/47 or src net ::/0 and net 2001:db8:a00::1000:0/100 and not dst host 2001:DB8:fb:0::443"
+on_flows(
+    "f6_ipv6_prefixes",
+    sql(
+        """SELECT autoid, saddr, daddr FROM f LEFT JOIN g s ON s.a = saddr LEFT JOIN g d ON d.a = daddr WHERE (coalesce(s.w[1] = 8193 AND s.w[2] = 0, false) OR coalesce(d.w[1] = 8193 AND d.w[2] = 3512 AND d.w[3] & 65534 = 250, false) OR coalesce(saddr LIKE '%:%', false))
+  AND (coalesce(s.w[1] = 8193 AND s.w[2] = 3512 AND s.w[3] = 2560 AND s.w[4] + s.w[5] + s.w[6] = 0 AND s.w[7] & 61440 = 4096, false) OR coalesce(d.w[1] = 8193 AND d.w[2] = 3512 AND d.w[3] = 2560 AND d.w[4] + d.w[5] + d.w[6] = 0 AND d.w[7] & 61440 = 4096, false)) AND NOT coalesce(daddr = '2001:db8:fb::443', false)""",
+        _SIX,
+    ),
+    lambda f: where(f, _NETS).select("autoid", "saddr", "daddr"),
+)
+def _wide(f):
+    """A wider view: flags of the TCP header and ICMP types made up from what is stored."""
+    tcp = F.col("proto") == 6
+    icmp = F.col("proto") == 1
+    return f.withColumns({
+        "stcpf": F.when(tcp, F.col("seq").bitwiseAND(F.lit(255))), "dtcpf": F.when(tcp, F.col("autoid").bitwiseAND(F.lit(255))),
+        "icmp_type": F.when(icmp, F.element_at(F.array(*map(F.lit, (0, 3, 5, 8, 11))), (F.col("seq") % 5 + 1).cast("int"))), "icmp_code": F.when(icmp, F.col("autoid") % 16),
+    })
+
+
+_WIDE_SQL = "v AS (SELECT *, CASE WHEN proto = 6 THEN seq & 255 END AS stcpf, CASE WHEN proto = 6 THEN autoid & 255 END AS dtcpf, CASE WHEN proto = 1 THEN [0, 3, 5, 8, 11][seq % 5 + 1] END AS it, CASE WHEN proto = 1 THEN autoid % 16 END AS ic FROM f)"
+on_flows("f10_flags", sql("SELECT autoid FROM v WHERE (coalesce((stcpf & 16) <> 0 OR (dtcpf & 16) <> 0, false) AND NOT coalesce((stcpf & 8) <> 0, false)) OR coalesce((dtcpf & 32) <> 0, false)", _WIDE_SQL), lambda f: where(_wide(f), "ack and not src push or dst urg").select("autoid"))
+on_flows("f10_unreachable", sql("SELECT autoid FROM v WHERE it IN (0, 8) OR it = 11 OR (it = 3 AND (ic = 3 OR ic = 13))", _WIDE_SQL), lambda f: where(_wide(f), "echo or timexed or unrport or unrfilter").select("autoid"))
+
 NOW = datetime(2013, 10, 1, 12, 0, 0, tzinfo=UTC)
 
 
@@ -105,6 +133,13 @@ on_flows(
     lambda f: policy.evaluate(f, policy.parse_policy(POLICY)).select("autoid", "acl_line", "permitted"),
 )
 
+FLAG_POLICY = """permit tcp any any eq 443 syn ack
+deny tcp any any rst
+permit tcp any any fin log
+permit ip any any"""
+on_flows("f13_flags", sql("SELECT autoid, acl_line, acl_line IN (1, 3, 4) AS permitted FROM (SELECT autoid, CASE WHEN proto = 6 AND dport = 443 AND status & 1 <> 0 AND status & 6 <> 0 THEN 1 WHEN proto = 6 AND status & 12288 <> 0 THEN 2 WHEN proto = 6 AND status & 24 <> 0 THEN 3 ELSE 4 END AS acl_line FROM f)"),
+         lambda f: policy.evaluate(f, policy.parse_policy(FLAG_POLICY)).select("autoid", "acl_line", "permitted"))
+
 # --- projections
 BYTES, PKTS = "(coalesce(sbytes, 0) + coalesce(dbytes, 0))", "(coalesce(spkts, 0) + coalesce(dpkts, 0))"
 STATE_SQL = f"""CASE WHEN proto = 6 THEN CASE WHEN status & 12288 <> 0 THEN 'RST' WHEN status & 48 <> 0 THEN 'CLO' WHEN status & 8 <> 0 THEN 'FIN' WHEN status & 4 <> 0 THEN 'EST' WHEN status & 2 <> 0 THEN 'ACC'
@@ -165,6 +200,7 @@ on_flows(
 on_flows("a6_statistics", sql(f"SELECT proto, count(dur) AS n, round(avg(dur), 6) AS mean, min(dur) AS min, max(dur) AS max, round(sum(dur), 4) AS sum, round(stddev_pop(dur), 5) AS stddev FROM f GROUP BY proto"),
          lambda f: cluster.cluster(f, "proto", "dur").select("proto", "n", F.round("mean", 6).alias("mean"), "min", "max", F.round("sum", 4).alias("sum"), F.round("stddev", 5).alias("stddev")))
 on_flows("a7_all", sql(f"SELECT {MERGED} FROM f"), lambda f: cluster.cluster(f, "all"))
+on_flows("a7_none", sql("SELECT autoid, saddr, spkts FROM f"), lambda f: cluster.cluster(f, "none").select("autoid", "saddr", "spkts"))
 add("a7_per_file", "SELECT count(*) AS n, 1::BIGINT AS files FROM argus", lambda spark, d: table(spark, d, "argus").groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("files")))
 RULES = """# web, then names with hand-on, then the rest
 filter="tcp and dst port 443" model="saddr daddr" label="web"
@@ -183,6 +219,22 @@ on_flows(
     ),
     lambda f: cluster.cluster_by_rules(f, cluster.parse_rules(RULES)).groupBy("rule", "label").agg(F.count(F.lit(1)).alias("groups"), F.sum("trans").alias("trans")),
 )
+TIMED_RULES = """filter="tcp" model="saddr daddr" idle=60 label="tcp"
+filter="udp" model="saddr" status=300 idle=600
+"""
+_RULE_TIMES = (
+    "q AS (SELECT *, CASE WHEN proto = 6 THEN 'rule0' ELSE 'rule1' END AS rule, CASE WHEN proto = 6 THEN coalesce(saddr, '~') || '|' || coalesce(daddr, '~') ELSE coalesce(saddr, '~') END AS key, coalesce(ltime_us, stime_us) AS e FROM f WHERE proto IN (6, 17) AND stime_us IS NOT NULL)",
+    "b AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY stime_us, ltime_us, autoid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM q WHERE rule = 'rule0')",
+    "p AS (SELECT *, sum(CASE WHEN stime_us - b < 60000000 THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY stime_us, ltime_us, autoid ROWS UNBOUNDED PRECEDING) AS no FROM b)",
+    "r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY stime_us, autoid) AS k FROM q WHERE rule = 'rule1')",
+    """w AS (SELECT key, k, stime_us AS s0, e AS e0, 0 AS no FROM r WHERE k = 1 UNION ALL SELECT r.key, r.k, CASE WHEN x THEN r.stime_us ELSE least(s0, r.stime_us) END, CASE WHEN x THEN r.e ELSE greatest(e0, r.e) END, no + x::INT
+  FROM (SELECT w.*, r.stime_us, r.e, r.key AS rk, r.k AS rn, e0 - s0 >= 300000000 OR r.stime_us - e0 >= 600000000 AS x FROM w JOIN r ON r.key = w.key AND r.k = w.k + 1) z JOIN r ON r.key = z.rk AND r.k = z.rn)""",
+)
+on_flows(
+    "a4_rule_timers",
+    sql("SELECT 'rule0' AS rule, min(stime_us) AS stime_us, max(ltime_us) AS ltime_us, cast(sum(coalesce(trans, 1)) AS BIGINT) AS trans FROM p GROUP BY key, no UNION ALL SELECT 'rule1', min(stime_us), max(ltime_us), cast(sum(coalesce(trans, 1)) AS BIGINT) FROM r JOIN w USING (key, k) GROUP BY key, no", *_RULE_TIMES).replace("WITH ", "WITH RECURSIVE ", 1),
+    lambda f: cluster.cluster_by_rules(f, cluster.parse_rules(TIMED_RULES)).where("rule <> 'rest'").select("rule", "stime_us", "ltime_us", "trans"),
+)
 KEY3 = ["saddr", "daddr", "proto"]
 on_flows(
     "a5_idle",

@@ -130,3 +130,21 @@ def test_status_timer_over_small_batches(spark, make_flows):
         assert Counter(tuple(r) for r in cluster.status_split(make_flows(rows), ["saddr", "proto"], 50, 100).collect()) == whole and len(whole) > 50
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_access_lists_read_or_refuse_every_word(make_flows):
+    from fluxmill.operators import policy
+
+    f = make_flows([{"proto": 6, "status": x} for x in (0, 1, 3, 8)])
+    got = [r["permitted"] for r in policy.evaluate(f, policy.parse_policy("permit tcp any any syn log")).orderBy("autoid").collect()]
+    assert got == [False, True, True, False]
+    for text in ("permit tcp any any fragments", "permit udp any any syn", "permit tcp any any eq 80 stateless"):
+        with pytest.raises(ValueError):
+            policy.parse_policy(text)
+    with pytest.raises(ValueError):
+        policy.evaluate(f, policy.parse_policy("permit tcp any any psh"))
+
+
+def test_rules_without_aggregation_and_with_timers():
+    rules = cluster.parse_rules('filter="tcp" model="saddr" status="60" idle=5 label="status=9"\nfilter="udp" idle=0 cont')
+    assert [(r.status_s, r.idle_s, r.cont) for r in rules] == [(60.0, 5.0, False), (None, None, True)]
