@@ -95,33 +95,32 @@ DERIVED["rnet"] = f"CASE WHEN sloc >= dloc OR dloc IS NULL THEN {DERIVED['dnet']
 DERIVED["pretrans"], DERIVED["spretrans"], DERIVED["dpretrans"] = DERIVED["ploss"], DERIVED["sploss"], DERIVED["dploss"]
 
 
-def _absent() -> dict[str, str]:
-    """Types of the fields that need sections the flow view does not have, by the way their names are built."""
-    out: dict[str, str] = {}
-    sides = lambda names: [s + n for n in names.split() for s in "sd"]
-    for what in ("intpkt", "intpktact", "intpktidl"):
-        out |= {s + what + end: "DOUBLE" for s in "sd" for end in ("", "max", "min")}
-    out |= dict.fromkeys(sides("jit jitact jitidl tcpmax tf lat lon"), "DOUBLE")
-    out |= dict.fromkeys(sides("intdist intdistact intdistidl pktsz"), "ARRAY<INT>")
-    out |= dict.fromkeys(sides("win mss"), "SMALLINT")
-    out |= dict.fromkeys(sides("vlan vid vpri ipid maxsz minsz nacks solo first gap vnid mask dup"), "INT")
-    out |= dict.fromkeys(sides("mpls tcpb nstroke"), "BIGINT")
-    out |= dict.fromkeys(sides("enc name grp greaddr genaddr encbuf macclass"), "STRING")
-    for n in ("nacks", "solo", "first"):
-        out |= {n: "INT", f"p{n}": "DOUBLE", f"ps{n}": "DOUBLE", f"pd{n}": "DOUBLE", f"sp{n}": "DOUBLE", f"dp{n}": "DOUBLE"}
-    out |= dict.fromkeys("dldur dlstime dlltime jdelay ldelay tcprtt synack ackdat tf idle ilat ilon".split(), "DOUBLE")
-    out |= dict.fromkeys("dlspkt dldpkt dspkts ddpkts dsbytes ddbytes icmpid".split(), "INT")
-    out |= dict.fromkeys("pdspkts pddpkts pdsbytes pddbytes".split(), "DOUBLE")
-    out |= {f"idle{x}": "DOUBLE" for x in ("mean", "min", "max", "stddev")}
-    out |= {f"{a}intflow{b}": "DOUBLE" for a in ("", "act", "idle") for b in ("", "max", "min", "sdev")}
-    out |= dict.fromkeys("idlmean idlmin idlmax".split(), "DOUBLE") | {"ipid": "INT", "tranref": "BIGINT", "compare": "INT"}
-    out |= dict.fromkeys("bins srng erng ias nstroke".split(), "BIGINT")
-    out |= dict.fromkeys("xxx tcpext bssid ssid tcpopt resp cor ico node greproto genproto".split(), "STRING")
-    out |= {"dstime": "TIMESTAMP", "dltime": "TIMESTAMP", "ddur": "DOUBLE", "score": "SMALLINT", "dsrs": "ARRAY<STRING>"}
-    return out
-
+#: Fields of the catalogue that need sections the flow view does not have, by type.
+ABSENT_FIELDS = {
+    "DOUBLE": """
+        sintpkt dintpkt sintpktact dintpktact sintpktidl dintpktidl sintpktmax sintpktmin dintpktmax dintpktmin
+        sintpktactmax sintpktactmin dintpktactmax dintpktactmin sintpktidlmax sintpktidlmin dintpktidlmax dintpktidlmin
+        sjit djit sjitact djitact sjitidl djitidl dldur dlstime dlltime pdspkts pddpkts pdsbytes pddbytes jdelay ldelay
+        tcprtt ddur stcpmax dtcpmax synack ackdat pnacks spnacks dpnacks psolo spsolo dpsolo pfirst spfirst dpfirst
+        idle tf stf dtf slat slon dlat dlon ilat ilon idlemean idlemin idlemax idlestddev intflow actintflow idleintflow
+        intflowmax intflowmin intflowsdev actintflowmax actintflowmin actintflowsdev idleintflowmax idleintflowmin idleintflowsdev""",
+    "STRING": """
+        xxx tcpext senc denc bssid ssid tcpopt resp cor ico node sgrp dgrp sname dname smacclass dmacclass sgreaddr
+        dgreaddr greproto sgenaddr dgenaddr genproto sencbuf dencbuf""",
+    "INT": """
+        dlspkt dldpkt dspkts ddpkts dsbytes ddbytes svlan dvlan svid dvid svpri dvpri sipid dipid smaxsz sminsz dmaxsz
+        dminsz icmpid nacks snacks dnacks solo ssolo dsolo first sfirst dfirst sgap dgap svnid dvnid""",
+    "SMALLINT": "swin dwin score smss dmss",
+    "BIGINT": "bins smpls dmpls srng erng stcpb dtcpb ias nstroke snstroke dnstroke",
+    "TIMESTAMP": "dstime dltime",
+    "ARRAY<INT>": "spktsz dpktsz sintdist dintdist sintdistact dintdistact sintdistidl dintdistidl",
+    "ARRAY<STRING>": "dsrs",
+}
+#: Names that are only metrics or only sort keys, of sections the view does not have either.
+ABSENT_METRICS = {"DOUBLE": "psnacks pdnacks pssolo pdsolo psfirst pdfirst idlmean idlmin idlmax", "INT": "ipid sdup ddup smask dmask compare", "BIGINT": "tranref"}
 
-ABSENT = {k: v for k, v in _absent().items() if k not in DERIVED and k not in STORED}
+ABSENT = {name: kind for kind, names in ABSENT_FIELDS.items() for name in names.split()}
+OTHERS = {name: kind for kind, names in ABSENT_METRICS.items() for name in names.split()}
 NAMES = (*STORED, *DERIVED, *ABSENT)
 
 
@@ -131,8 +130,8 @@ def sql(name: str, columns: set[str] | None = None) -> str:
         return f"`{name}`"
     if name in DERIVED:
         return DERIVED[name]
-    if name in ABSENT:
-        return f"cast(NULL AS {ABSENT[name]})"
+    if name in ABSENT or name in OTHERS:
+        return f"cast(NULL AS {ABSENT.get(name) or OTHERS[name]})"
     raise KeyError(f"no field {name!r}")
 
 
@@ -140,6 +139,51 @@ def field(name: str) -> Column:
     return F.expr(sql(name)).alias(name)
 
 
+#: Letters of the TCP state and of the eight flags of the TCP header, lowest bit first.
+STATE_LETTERS = (("s", SYN), ("S", SYN_ACK), ("E", EST), ("f", FIN), ("F", FIN_ACK), ("R", RESET[0] | RESET[1]))
+FLAG_LETTERS = "FSRPAU78"
+
+
+def state_letters(status: str | Column = "status") -> Column:
+    """TCP state as the letters of its bits, 'sSEfF' for a connection that was opened and closed; null status has none."""
+    c = F.coalesce(F.col(status) if isinstance(status, str) else status, F.lit(0))
+    return F.concat(*(F.when(c.bitwiseAND(F.lit(bits)) != 0, letter).otherwise("") for letter, bits in STATE_LETTERS))
+
+
+def flag_letters(flags: str | Column) -> Column:
+    """Flags of the TCP header as letters; null flags have none."""
+    c = F.coalesce(F.col(flags) if isinstance(flags, str) else flags, F.lit(0))
+    return F.concat(*(F.when(c.bitwiseAND(F.lit(1 << i)) != 0, letter).otherwise("") for i, letter in enumerate(FLAG_LETTERS)))
+
+
+def abbreviated(number: str | Column, precision: int = 2) -> Column:
+    """A number in units of a thousand: '12.35M'; whole numbers below 1,000 stay as they are. Null stays null."""
+    c = F.col(number) if isinstance(number, str) else number
+    out = c.cast("string")
+    for power, unit in enumerate("KMGTP", 1):
+        out = F.when(F.abs(c) >= 1000**power, F.concat(F.call_function("format_number", c / 1000**power, F.lit(f"0.{'0' * precision}" if precision else "0")), F.lit(unit))).otherwise(out)
+    return out
+
+
+def payload(data: str | Column, form: str) -> Column:
+    """Payload bytes as text: 'ascii' ('.' for what cannot be printed), 'obfuscate' (the same, what follows a password word
+    as 'x'), 'hex', 'encode32' or 'encode64'."""
+    c = F.col(data) if isinstance(data, str) else data
+    plain = F.regexp_replace(F.decode(c, "ISO-8859-1"), r"[^\x20-\x7e]", ".")
+    if form == "ascii":
+        return plain
+    if form == "obfuscate":
+        return F.regexp_replace(plain, r"(?i)((?:pass(?:word|wd)?|login|auth)[ =:]+)[^ .]+", "$1xxxxx")
+    if form == "encode32":
+        # five bits a letter: the bytes' bits in groups of five, filled up with zeros, eight letters a group
+        n = F.length(c)
+        bits = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.lpad(F.bin(F.conv(F.hex(F.substring(c, i, F.lit(1))), 16, 10).cast("bigint")), 8, "0")), "")
+        bits = F.rpad(bits, (F.ceil(n * 8 / 5) * 5).cast("int"), F.lit("0"))
+        letters = F.array_join(F.transform(F.sequence(F.lit(1), F.ceil(n * 8 / 5).cast("int")), lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(bits, (i - 1) * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+        return F.when(n == 0, "").otherwise(F.rpad(letters, (F.ceil(n / 5) * 8).cast("int"), F.lit("=")))
+    return {"hex": F.hex, "encode64": F.base64}[form](c)
+
+
 def select_fields(df: DataFrame, spec: str) -> DataFrame:
     """Projection by a list as in 'stime saddr:10 +bytes -dur': a name sets, '+' adds, '-' removes, '+#n' inserts at n.
 

@@ -5,43 +5,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.addresses import v4_net, v4_text
+from ..functions.addresses import mac_class, oui, v4_net, v4_number, v4_text
 from .ranges import running_total, split_points
 
-POOL = 10 << 24
+#: Networks are numbered from 10.0.0.0/24 on, through the unicast space and around.
+FIRST_NET, NETS = 10 << 16, 0xE00000
+#: Where numbers of autonomous systems for private use begin.
+PRIVATE_AS = 4_200_000_000
+
+
+def _first_seen(df: DataFrame, ends: dict[str, int], value) -> DataFrame:
+    """(v, at): distinct values of several columns and where they first appear; the columns' numbers order a row."""
+    seen = F.array(*(F.struct(value(c).alias("v"), (F.col("autoid") * 4 + i).alias("at")) for c, i in ends.items()))
+    return df.select(F.explode(seen).alias("x")).select("x.*").where("v is not null").groupBy("v").agg(F.min("at").alias("at"))
+
+
+def _bounds(df: DataFrame) -> list[float]:
+    return split_points(df.select((F.col("autoid") * 4).alias("at")), "at")
 
 
 def address_map(df: DataFrame) -> DataFrame:
-    """(addr_i, anon_i) for all IPv4 addresses: networks (/24) and hosts in them numbered as they first appear.
+    """(addr_i, anon_i) for all IPv4 addresses, those of routers (inode) included, numbered as they first appear.
 
-    Network n becomes 10.x.y.0 and the h-th host of it that address plus h; broadcast and multicast keep their value.
-    The numbering of networks is a distributed running count, that of hosts is within a network of at most 256.
+    Network (/24) n becomes the n-th after 10.0.0.0, and its h-th host that address plus h, the 255th the address itself, so
+    that no host becomes a broadcast address; broadcast and multicast keep their value. The numbering of networks is a
+    distributed running count, that of hosts is within a network of at most 256.
     """
-    ends = F.array(F.struct(F.col("saddr_i").alias("a"), (F.col("autoid") * 2).alias("at")), F.struct(F.col("daddr_i").alias("a"), (F.col("autoid") * 2 + 1).alias("at")))
-    seen = df.select(F.explode(ends).alias("x")).select("x.*").where("a is not null").groupBy(F.col("a").alias("addr_i")).agg(F.min("at").alias("at"))
+    number = lambda c: v4_number(c) if c == "inode" else F.col(c)
+    seen = _first_seen(df, {"saddr_i": 0, "daddr_i": 1, "inode": 2}, number).select(F.col("v").alias("addr_i"), "at")
     kept = (F.col("addr_i") >= 0xE0000000) | (F.col("addr_i").bitwiseAND(F.lit(255)) == 255)
     hosts = seen.where(~kept).withColumn("net", v4_net("addr_i", 24))
-    bounds = split_points(df.select((F.col("autoid") * 2).alias("at")), "at")
-    nets = running_total(hosts.groupBy("net").agg(F.min("at").alias("at")), ["at"], F.lit(1), bounds).select("net", (F.col("_upto") - 1).alias("no"))
+    nets = running_total(hosts.groupBy("net").agg(F.min("at").alias("at")), ["at"], F.lit(1), _bounds(df)).select("net", F.pmod(F.col("_upto") - 1 + FIRST_NET, F.lit(NETS)).alias("no"))
     h = F.row_number().over(Window.partitionBy("net").orderBy("at"))
-    numbered = hosts.withColumn("h", h).join(nets, "net").select("addr_i", (F.lit(POOL) + F.col("no") * 256 + F.col("h")).alias("anon_i"))
+    numbered = hosts.withColumn("h", F.pmod(h, F.lit(255))).join(nets, "net").select("addr_i", (F.col("no") * 256 + F.col("h")).alias("anon_i"))
     return numbered.unionByName(seen.where(kept).select("addr_i", F.col("addr_i").alias("anon_i")))
 
 
-def anonymize(df: DataFrame, port_offset: int = 0, time_offset_us: int = 0, seq_offset: int = 0) -> DataFrame:
+def as_map(df: DataFrame) -> DataFrame:
+    """(asn, anon_asn): autonomous systems numbered for private use as they first appear; 0 stays 0."""
+    seen = _first_seen(df, {"sas": 0, "das": 1}, F.col).where("v <> 0")
+    return running_total(seen, ["at"], F.lit(1), _bounds(df)).select(F.col("v").alias("asn"), (F.lit(PRIVATE_AS) + F.col("_upto") - 1).alias("anon_asn"))
+
+
+def mac_map(df: DataFrame, keep_vendor: bool = False) -> DataFrame:
+    """(mac, anon_mac): MACs numbered as they first appear, locally administered, or under their vendor's first three octets.
+
+    Broadcast and multicast keep their value.
+    """
+    seen = _first_seen(df, {"smac": 0, "dmac": 1}, lambda c: F.lower(F.col(c)))
+    kept = mac_class("v").isin("bcast", "mcast")
+    digits = F.lpad(F.lower(F.hex(F.col("_upto") - 1)), 12, "0")
+    octets = F.array(*(F.substring(digits, i, 2) for i in range(1, 12, 2)))
+    new = F.concat(F.lit("02:"), F.array_join(F.slice(octets, 2, 5), ":"))
+    if keep_vendor:
+        new = F.concat(oui("v"), F.lit(":"), F.array_join(F.slice(octets, 4, 3), ":"))
+    numbered = running_total(seen.where(~kept), ["at"], F.lit(1), _bounds(df)).select(F.col("v").alias("mac"), new.alias("anon_mac"))
+    return numbered.unionByName(seen.where(kept).select(F.col("v").alias("mac"), F.col("v").alias("anon_mac")))
+
+
+def anonymize(df: DataFrame, port_offset: int = 0, time_offset_us: int = 0, seq_offset: int = 0, keep_vendor: bool | None = None) -> DataFrame:
     """Records with mapped addresses, registered and private ports shifted within their class, times and numbers shifted.
 
-    Addresses other than IPv4 become a hash; payload, MACs and labels are dropped.
+    Addresses of hosts and routers and autonomous systems are mapped as above; addresses other than IPv4 become a hash;
+    payload and labels are dropped, and MACs too unless ``keep_vendor`` says whether their map keeps the vendor.
     """
     mapping = address_map(df)
-    rows = df
-    for s in ("s", "d"):
-        side = mapping.select(F.col("addr_i").alias(f"_{s}"), F.col("anon_i").alias(f"_{s}new"))
-        rows = rows.join(side, F.col(f"{s}addr_i") == F.col(f"_{s}"), "left")
-        rows = rows.withColumn(f"{s}addr", F.coalesce(v4_text(f"_{s}new"), F.when(F.col(f"{s}addr").isNotNull(), F.concat(F.lit("x:"), F.substring(F.sha2(f"{s}addr", 256), 1, 16)))))
-        rows = rows.withColumn(f"{s}addr_i", F.col(f"_{s}new"))
-        rows = rows.withColumn(f"{s}port", shifted_port(F.col(f"{s}port"), port_offset))
-    null = {c: F.lit(None).cast(t) for c, t in df.dtypes if c in ("suser", "duser", "smac", "dmac", "label")}
+    rows = df.withColumn("_inode", v4_number("inode"))
+    texts = {"saddr": "saddr_i", "daddr": "daddr_i", "inode": "_inode"}
+    for text, number in texts.items():
+        side = mapping.select(F.col("addr_i").alias("_old"), F.col("anon_i").alias("_new"))
+        rows = rows.join(side, F.col(number) == F.col("_old"), "left")
+        hashed = F.when(F.col(text).isNotNull(), F.concat(F.lit("x:"), F.substring(F.sha2(text, 256), 1, 16)))
+        rows = rows.withColumn(text, F.coalesce(v4_text("_new"), hashed)).withColumn(number, F.col("_new")).drop("_old", "_new")
+    systems = as_map(df)
+    for c in ("sas", "das"):
+        side = systems.select(F.col("asn").alias("_old"), F.col("anon_asn").alias("_new"))
+        rows = rows.join(side, F.col(c) == F.col("_old"), "left").withColumn(c, F.when(F.col(c) == 0, F.col(c)).otherwise(F.col("_new"))).drop("_old", "_new")
+    if keep_vendor is not None:
+        macs = mac_map(df, keep_vendor)
+        for c in ("smac", "dmac"):
+            side = macs.select(F.col("mac").alias("_old"), F.col("anon_mac").alias("_new"))
+            rows = rows.join(side, F.lower(F.col(c)) == F.col("_old"), "left").withColumn(c, F.col("_new")).drop("_old", "_new")
+    null = {c: F.lit(None).cast(t) for c, t in df.dtypes if c in ("suser", "duser", "label") or (c in ("smac", "dmac") and keep_vendor is None)}
+    rows = rows.withColumns({c: shifted_port(F.col(c), port_offset) for c in ("sport", "dport")})
     rows = rows.withColumns({"stime_us": F.col("stime_us") + time_offset_us, "ltime_us": F.col("ltime_us") + time_offset_us, "seq": F.col("seq") + seq_offset, **null})
     rows = rows.withColumns({c: F.timestamp_micros(f"{c}_us") for c in ("stime", "ltime")})
     return rows.select(*df.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import addresses, fields, timerange
-from ..operators import anonymize, bins, cluster, histogram, inventory, labels, lookups, policy
+from ..operators import anonymize, bins, cluster, histogram, inventory, labels, lookups, policy, sorting
 from ..sources.flows import both_ways, flows, normalised, one_way, reverse, strip
 from ..sources.tables import table
 from .filterlang import where
@@ -159,14 +159,17 @@ on_flows("x1_metrics", sql(f"SELECT proto, round(avg({BYTES}), 3) AS bytes, roun
          lambda f: f.groupBy("proto").agg(F.round(F.avg(F.expr(fields.sql("bytes"))), 3).alias("bytes"), F.round(F.avg(F.expr(fields.sql("load"))), 1).alias("load"), F.max(F.expr(fields.sql("loc"))).alias("loc"), F.round(F.avg(F.expr(fields.sql("dmeansz"))), 3).alias("dmeansz")))
 on_flows("x2_catalogue", None, lambda f: f.select("autoid", *(fields.field(n) for n in fields.NAMES if n != "autoid")))
 on_flows("x11_state", sql(f"SELECT proto, state, count(*) AS n FROM (SELECT proto, {STATE_SQL} AS state FROM f) GROUP BY ALL"), lambda f: f.groupBy("proto", fields.field("state")).agg(F.count(F.lit(1)).alias("n")))
-on_flows("x11_flags", sql("SELECT autoid, CASE WHEN proto = 6 AND status & 128 <> 0 THEN 'R' WHEN proto <> 6 THEN ' ' WHEN status & 256 <> 0 AND status & 512 <> 0 THEN '*' WHEN status & 256 <> 0 THEN 's' WHEN status & 512 <> 0 THEN 'd' ELSE ' ' END AS loss FROM f"),
-         lambda f: f.select("autoid", F.substring(F.expr(fields.flags_sql()), 5, 1).alias("loss")))
-on_flows("x11_direction", sql("SELECT proto, substring(d, 2, 1) AS middle, count(*) AS n FROM (SELECT proto, ' ' || CASE WHEN proto <> 6 THEN '-' WHEN status & 12288 <> 0 THEN '|' WHEN status & 15 <> 0 THEN '-' ELSE '?' END AS d FROM f) GROUP BY ALL"),
-         lambda f: f.groupBy("proto", F.substring(F.expr(fields.direction_sql()), 2, 1).alias("middle")).agg(F.count(F.lit(1)).alias("n")))
+_SEEN = lambda a, b, both, s, d: f"CASE WHEN proto <> 6 THEN ' ' WHEN status & {a} <> 0 AND status & {b} <> 0 THEN '{both}' WHEN status & {a} <> 0 THEN '{s}' WHEN status & {b} <> 0 THEN '{d}' ELSE ' ' END"
+on_flows("x11_flags", sql("SELECT autoid, ' e  ' || CASE WHEN proto = 6 AND status & 128 <> 0 THEN 'R' ELSE " + _SEEN(256, 512, "*", "s", "d") + " END || " + " || ".join(_SEEN(*x) for x in ((65536, 131072, "&", "i", "r"), (1024, 2048, "@", "S", "D"), (16384, 32768, "E", "x", "t"))) + " || '    ' AS flags FROM f"),
+         lambda f: f.select("autoid", F.expr(fields.flags_sql()).alias("flags")))
+on_flows("x11_direction", sql("SELECT proto, dir, count(*) AS n FROM (SELECT proto, CASE WHEN coalesce(dpkts, 0) > 0 AND (proto <> 6 OR NOT status & 3 <> 0) THEN '<' ELSE ' ' END || CASE WHEN proto <> 6 THEN '-' WHEN status & 12288 <> 0 THEN '|' WHEN status & 15 <> 0 THEN '-' ELSE '?' END || CASE WHEN coalesce(spkts, 0) > 0 OR coalesce(dpkts, 0) = 0 THEN '>' ELSE ' ' END AS dir FROM f) GROUP BY ALL"),
+         lambda f: f.groupBy("proto", fields.field("dir")).agg(F.count(F.lit(1)).alias("n")))
 LETTERS = (("s", 1), ("S", 2), ("E", 4), ("f", 8), ("F", 16), ("R", 12288))
-on_flows("p11_state_letters", sql("SELECT autoid, " + " || ".join(f"CASE WHEN coalesce(status, 0) & {b} <> 0 THEN '{c}' ELSE '' END" for c, b in LETTERS) + " AS letters FROM f WHERE proto = 6"),
-         lambda f: f.where("proto = 6").select("autoid", F.concat(*(F.when(F.coalesce("status", F.lit(0)).bitwiseAND(F.lit(b)) != 0, c).otherwise("") for c, b in LETTERS)).alias("letters")))
-on_flows("p12_payload_hex", sql("SELECT autoid, hex(suser) AS hex, base64(suser) AS encoded FROM f WHERE suser IS NOT NULL"), lambda f: f.where("suser is not null").select("autoid", F.hex("suser").alias("hex"), F.base64("suser").alias("encoded")))
+on_flows("p11_state_letters", sql("SELECT autoid, " + " || ".join(f"CASE WHEN coalesce(status, 0) & {b} <> 0 THEN '{c}' ELSE '' END" for c, b in LETTERS) + " AS letters, " + " || ".join(f"CASE WHEN coalesce(seq, 0) & {1 << i} <> 0 THEN '{c}' ELSE '' END" for i, c in enumerate("FSRPAU78")) + " AS flags FROM f WHERE proto = 6"),
+         lambda f: f.where("proto = 6").select("autoid", fields.state_letters().alias("letters"), fields.flag_letters("seq").alias("flags")))
+_ASCII = "list_aggregate(list_transform(range(octet_length(suser)), lambda i: CASE WHEN ('0x' || substring(hex(suser), 2 * i + 1, 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substring(hex(suser), 2 * i + 1, 2))::INT) ELSE '.' END), 'string_agg', '')"
+on_flows("p12_payload_hex", sql(f"SELECT autoid, hex(suser) AS hex, base64(suser) AS encoded, coalesce({_ASCII}, '') AS ascii, ceil(octet_length(suser) / 5)::INT * 8 AS size32 FROM f WHERE suser IS NOT NULL"),
+         lambda f: f.where("suser is not null").select("autoid", *(fields.payload("suser", form).alias(name) for form, name in (("hex", "hex"), ("encode64", "encoded"), ("ascii", "ascii"))), F.length(fields.payload("suser", "encode32")).alias("size32")))
 on_flows("p3_strip", sql("SELECT autoid, saddr, CAST(NULL AS SMALLINT) AS sttl, CAST(NULL AS VARCHAR) AS smac, spkts FROM f"), lambda f: strip(f, "ipattr", "mac").select("autoid", "saddr", "sttl", "smac", "spkts"))
 on_flows("p4_reverse", sql("SELECT autoid, daddr AS saddr, saddr AS daddr, dport AS sport, sport AS dport, dbytes AS sbytes, sbytes AS dbytes FROM f"), lambda f: reverse(f).select("autoid", "saddr", "daddr", "sport", "dport", "sbytes", "dbytes"))
 on_flows("p5_both_ways", sql("SELECT addr AS saddr, count(*) AS n, cast(sum(b) AS BIGINT) AS sbytes FROM (SELECT saddr AS addr, sbytes AS b FROM f UNION ALL SELECT daddr, dbytes FROM f) GROUP BY addr"),
@@ -178,7 +181,8 @@ NET = "(({a} >> 24) & 255) || '.' || (({a} >> 16) & 255) || '.' || (({a} >> 8) &
 on_flows("p8_masks", sql(f"SELECT net, count(*) AS n FROM (SELECT coalesce({NET.format(a='saddr_i')}, saddr) AS net FROM f) GROUP BY net"), lambda f: f.groupBy(addresses.net_text("saddr_i", "saddr", 24).alias("net")).agg(F.count(F.lit(1)).alias("n")))
 on_flows("p9_percent", sql("SELECT proto, trans, sbytes, round(100.0 * trans / sum(trans) OVER (), 6) AS pct_trans, round(100.0 * sbytes / sum(sbytes) OVER (), 6) AS pct_sbytes FROM (SELECT proto, cast(sum(trans) AS BIGINT) AS trans, cast(coalesce(sum(sbytes), 0) AS BIGINT) AS sbytes FROM f GROUP BY proto)"),
          lambda f: cluster.percent(cluster.cluster(f, "proto").select("proto", "trans", "sbytes"), ["trans", "sbytes"]).select("proto", "trans", "sbytes", F.round("pct_trans", 6).alias("pct_trans"), F.round("pct_sbytes", 6).alias("pct_sbytes")))
-on_flows("p10_formats", sql("SELECT autoid, strftime(make_timestamp(stime_us), '%H:%M:%S') AS clock, stime_us // 1000000 AS unix FROM f WHERE stime_us IS NOT NULL"), lambda f: f.where("stime_us is not null").select("autoid", F.date_format(F.timestamp_micros("stime_us"), "HH:mm:ss").alias("clock"), F.expr("stime_us div 1000000").alias("unix")))
+on_flows("p10_formats", sql("SELECT autoid, strftime(make_timestamp(stime_us), '%H:%M:%S') AS clock, stime_us // 1000000 AS unix, CASE WHEN sbytes >= 1000000000 THEN printf('%.2fG', sbytes / 1e9) WHEN sbytes >= 1000000 THEN printf('%.2fM', sbytes / 1e6) WHEN sbytes >= 1000 THEN printf('%.2fK', sbytes / 1e3) ELSE sbytes::VARCHAR END AS size FROM f WHERE stime_us IS NOT NULL"),
+         lambda f: f.where("stime_us is not null").select("autoid", F.date_format(F.timestamp_micros("stime_us"), "HH:mm:ss").alias("clock"), F.expr("stime_us div 1000000").alias("unix"), fields.abbreviated("sbytes").alias("size")))
 
 # --- aggregation
 on_flows("a1_cluster", sql(f"SELECT saddr, daddr, proto, {MERGED} FROM f GROUP BY ALL"), lambda f: cluster.cluster(f, "saddr daddr proto"))
@@ -272,8 +276,8 @@ on_flows("a10_count_bins", sql("SELECT bin, count(*) AS n, min(autoid) AS first_
          lambda f: bins.count_bins(f, 1000).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("autoid").alias("first_id"), F.max("autoid").alias("last_id")))
 on_flows("a11_size_bins", sql(f"SELECT bin, count(*) AS n, min(autoid) AS first_id FROM (SELECT autoid, (sum({BYTES}) OVER (ORDER BY autoid) - {BYTES}) // 100000000 AS bin FROM f) GROUP BY bin"),
          lambda f: bins.size_bins(f, 100_000_000).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("autoid").alias("first_id")))
-on_flows("a12_rate_bins", sql(f"SELECT bin_us, proto, count(*) AS n, cast(sum({BYTES}) AS BIGINT) AS bytes FROM (SELECT *, (stime_us // 600000000 - unnest([0, 1, 2])) * 600000000 AS bin_us FROM f WHERE stime_us IS NOT NULL) GROUP BY ALL"),
-         lambda f: bins.rate_bins(f, 3, 600, ["proto"]).drop("load"))
+on_flows("a12_rate_bins", sql(f"SELECT bin_us, proto, count(*) AS n, cast(sum({BYTES}) AS BIGINT) AS bytes, sum({BYTES}) * 8 / 1800 AS load FROM (SELECT *, (stime_us // 600000000 - unnest([0, 1, 2])) * 600000000 AS bin_us FROM f WHERE stime_us IS NOT NULL) GROUP BY ALL"),
+         lambda f: bins.rate_bins(f, 3, 600, ["proto"]))
 on_flows("a13_totals", sql(f"SELECT {TOTALS} FROM f"), inventory.totals)
 on_flows("a14_protocols", sql(f"SELECT CASE WHEN saddr_i IS NOT NULL OR daddr_i IS NOT NULL OR coalesce(saddr LIKE '%:%', false) OR coalesce(daddr LIKE '%:%', false) THEN 'ip' ELSE 'other' END AS class, proto, {TOTALS} FROM f GROUP BY 1, 2"), inventory.protocols)
 V4_CASE = "CASE " + " ".join(f"WHEN number BETWEEN {lo} AND {hi} THEN '{name}'" for (lo, hi), name in ((addresses.span(c), n) for c, n in addresses.V4_CLASSES)) + " WHEN number IS NOT NULL THEN 'unicast' "
@@ -295,7 +299,8 @@ on_flows("a18_order_statistics", sql("""SELECT proto, count(*) AS n, round(avg(v
 on_flows("a18_mode", sql("SELECT proto, min(v) AS mode FROM (SELECT *, max(c) OVER (PARTITION BY proto) AS m FROM (SELECT proto, sbytes::DOUBLE AS v, count(*) AS c FROM f WHERE sbytes <> 0 GROUP BY 1, 2)) WHERE c = m AND c > 2 GROUP BY proto"), lambda f: histogram.order_statistics(f, "sbytes", ("proto",), nozero=True).where("mode is not null").select("proto", "mode"))
 _PEERS = ("p AS (SELECT host, peer, bool_or(inside) AS inside FROM (SELECT saddr AS host, daddr AS peer, coalesce(sloc >= 3 AND dloc >= 3, false) AS inside FROM f UNION ALL SELECT daddr, saddr, coalesce(sloc >= 3 AND dloc >= 3, false) FROM f) WHERE host IS NOT NULL AND peer IS NOT NULL GROUP BY ALL)")
 on_flows("a19_peers", sql("SELECT host, count(*) AS peers, count(*) FILTER (inside) AS local_peers FROM p GROUP BY host", _PEERS), inventory.peers)
-on_flows("a19_peer_lists", sql("SELECT host, 0 AS part, 1 AS parts, list(peer ORDER BY peer) AS peers FROM p GROUP BY host", _PEERS), lambda f: inventory.peer_lists(f, 1_000_000))
+on_flows("a19_peer_lists", sql("SELECT host, parts, list(peer ORDER BY peer) AS peers FROM (SELECT *, ceil(count(*) OVER (PARTITION BY host) / 20)::INT AS parts FROM p) GROUP BY host, parts", _PEERS),
+         lambda f: inventory.peer_lists(f, 20).groupBy("host", "parts").agg(F.array_sort(F.flatten(F.collect_list("peers"))).alias("peers")))
 on_flows("a19_peer_rows", sql("SELECT * FROM p", _PEERS), inventory.peer_rows)
 on_flows("a20_matrix", None, lambda f: inventory.matrix(f, "saddr", "daddr", "sbytes", 8))
 on_flows("a20_edges", sql("SELECT saddr, daddr, cast(sum(coalesce(sbytes, 0)) AS BIGINT) AS sbytes FROM f WHERE daddr IN (SELECT daddr FROM f WHERE daddr IS NOT NULL GROUP BY daddr ORDER BY sum(coalesce(sbytes, 0)) DESC, daddr LIMIT 8) GROUP BY ALL"),
@@ -310,8 +315,8 @@ on_flows("a22_hops", sql("SELECT saddr, daddr, inode, sttl, count(dur) AS n, rou
 on_flows("a23_ports", sql("SELECT addr, proto, cast(sum(n) AS BIGINT) AS ports, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM r GROUP BY addr, proto",
          "d AS (SELECT DISTINCT daddr AS addr, proto, dport FROM f WHERE proto IN (6, 17) AND dport IS NOT NULL AND daddr IS NOT NULL)",
          "r AS (SELECT addr, proto, min(dport) AS a, max(dport) AS b, count(*) AS n FROM (SELECT *, dport - row_number() OVER (PARTITION BY addr, proto ORDER BY dport) AS g FROM d) GROUP BY addr, proto, g)"), inventory.ports)
-on_flows("a24_neighbours", sql("SELECT sid, mac, addr, min(s) AS first_us, max(coalesce(l, s)) AS last_us, count(*) AS n FROM e WHERE mac IS NOT NULL AND addr IS NOT NULL GROUP BY ALL",
-         "e AS (SELECT sid, lower(smac) AS mac, saddr AS addr, stime_us AS s, ltime_us AS l FROM f UNION ALL SELECT sid, lower(dmac), daddr, stime_us, ltime_us FROM f)"), lambda f: inventory.neighbours(f).drop("macs"))
+on_flows("a24_neighbours", sql("SELECT sid, mac, addr, min(s) AS first_us, max(coalesce(l, s)) AS last_us, count(*) AS n, count(*) OVER (PARTITION BY sid, addr) AS macs FROM e WHERE mac IS NOT NULL AND addr IS NOT NULL GROUP BY sid, mac, addr",
+         "e AS (SELECT sid, lower(smac) AS mac, saddr AS addr, stime_us AS s, ltime_us AS l FROM f UNION ALL SELECT sid, lower(dmac), daddr, stime_us, ltime_us FROM f)"), inventory.neighbours)
 on_flows("a25_payload_heads", sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proto, dport ORDER BY n DESC, head) AS rank FROM (SELECT proto, dport, left(hex(suser), 8) AS head, count(*) AS n FROM f WHERE suser IS NOT NULL AND dport IS NOT NULL GROUP BY 1, 2, 3)) WHERE rank <= 3"), lambda f: inventory.payload_heads(f, 4, 3))
 on_flows("a26_time_range", sql("SELECT min(stime_us) AS start_us, max(greatest(ltime_us, stime_us)) AS end_us FROM f"), inventory.time_range)
 on_flows("a27_time_of_day", sql("SELECT hour(make_timestamp(stime_us)) AS hour, count(*) AS n FROM f WHERE stime_us IS NOT NULL GROUP BY 1"), lambda f: bins.fold_period(f, "day").groupBy(F.expr("cast(stime_us div 3600000000 as bigint)").alias("hour")).agg(F.count(F.lit(1)).alias("n")))
@@ -328,13 +333,14 @@ on_flows(
 )
 
 # --- sort, limit, ranks
-on_flows("o1_sort", sql(f"SELECT autoid, saddr, {BYTES} AS bytes FROM f ORDER BY bytes DESC, stime_us NULLS LAST, autoid"), lambda f: f.select("autoid", "saddr", "stime_us", fields.field("bytes")).orderBy(F.desc("bytes"), F.asc_nulls_last("stime_us"), "autoid").drop("stime_us"))
+on_flows("o1_sort", sql(f"SELECT autoid, saddr, {BYTES} AS bytes FROM f ORDER BY bytes DESC, stime_us NULLS LAST, autoid"), lambda f: sorting.sort(f, "-bytes stime autoid").select("autoid", "saddr", fields.field("bytes")))
+on_flows("o1_masked", sql("SELECT autoid, saddr_i & 4294901760 AS net, dport FROM f"), lambda f: sorting.sort(f, "saddr/16 -dport autoid").select("autoid", addresses.v4_net("saddr_i", 16).alias("net"), "dport"))
 on_flows("o2_top", sql("SELECT saddr, count(*) AS n FROM f GROUP BY saddr ORDER BY n DESC, saddr NULLS LAST LIMIT 20"), lambda f: f.groupBy("saddr").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("saddr")).limit(20))
 on_flows("o4_top_per_bin", sql(f"SELECT bin_us, saddr, bytes, rank FROM (SELECT *, row_number() OVER (PARTITION BY bin_us ORDER BY bytes DESC, saddr NULLS LAST) - 1 AS rank FROM (SELECT {DAY_BIN.format(s=86400000000)} AS bin_us, saddr, cast(sum({BYTES}) AS BIGINT) AS bytes FROM f WHERE stime_us IS NOT NULL GROUP BY 1, 2)) WHERE rank < 5"),
          lambda f: bins.time_bins(f, "1d", ["saddr"], "nomodify").select("bin_us", "saddr", (F.col("sbytes") + F.col("dbytes")).alias("bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("bin_us").orderBy(F.desc("bytes"), F.asc_nulls_last("saddr"))) - 1).where("rank < 5"))
-on_flows("w4_gaps", sql("SELECT saddr, daddr, proto, count(g) AS n, min(g) AS intflowmin, max(g) AS intflowmax FROM g WHERE g IS NOT NULL GROUP BY saddr, daddr, proto",
+on_flows("w4_gaps", sql("SELECT saddr, daddr, proto, count(g) AS n, round(avg(g), 4) AS intflow, min(g) AS intflowmin, max(g) AS intflowmax, round(stddev_pop(g), 2) AS intflowsdev FROM g WHERE g IS NOT NULL GROUP BY saddr, daddr, proto",
          "g AS (SELECT *, (stime_us - lag(coalesce(ltime_us, stime_us)) OVER (PARTITION BY saddr, daddr, proto ORDER BY stime_us, autoid)) / 1e6 AS g FROM f WHERE stime_us IS NOT NULL)"),
-         lambda f: inventory.gaps_between(f, KEY3).select(*KEY3, "n", "intflowmin", "intflowmax"))
+         lambda f: inventory.gaps_between(f, KEY3).select(*KEY3, "n", F.round("intflow", 4).alias("intflow"), "intflowmin", "intflowmax", F.round("intflowsdev", 2).alias("intflowsdev")))
 on_flows("s15_record_range", sql("SELECT autoid FROM (SELECT autoid, row_number() OVER (ORDER BY autoid) AS r FROM f) WHERE r BETWEEN 101 AND 200"), lambda f: bins.count_bins(f.select("autoid", "sbytes", "dbytes"), 100).where("bin = 1").select("autoid"))
 on_flows("u_intersect", sql("SELECT saddr FROM f WHERE saddr IS NOT NULL INTERSECT SELECT daddr FROM f"), lambda f: f.where("saddr is not null").select("saddr").intersect(f.select("daddr")))
 
@@ -411,16 +417,21 @@ on_flows("x13_sha1", sql("SELECT autoid, sha1(coalesce(saddr, '')) AS digest FRO
 on_flows("x15_direction_hint", sql("SELECT CASE WHEN sloc >= 3 AND dloc >= 3 THEN 'inside' WHEN sloc >= 3 THEN 'out' WHEN dloc >= 3 THEN 'in' WHEN sloc IS NULL AND dloc IS NULL THEN 'unknown' ELSE 'outside' END AS way, count(*) AS n FROM f GROUP BY 1"),
          lambda f: f.groupBy(F.when((F.col("sloc") >= 3) & (F.col("dloc") >= 3), "inside").when(F.col("sloc") >= 3, "out").when(F.col("dloc") >= 3, "in").when(F.col("sloc").isNull() & F.col("dloc").isNull(), "unknown").otherwise("outside").alias("way")).agg(F.count(F.lit(1)).alias("n")))
 _MAP = (
-    "e AS (SELECT saddr_i AS a, autoid * 2 AS t FROM f UNION ALL SELECT daddr_i, autoid * 2 + 1 FROM f)", "s AS (SELECT a, min(t) AS t, a >= 3758096384 OR a & 255 = 255 AS kept, a & 4294967040 AS net FROM e WHERE a IS NOT NULL GROUP BY a)",
+    "i AS (SELECT *, split_part(inode, '.', 1)::BIGINT * 16777216 + split_part(inode, '.', 2)::BIGINT * 65536 + split_part(inode, '.', 3)::BIGINT * 256 + split_part(inode, '.', 4)::BIGINT AS i FROM f WHERE regexp_full_match(inode, '(\\d+\\.){3}\\d+'))",
+    "e AS (SELECT saddr_i AS a, autoid * 4 AS t FROM f UNION ALL SELECT daddr_i, autoid * 4 + 1 FROM f UNION ALL SELECT i, autoid * 4 + 2 FROM i)", "s AS (SELECT a, min(t) AS t, a >= 3758096384 OR a & 255 = 255 AS kept, a & 4294967040 AS net FROM e WHERE a IS NOT NULL GROUP BY a)",
     "n AS (SELECT net, row_number() OVER (ORDER BY min(t)) AS no FROM s WHERE NOT kept GROUP BY net)", "k AS (SELECT s.*, no, row_number() OVER (PARTITION BY s.net, kept ORDER BY t) AS h FROM s LEFT JOIN n USING (net))",
-    "m AS (SELECT a AS addr_i, CASE WHEN kept THEN a ELSE 167772160 + (no - 1) * 256 + h END AS anon_i FROM k)",
+    "m AS (SELECT a AS addr_i, CASE WHEN kept THEN a ELSE (655360 + no - 1) % 14680064 * 256 + h % 255 END AS anon_i FROM k)",
 )
 _DOTTED = "(({a} >> 24) & 255) || '.' || (({a} >> 16) & 255) || '.' || (({a} >> 8) & 255) || '.' || ({a} & 255)"
 _PORT = "CASE WHEN {p} < 1024 THEN {p} WHEN {p} < 49152 THEN 1024 + ({p} - 1024 + 17) % 48128 ELSE 49152 + ({p} - 49152 + 17) % 16384 END"
 on_flows("x7_anonymize", sql(
-    "SELECT autoid, coalesce(" + _DOTTED.format(a="ms.anon_i") + ", 'x:' || left(sha256(saddr), 16)) AS saddr, coalesce(" + _DOTTED.format(a="md.anon_i") + ", 'x:' || left(sha256(daddr), 16)) AS daddr, "
-    + _PORT.format(p="sport") + " AS sport, " + _PORT.format(p="dport") + " AS dport, stime_us - 86400000000 AS stime_us, seq + 1000 AS seq, sbytes FROM f LEFT JOIN m ms ON ms.addr_i = saddr_i LEFT JOIN m md ON md.addr_i = daddr_i", *_MAP),
-    lambda f: anonymize.anonymize(f, port_offset=17, time_offset_us=-86_400_000_000, seq_offset=1000).select("autoid", "saddr", "daddr", "sport", "dport", "stime_us", "seq", "sbytes"))
+    "SELECT f.autoid, coalesce(" + _DOTTED.format(a="ms.anon_i") + ", 'x:' || left(sha256(saddr), 16)) AS saddr, coalesce(" + _DOTTED.format(a="md.anon_i") + ", 'x:' || left(sha256(daddr), 16)) AS daddr, "
+    + _PORT.format(p="sport") + " AS sport, " + _PORT.format(p="dport") + " AS dport, f.stime_us - 86400000000 AS stime_us, f.seq + 1000 AS seq, f.sbytes, coalesce(" + _DOTTED.format(a="mi.anon_i") + ", 'x:' || left(sha256(f.inode), 16)) AS inode, CASE WHEN sas = 0 THEN 0 ELSE xs.n END AS sas, CASE WHEN das = 0 THEN 0 ELSE xd.n END AS das, cs.n AS smac, cd.n AS dmac "
+    "FROM f LEFT JOIN m ms ON ms.addr_i = saddr_i LEFT JOIN m md ON md.addr_i = daddr_i LEFT JOIN (SELECT autoid, i FROM i) i USING (autoid) LEFT JOIN m mi ON mi.addr_i = i LEFT JOIN x xs ON xs.v = sas LEFT JOIN x xd ON xd.v = das LEFT JOIN c cs ON cs.v = lower(smac) LEFT JOIN c cd ON cd.v = lower(dmac)", *_MAP,
+    "x AS (SELECT v, 4200000000 + row_number() OVER (ORDER BY min(t)) - 1 AS n FROM (SELECT sas AS v, autoid * 4 AS t FROM f UNION ALL SELECT das, autoid * 4 + 1 FROM f) WHERE v <> 0 GROUP BY v)",
+    "y AS (SELECT v, min(t) AS t, v = 'ff:ff:ff:ff:ff:ff' OR ('0x' || left(v, 2))::INT & 1 = 1 AS kept FROM (SELECT lower(smac) AS v, autoid * 4 AS t FROM f UNION ALL SELECT lower(dmac), autoid * 4 + 1 FROM f) WHERE v IS NOT NULL GROUP BY v)",
+    "c AS (SELECT v, CASE WHEN kept THEN v ELSE left(v, 8) || ':' || regexp_replace(printf('%06x', row_number() OVER (PARTITION BY kept ORDER BY t) - 1), '(..)(..)(..)', '\\1:\\2:\\3') END AS n FROM y)"),
+    lambda f: anonymize.anonymize(f, port_offset=17, time_offset_us=-86_400_000_000, seq_offset=1000, keep_vendor=True).select("autoid", "saddr", "daddr", "sport", "dport", "stime_us", "seq", "sbytes", "inode", "sas", "das", "smac", "dmac"))
 on_flows("x7_address_map", sql("SELECT addr_i, anon_i FROM m", *_MAP), anonymize.address_map)
 SIGNATURES = [labels.Signature("greeting", 6, 443, "src", "68656C6C6F2D"), labels.Signature("control", 17, 53, "src", "3?00??07"), labels.Signature("short", 17, 53, "src", "0?")]
 on_flows("x9_signatures", sql("""SELECT autoid, CASE WHEN proto = 6 AND hex(suser) LIKE '68656C6C6F2D%' THEN 'greeting' WHEN proto = 17 AND hex(suser) LIKE '3_00__07%' AND (coalesce(dport = 53, false) OR coalesce(sport = 53, false)) THEN 'control'

@@ -148,3 +148,42 @@ def test_access_lists_read_or_refuse_every_word(make_flows):
 def test_rules_without_aggregation_and_with_timers():
     rules = cluster.parse_rules('filter="tcp" model="saddr" status="60" idle=5 label="status=9"\nfilter="udp" idle=0 cont')
     assert [(r.status_s, r.idle_s, r.cont) for r in rules] == [(60.0, 5.0, False), (None, None, True)]
+
+
+def test_sort_keys_masks_and_directions(spark, sf, duck):
+    from fluxmill.operators import sorting
+    from fluxmill.sources.flows import flows
+
+    got = [r[0] for r in sorting.sort(flows(spark, sf), "saddr/16 -dport autoid").select("autoid").collect()]
+    assert got == [r[0] for r in duck.execute(sql("SELECT autoid FROM f ORDER BY saddr_i & 4294901760 NULLS LAST, CASE WHEN saddr_i IS NULL THEN saddr END NULLS LAST, dport DESC NULLS LAST, autoid")).fetchall()]
+    turned = [r[0] for r in sorting.sort(flows(spark, sf), "-bytes autoid", reverse=True).select("autoid").collect()]
+    assert turned == [r[0] for r in duck.execute(sql("SELECT autoid FROM f ORDER BY coalesce(sbytes, 0) + coalesce(dbytes, 0), autoid DESC")).fetchall()]
+    assert sum(len(sorting.order(k, set())) for k in sorting.KEYS) == 91 and len(set(sorting.KEYS)) == 89
+    for bad in ("nothing", "dport/8"):
+        with pytest.raises((KeyError, ValueError)):
+            sorting.order(bad, set())
+
+
+def test_forms_of_numbers_and_payload(spark):
+    import base64
+
+    from fluxmill.functions import fields
+
+    df = spark.createDataFrame([(None,), (0,), (999,), (1000,), (-1_234_567,), (10**15,)], "n bigint")
+    assert [r[0] for r in df.select(fields.abbreviated("n")).collect()] == [None, "0", "999", "1.00K", "-1.23M", "1.00P"]
+    assert df.select(fields.abbreviated("n", 0)).collect()[4][0] == "-1M"
+    data = [None, b"", b"a", b"ab\x00c", b"login: root password: s3cret.", bytes(range(0, 256, 7))]
+    rows = spark.createDataFrame([(None if d is None else bytearray(d),) for d in data], "d binary").select(*(fields.payload("d", f).alias(f) for f in ("ascii", "obfuscate", "encode32", "encode64", "hex"))).collect()
+    assert [r["encode32"] for r in rows] == [None if d is None else base64.b32encode(d).decode() for d in data]
+    assert rows[3]["ascii"] == "ab.c" and rows[4]["obfuscate"] == "login: xxxxx password: xxxxx." and rows[2]["encode64"] == "YQ==" and rows[2]["hex"] == "61"
+
+
+def test_no_host_becomes_a_broadcast_address(make_flows):
+    from fluxmill.operators import anonymize
+
+    f = make_flows([{"saddr": f"10.1.2.{i}", "daddr": "224.0.0.5", "smac": "00:00:5e:00:00:%02x" % i, "dmac": "ff:ff:ff:ff:ff:ff", "sas": i} for i in range(256)])
+    got = {r["addr_i"]: r["anon_i"] for r in anonymize.address_map(f).collect()}
+    assert len(set(got.values())) == 257 and [a for a, n in got.items() if n & 255 == 255] == [(10 << 24) + (1 << 16) + (2 << 8) + 255]
+    rows = anonymize.anonymize(f, keep_vendor=False).collect()
+    assert len({r["smac"] for r in rows}) == 256 and all(r["smac"].startswith("02:") and r["dmac"] == "ff:ff:ff:ff:ff:ff" for r in rows)
+    assert {r["sas"] for r in rows} == {0, *range(4_200_000_000, 4_200_000_255)}
