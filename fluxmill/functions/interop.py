@@ -21,9 +21,15 @@ def seconds(text: str, now: datetime | None = None) -> tuple[float, float]:
     return r.start.timestamp(), r.end.timestamp()
 
 
-def match(df: DataFrame, baseline: DataFrame, keys: list[str]) -> np.ndarray:
-    """+2 or -2 for each record in order of autoid. For small frames handed to model code, not for whole tables."""
-    return np.array([r[0] for r in known(df, baseline, keys).orderBy("autoid").select("match").collect()])
+def match(df: DataFrame, baseline: DataFrame, keys: list[str], most: int = 1_000_000) -> np.ndarray:
+    """+2 or -2 for each record in order of autoid, for frames handed to model code; more than ``most`` rows are an error.
+
+    Whole tables are matched by :func:`fluxmill.operators.lookups.known`, which stays distributed.
+    """
+    rows = known(df, baseline, keys).orderBy("autoid").select("match").limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} records; use lookups.known")
+    return rows["match"].to_numpy()
 
 
 def critic(y_true: np.ndarray, y_pred: np.ndarray) -> float:

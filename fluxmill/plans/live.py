@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decoders, interop
-from ..operators import cluster
+from ..operators import bins, cluster
+from ..session import shared_folder
 from ..sources import formats, sinks
 from ..sources.flows import clean, flows
 from ..sources.tables import table
@@ -26,28 +29,55 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return clean(reader.parquet(at))
 
 
+#: Batches of the streams below, in order of arrival.
+PARTS = 4
+
+
+def _arriving(spark: SparkSession, d: str) -> DataFrame:
+    return clean(live.staged(table(spark, d, "argus"), "autoid", PARTS))
+
+
 _COUNTS = ", ".join(f"cast(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("spkts", "dpkts", "sbytes", "dbytes"))
+#: The batch of a record, the watermark by which it counts as late (of the batch before, so the newest start of the batches
+#: before that, less the hold time), and the watermark after the last batch, by which results are closed.
+_ARRIVAL = """z AS (SELECT min(autoid) AS lo, max(autoid) AS hi FROM f), h AS (SELECT f.*, least(3, floor((autoid - lo) / ((hi + 1 - lo) / 4.0)))::INT AS batch FROM f, z WHERE stime_us IS NOT NULL),
+m AS (SELECT b, (SELECT max(stime_us) FROM h WHERE batch < b - 1) - {hold} AS mark FROM (SELECT unnest([0, 1, 2, 3]) AS b)), l AS (SELECT h.*, coalesce(mark, -(1::BIGINT << 60)) AS mark, (SELECT max(stime_us) FROM h) - {hold} AS final FROM h JOIN m ON b = batch)"""
 
 
-@core("st2_bins", sql(f"SELECT {DAY_BIN.format(s=3600000000)} AS bin_us, proto, count(*) AS n, {_COUNTS} FROM f WHERE stime_us IS NOT NULL GROUP BY 1, 2"))
+@core("st2_bins", sql(f"SELECT bin_us, proto, count(*) AS n, {_COUNTS} FROM (SELECT *, {DAY_BIN.format(s=3600000000)} AS bin_us FROM l) WHERE bin_us + 3600000000 > mark AND bin_us + 3600000000 <= final GROUP BY 1, 2", _ARRIVAL.format(hold=21_600_000_000)))
 def st2_bins(spark: SparkSession, d: str) -> DataFrame:
-    return live.stored_result(live.time_bins(_stream(spark, d), "1 hour", "15 seconds", ["proto"]), "complete")
+    """Bins that are closed when the stored input ends, in append mode: records later than the hold time are dropped."""
+    return live.stored_result(live.time_bins(_arriving(spark, d), "1 hour", "6 hours", ["proto"]))
 
 
-@core("st2_sliding", sql("SELECT (stime_us // 1800000000 - unnest([0, 1])) * 1800000000 AS bin_us, count(*) AS n FROM f WHERE stime_us IS NOT NULL GROUP BY 1"))
+@core("st2_sliding", sql("SELECT bin_us, count(*) AS n FROM (SELECT *, (stime_us // 1800000000 - unnest([0, 1])) * 1800000000 AS bin_us FROM l) WHERE bin_us + 3600000000 > mark AND bin_us + 3600000000 <= final GROUP BY 1", _ARRIVAL.format(hold=86_400_000_000)))
 def st2_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return live.stored_result(live.time_bins(_stream(spark, d), "1 hour", "15 seconds", [], "30 minutes").select("bin_us", "n"), "complete")
+    return live.stored_result(live.time_bins(_arriving(spark, d), "1 hour", "1 day", [], "30 minutes").select("bin_us", "n"))
+
+
+@core("st4_late", sql("SELECT count(*) AS late, count(*) FILTER (bin_us + 3600000000 > final) AS open FROM (SELECT *, DAYBIN AS bin_us FROM l) WHERE bin_us + 3600000000 <= mark OR bin_us + 3600000000 > final".replace("DAYBIN", DAY_BIN.format(s=3600000000)), _ARRIVAL.format(hold=21_600_000_000)))
+def st4_late(spark: SparkSession, d: str) -> DataFrame:
+    """How many records the stream of st2_bins left out: those behind the watermark, and those of bins still open."""
+    closed = live.stored_result(live.time_bins(_arriving(spark, d), "1 hour", "6 hours", []))
+    stored = table(spark, d, "argus").where("stime_us is not null")
+    newest = stored.agg(F.max("stime_us").alias("newest"))
+    ends = stored.withColumn("one", F.lit(1)).join(F.broadcast(newest.withColumn("one", F.lit(1))), "one")  # one row
+    rest = ends.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(bins.bin_start(F.col("stime_us"), "1h") + 3_600_000_000 > F.col("newest") - 21_600_000_000, 1).otherwise(0)).alias("open"))
+    kept = closed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
+    return rest.withColumn("one", F.lit(1)).join(F.broadcast(kept.withColumn("one", F.lit(1))), "one").select((F.col("n") - F.col("kept")).alias("late"), "open")
 
 
 @core(
     "st5_sessions",
     sql(
-        "SELECT saddr, min(stime_us) AS start_us, max(stime_us) AS end_us, max(stime_us) - min(stime_us) AS duration_us, count(*) AS n FROM n GROUP BY saddr, no",
-        "n AS (SELECT *, sum(CASE WHEN d <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY saddr ORDER BY stime_us, autoid ROWS UNBOUNDED PRECEDING) AS no FROM (SELECT *, stime_us - lag(stime_us) OVER (PARTITION BY saddr ORDER BY stime_us, autoid) AS d FROM f WHERE saddr IS NOT NULL AND stime_us IS NOT NULL))",
+        "SELECT saddr, min(stime_us) AS start_us, max(stime_us) AS end_us, max(stime_us) - min(stime_us) AS duration_us, count(*) AS n FROM n GROUP BY saddr, no HAVING max(stime_us) + 1800000000 <= max(final)",
+        _ARRIVAL.format(hold=2_592_000_000_000),
+        "n AS (SELECT *, sum(CASE WHEN d <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY saddr ORDER BY stime_us, autoid ROWS UNBOUNDED PRECEDING) AS no FROM (SELECT *, stime_us - lag(stime_us) OVER (PARTITION BY saddr ORDER BY stime_us, autoid) AS d FROM l WHERE saddr IS NOT NULL AND stime_us + 1800000000 > mark))",
     ),
 )
 def st5_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return live.stored_result(live.stream_sessions(_stream(spark, d), "saddr", "stime", 1800, "90 days"), "complete")
+    """Sessions that the watermark has passed when the stored input ends, in append mode; late events within it join in."""
+    return live.stored_result(live.stream_sessions(_arriving(spark, d), "saddr", "stime", 1800, "30 days"))
 
 
 @core("st8_filter", sql("SELECT autoid, saddr, daddr FROM f WHERE proto = 6 AND status & 1 = 1 AND dport = 443"))
@@ -55,10 +85,13 @@ def st8_filter(spark: SparkSession, d: str) -> DataFrame:
     return live.stored_result(where(_stream(spark, d), "syn and tcp dst port 443").select("autoid", "saddr", "daddr"))
 
 
-@core("st6_top", "WITH " + VIEW + " SELECT saddr, cast(sum(coalesce(sbytes, 0) + coalesce(dbytes, 0)) AS BIGINT) AS bytes FROM f GROUP BY saddr ORDER BY bytes DESC, saddr LIMIT 10")
+@core("st6_top", "WITH " + VIEW + " SELECT saddr, cast(sum(coalesce(sbytes, 0) + coalesce(dbytes, 0)) AS BIGINT) AS bytes, count(*) AS n FROM f WHERE stime_us IS NOT NULL GROUP BY saddr ORDER BY bytes DESC, saddr NULLS LAST LIMIT 10")
 def st6_top(spark: SparkSession, d: str) -> DataFrame:
-    totals = _stream(spark, d).groupBy("saddr").agg(F.sum(F.coalesce("sbytes", F.lit(0)) + F.coalesce("dbytes", F.lit(0))).alias("bytes"))
-    return live.stored_result(totals, "complete").orderBy(F.desc("bytes"), "saddr").limit(10)
+    """The list after the last batch; the window is the decade, so keys that later batches do not touch have to stay."""
+    at = f"{shared_folder(spark)}/top-{uuid.uuid4().hex}"
+    seen = []
+    live.run_available(live.top_k(_arriving(spark, d), "saddr", 10, "3650 days", lambda rows, no: seen.append(no), f"{at}/lists").option("checkpointLocation", f"{at}/log"))
+    return spark.read.parquet(f"{at}/lists/list={max(seen)}").select("saddr", "bytes", "n")
 
 
 @core("st5_status")

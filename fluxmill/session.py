@@ -25,14 +25,22 @@ def build(master: str | None = None, app: str = "fluxmill", **conf: str) -> Spar
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a temporary
-    folder is used, which is then the only machine there is.
+    Only a local session, which is one machine, may go without and gets a temporary folder; on a cluster that is an error.
     """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return os.path.join(tempfile.gettempdir(), f"fluxmill-{os.getuid()}", spark.sparkContext.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read on from there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "fluxmill-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

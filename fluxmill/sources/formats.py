@@ -123,10 +123,18 @@ def read_json(spark: SparkSession, paths: list[str] | str, mapping: dict[str, st
 def read_conn_log(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
     """A sensor's tab-separated connection log: '#fields' names the columns, '-' is missing, lines with '#' are comments."""
     reader, at = _files(spark.read, paths, recursive)
-    head = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(at).where(F.col("value").startswith("#fields")).first()
-    names = head[0].split("\t")[1:] if head else list(CONN_LOG)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return to_flows(reader.schema(schema).csv(at, sep="\t", comment="#", nullValue="-", enforceSchema=True), CONN_LOG)
+    lines = _files(spark.read, paths, recursive)[0].text(at)
+    heads = lines.where(F.col("value").startswith("#fields"))
+    layouts = [r[0].split("\t")[1:] for r in heads.select("value").distinct().limit(2).collect()] or [list(CONN_LOG)]
+    if len(layouts) == 1:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in layouts[0]])
+        return to_flows(reader.schema(schema).csv(at, sep="\t", comment="#", nullValue="-", enforceSchema=True), CONN_LOG)
+    # files differ in their columns: every line is read by the title line of its own file
+    file = F.col("_metadata.file_path").alias("file")
+    titles = heads.select(file, F.slice(F.split("value", "\t"), 2, 10_000).alias("names")).groupBy("file").agg(F.max("names").alias("names"))
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(file, F.split("value", "\t").alias("parts")).join(titles, "file")
+    part = lambda n: F.nullif(F.get("parts", F.array_position("names", n).cast("int") - 1), F.lit("-"))
+    return to_flows(rows.select(*(F.when(F.array_contains("names", n), part(n)).alias(n) for n in CONN_LOG)), CONN_LOG)
 
 
 #: Columns of the text form of flow archives and the fields they stand for.
@@ -223,21 +231,28 @@ EXPORT = "version int, exporter_seq bigint, stime_us bigint, ltime_us bigint, sa
 
 
 def decode_export(data: bytes) -> Iterator[tuple]:
-    """Flow records of consecutive export packets of version 1, 5, 6, 7 or 8; a cut-off packet ends it.
+    """Flow records of consecutive export packets of version 1, 5, 6, 7 or 8; a cut-off packet or zeros to the end end it.
 
-    Version 8 holds aggregates; what an aggregate does not have is null.
+    Version 8 holds aggregates; what an aggregate does not have is null. Packets do not tell their length, so one of another
+    version or with an unknown aggregate is an error: what follows could not be found.
     """
     at = 0
     while at + 16 <= len(data):
         version, count = struct.unpack_from("!HH", data, at)
         layout = {1: (V1_HEADER, V1_RECORD), 5: (V5_HEADER, V5_RECORD), 6: (V6_HEADER, V6_RECORD), 7: (V7_HEADER, V7_RECORD), 8: (V8_HEADER, None)}.get(version)
-        if layout is None or at + layout[0].size > len(data):
+        if layout is None:
+            if not any(data[at:]):
+                return
+            raise ValueError(f"export packet of version {version} at byte {at}")
+        if at + layout[0].size > len(data):
             return
         head = layout[0].unpack_from(data, at)
         names = ()
         if version == 8:
             if head[8] not in V8_RECORDS:
-                return
+                if at + V8_HEADER.size >= len(data):
+                    return
+                raise ValueError(f"unknown aggregate {head[8]} at byte {at}")
             layout, names = (V8_HEADER, V8_RECORDS[head[8]][0]), V8_RECORDS[head[8]][1]
         uptime, sec, nsec = head[2:5]
         boot = sec * 1_000_000 + nsec // 1000 - uptime * 1000
@@ -380,7 +395,9 @@ def decode_templates(data: bytes) -> Iterator[dict]:
     while at + 20 <= len(data):
         version, count, uptime, sec, seq, source = struct.unpack_from("!HHIIII", data, at)
         if version != 9:
-            return
+            if not any(data[at:]):
+                return
+            raise ValueError(f"export packet of version {version} at byte {at}")
         at += 20
         boot, left = sec * 1_000_000 - uptime * 1000, count
         while left > 0 and at + 4 <= len(data):
@@ -416,8 +433,11 @@ def decode_samples(data: bytes) -> Iterator[dict]:
     """Flow samples of consecutive version 5 sample datagrams, each stored behind its length (four bytes).
 
     A sample stands for as many packets as its sampling rate; of its records the raw packet header is read (Ethernet,
-    optional VLAN tag, IPv4). Counter samples and other records are passed over.
+    optional VLAN tag, IPv4 or IPv6). Counter samples and other records are passed over. Datagrams carry the agent's uptime
+    but no time of day, so the records have no times.
     """
+    import ipaddress
+
     at = 0
     while at + 4 <= len(data):
         (length,) = struct.unpack_from("!I", data, at)
@@ -447,11 +467,16 @@ def decode_samples(data: bytes) -> Iterator[dict]:
                     etype, ip = struct.unpack_from("!H", raw, 12)[0], 14
                     if etype == 0x8100:
                         etype, ip = struct.unpack_from("!H", raw, 16)[0], 18
-                    if etype != 0x0800:
+                    row = {"seq": seq, "boot": None, "pkts": rate, "octets": rate * frame}
+                    if etype == 0x0800:
+                        hdr = (raw[ip] & 15) * 4
+                        row["src"], row["dst"] = struct.unpack_from("!II", raw, ip + 12)
+                        row |= {"proto": raw[ip + 9], "tos": raw[ip + 1]}
+                    elif etype == 0x86DD and len(raw) >= ip + 40:
+                        hdr = 40
+                        row |= {"src6": str(ipaddress.ip_address(raw[ip + 8 : ip + 24])), "dst6": str(ipaddress.ip_address(raw[ip + 24 : ip + 40])), "proto": raw[ip + 6], "tos": struct.unpack_from("!H", raw, ip)[0] >> 4 & 255}
+                    else:
                         continue
-                    hdr = (raw[ip] & 15) * 4
-                    src, dst = struct.unpack_from("!II", raw, ip + 12)
-                    row = {"seq": seq, "boot": 0, "first": uptime, "last": uptime, "src": src, "dst": dst, "proto": raw[ip + 9], "tos": raw[ip + 1], "pkts": rate, "octets": rate * frame}
                     if row["proto"] in (6, 17) and len(raw) >= ip + hdr + 4:
                         row["sport"], row["dport"] = struct.unpack_from("!HH", raw, ip + hdr)
                     if row["proto"] == 6 and len(raw) >= ip + hdr + 14:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .formats import FLOW_SCHEMA
+
 
 def write_text(df: DataFrame, path: str, form: str = "csv", separator: str = ",", mode: str = "overwrite") -> None:
     """'csv', 'json', 'xml' or 'parquet' files; nested columns are written as JSON text where the form is flat."""
@@ -35,7 +37,8 @@ def write_filtered(df: DataFrame, outputs: dict[str, str], reject: str | None =
 def write_split(df: DataFrame, path: str, by: str = "day", keys: tuple[str, ...] = (), max_records: int | None = None, mode: str = "overwrite") -> None:
     """Directories by time ('day', 'hour' or 'none') and key values, files of at most ``max_records``.
 
-    Rows are spread by their directory and a salt, so a directory is written by several tasks and no task opens all.
+    Rows are gathered by their directory, and a directory with more than a partition's worth of bytes is divided among as
+    many tasks as it takes (adaptive execution), so a hot day has many writers and a quiet one does not leave crumbs.
     """
     parts = {}
     if by in ("day", "hour"):
@@ -45,7 +48,7 @@ def write_split(df: DataFrame, path: str, by: str = "day", keys: tuple[str, ...]
     rows = df.withColumns(parts) if parts else df
     names = [*parts, *keys]
     if names:
-        rows = rows.repartition(*names, F.pmod(F.xxhash64(*df.columns[:4]), F.lit(8)))
+        rows = rows.hint("rebalance", *names)
     writer = rows.write.mode(mode)
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
@@ -91,10 +94,28 @@ def time_index(df: DataFrame) -> DataFrame:
     return rows.groupBy("second", "sid", "file").agg(F.min("autoid").alias("first"), F.max("autoid").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def files_between(index: DataFrame, start_s: int, end_s: int) -> list[str]:
-    """Files an indexed scan of [start_s, end_s] has to read."""
-    rows = index.where(F.col("second").between(start_s, end_s)).select("file").distinct()
-    return sorted(r[0] for r in rows.toLocalIterator())
+def files_between(index: DataFrame, start_s: int, end_s: int) -> DataFrame:
+    """Files an indexed scan of [start_s, end_s] has to read, one row each."""
+    return index.where(F.col("second").between(start_s, end_s)).select("file").distinct()
+
+
+def read_indexed(index: DataFrame, start_s: int, end_s: int, most: int = 100_000) -> DataFrame:
+    """Records of [start_s, end_s] from the files that the index names. More than ``most`` files are an error: paths have
+    to be handed to the reader by the driver, and for so many a scan of the folder is the better way."""
+    spark = index.sparkSession
+    paths = [r[0] for r in files_between(index, start_s, end_s).limit(most + 1).collect()]
+    if len(paths) > most:
+        raise ValueError(f"the index names more than {most} files")
+    if not paths:
+        return spark.createDataFrame([], FLOW_SCHEMA)
+    return spark.read.parquet(*sorted(paths)).where(F.col("stime_us").between(start_s * 1_000_000, end_s * 1_000_000 + 999_999))
+
+
+def write_keyed(df: DataFrame, path: str, keys: list[str], mode: str = "overwrite") -> None:
+    """A table of key columns, the whole record as JSON, and autoid: a number that is unique in the table and no gap-free
+    count. Numbers are drawn by the writing tasks, so nothing is gathered to give them."""
+    record = F.to_json(F.struct(*(F.base64(c).alias(c) if t == "binary" else F.col(c) for c, t in df.dtypes)))
+    df.select(F.monotonically_increasing_id().alias("_autoid"), *keys, record.alias("record")).withColumnRenamed("_autoid", "autoid" if "autoid" not in keys else "row_id").write.mode(mode).parquet(path)
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:

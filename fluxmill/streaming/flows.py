@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sessions import stream_sessions  # noqa: F401
+from ..session import shared_folder
 from ..sources.flows import clean
 from ..sources.formats import FLOW_SCHEMA
 
@@ -91,13 +92,44 @@ def events_with_flows(flows: DataFrame, events: DataFrame, within: str) -> DataF
     return a.join(b, (F.col("sid") == F.col("esid")) & (F.col("proto") == F.col("eproto")) & (F.col("dport") == F.col("port")) & near)
 
 
-def top_k(df: DataFrame, key: str, k: int, hold: str, sink: Callable[[DataFrame, int], None]):
-    """Live top list: running totals by key in update mode, the ``k`` greatest of each trigger's keys handed to ``sink``.
+def top_k(df: DataFrame, key: str, k: int, hold: str, sink: Callable[[DataFrame, int], None], at: str):
+    """Live top list: after each trigger ``sink`` gets the ``k`` greatest totals by window of ``hold`` and key, of the newest two
+    windows that have records.
 
-    Keys idle for longer than ``hold`` leave the state with their window.
+    Totals run in update mode, so a trigger hands over only the keys it touched. As totals never shrink, the new list lies
+    among these and the list before: that is kept under ``at``, a shared folder, k rows a window for the newest two windows,
+    and a repeated batch starts from the same predecessor. Keys leave the state with their window.
     """
     totals = df.where("stime is not null").withWatermark("stime", hold).groupBy(F.window("stime", hold), key).agg(F.sum(F.coalesce("sbytes", F.lit(0)) + F.coalesce("dbytes", F.lit(0))).alias("bytes"), F.count(F.lit(1)).alias("n"))
-    return totals.writeStream.outputMode("update").foreachBatch(lambda batch, no: sink(batch.orderBy(F.desc("bytes"), key).limit(k), no))
+    totals = totals.select(F.unix_micros("window.start").alias("window_us"), key, "bytes", "n")
+    spark = df.sparkSession
+
+    def rank(batch: DataFrame, no: int) -> None:
+        held = spark.read.schema(batch.schema).parquet(f"{at}/list={no - 1}") if no else batch.limit(0)
+        rows = held.unionByName(batch).groupBy("window_us", key).agg(F.max("bytes").alias("bytes"), F.max("n").alias("n"))
+        place = F.row_number().over(Window.partitionBy("window_us").orderBy(F.desc("bytes"), F.asc_nulls_last(key)))
+        best = rows.withColumn("place", place).where(F.col("place") <= k).drop("place")  # limited within each task before the window's
+        age = F.dense_rank().over(Window.partitionBy().orderBy(F.desc("window_us")))  # over k rows a window
+        best.withColumn("age", age).where("age <= 2").drop("age").coalesce(1).write.mode("overwrite").parquet(f"{at}/list={no}")
+        stored = spark.read.schema(batch.schema).parquet(f"{at}/list={no}")
+        sink(stored.orderBy(F.desc("bytes"), F.asc_nulls_last(key), "window_us").limit(k), no)
+
+    return totals.writeStream.outputMode("update").foreachBatch(rank)
+
+
+def poll(spark: SparkSession, ask: Callable[[], DataFrame], every: str, sink: Callable[[DataFrame, int], None], times: int | None = None):
+    """Asks a source that has to be polled (program, table, service) once in ``every`` and hands the answer to ``sink``.
+
+    A micro-batch is the clock, so a slow answer delays the next question and never overlaps it. ``times`` ends it.
+    """
+    asked = [0]
+
+    def tick(batch: DataFrame, no: int) -> None:
+        if times is None or asked[0] < times:
+            sink(ask(), asked[0])
+            asked[0] += 1
+
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(tick).trigger(processingTime=every)
 
 
 def with_empty_bins(batch: DataFrame, size_us: int) -> DataFrame:
@@ -186,8 +218,7 @@ def stored_result(df: DataFrame, mode: str = "append", still_open: Callable[[Dat
     ``still_open`` makes rows of the state that is left after the last batch; they end the result.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={0 if mode == 'complete' else no}")
@@ -197,6 +228,25 @@ def stored_result(df: DataFrame, mode: str = "append", still_open: Callable[[Dat
     return out.unionByName(still_open(spark.read.format("statestore").load(f"{at}/log"))) if still_open else out
 
 
+def staged(df: DataFrame, order: str, parts: int) -> DataFrame:
+    """A stored table as a stream of ``parts`` micro-batches, cut at equal steps of the number ``order``.
+
+    The parts are written one after the other to the shared folder and read one file set a trigger, so what lies behind the
+    watermark by then is late, as it would be live.
+    """
+    from ..operators.ranges import with_range
+
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    bounds = [] if lo is None or lo == hi else [lo + (hi + 1 - lo) * i / parts for i in range(1, parts)]
+    rows = with_range(df, order, bounds, "_stage")
+    for i in range(parts):
+        rows.where(F.col("_stage") == i).drop("_stage").coalesce(1).write.mode("append").parquet(at)
+        time.sleep(0.01)  # the reader takes files in the order of their times
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def latest_ranked(batch: DataFrame, key: str, by: str, k: int) -> DataFrame:
     """The ``k`` greatest rows of each key of a batch."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by)))

@@ -92,7 +92,48 @@ def test_time_index(spark, sf):
     index = sinks.time_index(f)
     assert index.agg(F.sum("n")).first()[0] == f.where("stime_us is not null").count()
     s = index.agg(F.min("second")).first()[0]
-    assert len(sinks.files_between(index, s, s)) == 1 and sinks.files_between(index, 0, 1) == []
+    assert sinks.files_between(index, s, s).count() == 1 and sinks.files_between(index, 0, 1).count() == 0
+    assert sinks.read_indexed(index, s, s + 60).count() == f.where(f"stime_us between {s * 1_000_000} and {s * 1_000_000 + 60_999_999}").count() > 0 == sinks.read_indexed(index, 0, 1).count()
+    with pytest.raises(ValueError):
+        sinks.read_indexed(index, s, s, most=0)
+
+
+def test_keyed_table(spark, sf, tmp_path):
+    f = flows(spark, sf).repartition(4)
+    sinks.write_keyed(f, str(tmp_path / "k"), ["saddr", "daddr"])
+    back = spark.read.parquet(str(tmp_path / "k"))
+    assert back.columns == ["autoid", "saddr", "daddr", "record"] and back.count() == f.count() == back.select("autoid").distinct().count()
+    assert back.select(F.get_json_object("record", "$.sid")).distinct().count() == f.select("sid").distinct().count()
+
+
+def test_logs_with_different_columns(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.log").write_text("#fields\tts\tid.orig_h\tproto\tid.resp_p\n1378080000.5\t10.0.0.1\ttcp\t443\n")
+    (tmp_path / "l" / "b.log").write_text("#fields\tid.resp_p\tproto\tts\tuid\tid.orig_h\n53\tudp\t1378080001\tC2\t10.0.0.2\n-\t-\t1378080002\tC3\t-\n")
+    got = formats.read_conn_log(spark, str(tmp_path / "l")).orderBy("stime_us").collect()
+    assert [(r["saddr"], r["proto"], r["dport"], r["label"]) for r in got] == [("10.0.0.1", 6, 443, None), ("10.0.0.2", 17, 53, '{"uid":"C2"}'), (None, None, None, '{"uid":"C3"}')]
+
+
+def test_exports_are_read_to_the_end_or_refused():
+    head = formats.V5_HEADER.pack(5, 0, 0, 0, 0, 1, 0, 0, 0)
+    assert list(formats.decode_export(head + bytes(40))) == [] and list(formats.decode_templates(bytes(64))) == []
+    for bad in (head + struct.pack("!HH", 4, 1) + bytes(30), formats.V8_HEADER.pack(8, 1, 0, 0, 0, 0, 0, 0, 99, 0, 0) + bytes(40)):
+        with pytest.raises(ValueError):
+            list(formats.decode_export(bad))
+    with pytest.raises(ValueError):
+        list(formats.decode_templates(struct.pack("!HH", 5, 1) + bytes(40)))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from fluxmill.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x")))
+    assert shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]", applicationId="x"))).endswith("/x")
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 # --- streams
@@ -149,10 +190,33 @@ def test_streaming_outputs(spark, stream_dir, tmp_path):
     live.run_available(live.fan_out(live.read_stream(spark, at), {"tcp": "tcp", "rest": "not tcp"}, str(tmp_path / "f"), str(tmp_path / "c2")))
     assert spark.read.parquet(str(tmp_path / "f/tcp")).count() == f.where("proto = 6").count() + spark.read.parquet(at).where("saddr = 'late' and proto = 6").count()
     seen = []
-    live.run_available(live.top_k(live.read_stream(spark, at), "saddr", 3, "30 days", lambda b, n: seen.append(b.count())).option("checkpointLocation", str(tmp_path / "c3")))
+    live.run_available(live.top_k(live.read_stream(spark, at), "saddr", 3, "30 days", lambda b, n: seen.append(b.count()), str(tmp_path / "lists")).option("checkpointLocation", str(tmp_path / "c3")))
     assert 3 in seen and max(seen) == 3
 
 
+def test_an_idle_heavy_key_stays_in_the_top_list(spark, make_flows, tmp_path):
+    import time
+
+    at, lists = str(tmp_path / "in"), []
+    for batch in ([("heavy", 1000), ("a", 5), ("b", 4)], [("a", 1), ("b", 9)], [("c", 2)]):
+        make_flows([{"saddr": k, "sbytes": n, "stime_us": 10**15} for k, n in batch]).coalesce(1).write.mode("append").parquet(at)
+        time.sleep(0.05)
+    live.run_available(live.top_k(live.read_stream(spark, at, 1), "saddr", 2, "1 day", lambda b, n: lists.append([(r["saddr"], r["bytes"]) for r in b.collect()]), str(tmp_path / "l")).option("checkpointLocation", str(tmp_path / "c")))
+    assert lists[:3] == [[("heavy", 1000), ("a", 5)], [("heavy", 1000), ("b", 13)], [("heavy", 1000), ("b", 13)]]
+
+
+def test_polling(spark):
+    import time
+
+    got = []
+    q = live.poll(spark, lambda: spark.range(3), "1 second", lambda df, n: got.append((n, df.count())), times=2).start()
+    until = time.time() + 40
+    while len(got) < 2 and time.time() < until:
+        time.sleep(0.2)
+    q.stop()
+    assert got == [(0, 3), (1, 3)]
+
+
 def test_stream_join(spark, stream_dir, tmp_path):
     at, f = stream_dir
     ev = f.where("dport is not null").limit(5).select("sid", F.col("stime").alias("ts"), "proto", F.col("dport").alias("port"), F.lit("prog").alias("prog"))
