@@ -21,9 +21,18 @@ def totals(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def protocols(df: DataFrame) -> DataFrame:
-    """Totals by class ('ip' for IPv4 and IPv6 together, 'other') and protocol number."""
+    """Totals by class and protocol number: 'ip' for IPv4 and IPv6 together, the rest by ethertype.
+
+    A view with the number of the ethertype (column etype) tells 'arp', 'rarp' and others as '0x88cc'; without one, and for
+    null, the class is 'other'.
+    """
     ip = F.col("saddr_i").isNotNull() | F.col("daddr_i").isNotNull() | F.col("saddr").contains(":") | F.col("daddr").contains(":")
-    return totals(df.withColumn("class", F.when(ip, "ip").otherwise("other")), "class", "proto")
+    rest = F.lit("other")
+    if "etype" in df.columns:
+        kind = F.col("etype").cast("bigint")
+        named = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(kind)), 4, "0"))
+        rest = F.when(kind.isin(0x0800, 0x86DD), "ip").when(kind == 0x0806, "arp").when(kind == 0x8035, "rarp").when(kind.isNotNull(), named).otherwise("other")
+    return totals(df.withColumn("class", F.when(ip, "ip").otherwise(rest)), "class", "proto")
 
 
 def address_types(df: DataFrame) -> DataFrame:
@@ -133,3 +142,17 @@ def gaps_between(df: DataFrame, keys: list[str], per_range: int = PER_RANGE) ->
     out = parts.groupBy(*keys).agg(n.alias("n"), s.alias("s"), q.alias("q"), F.min(F.least("lo", "b")).alias("intflowmin"), F.max(F.greatest("hi", "b")).alias("intflowmax")).where("n > 0")
     mean = F.col("s") / F.col("n")
     return out.select(*keys, "n", mean.alias("intflow"), "intflowmin", "intflowmax", F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("intflowsdev"))
+
+
+def management(man: DataFrame) -> DataFrame:
+    """Probe status records per probe and cause (any spelling): number and greatest packet count; repeated rows count once."""
+    return man.distinct().groupBy("sid", F.lower(F.trim("cause")).alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.max("pktsrcvd").alias("pkts"))
+
+
+def events(rows: DataFrame) -> DataFrame:
+    """Probe events per probe and program (its last path component): number and total load; repeated rows count once.
+
+    Cut-off and null payloads count, but add no load.
+    """
+    load = F.nullif(F.regexp_extract("payload", r"load ([0-9.]+)", 1), F.lit("")).cast("double")
+    return rows.distinct().groupBy("sid", F.element_at(F.split("prog", "/"), -1).alias("prog")).agg(F.count(F.lit(1)).alias("n"), F.sum(load).alias("load"))

@@ -101,3 +101,18 @@ def match_signatures(df: DataFrame, signatures: list[Signature], least: int = 5)
         options.append(F.when(fits & points.isNotNull(), F.struct(points.alias("points"), F.lit(s.service).alias("service"))))
     best = F.array_max(F.array_compact(F.array(*options)))
     return df.withColumn("service", best["service"])
+
+
+def way() -> Column:
+    """Direction by locality (3 and above is inside): 'inside', 'out', 'in', 'outside', or 'unknown' where neither is known."""
+    near, far = F.col("sloc") >= 3, F.col("dloc") >= 3
+    return F.when(near & far, "inside").when(near, "out").when(far, "in").when(F.col("sloc").isNull() & F.col("dloc").isNull(), "unknown").otherwise("outside")
+
+
+def available(proto: int, port: int) -> Column:
+    """Whether a record shows the service at a port answering: established for TCP, packets from the server for both; null
+    for records of anything else."""
+    answered = F.coalesce("dpkts", F.lit(0)) > 0
+    if proto == 6:
+        answered &= F.coalesce(F.col("status").bitwiseAND(F.lit(4)), F.lit(0)) != 0
+    return F.when((F.col("proto") == proto) & (F.col("dport") == port), answered)

@@ -9,17 +9,23 @@ from ..functions.addresses import v4_net
 from ..sources.flows import PAIRS
 
 
-def longest_prefix(df: DataFrame, number: str, ranges: DataFrame, values: dict[str, str], at_least: int = 0) -> DataFrame:
+def longest_prefix(df: DataFrame, number: str, ranges: DataFrame, values: dict[str, str], at_least: int = 0, mode: str = "longest") -> DataFrame:
     """Adds values of the longest range that holds the address: ``values`` maps columns of ``ranges`` to new names.
 
+    Other modes take the widest range that holds it ('super'), only an entry for the address itself ('exact', 'node'), or
+    only ranges of one mask length ('mask/24').
+
     ``ranges`` has lo and masklen. For each mask length in use (33 at most) the masked address is looked up by equality,
     the longest first, so a lookup is a hash join whose side Spark broadcasts or shuffles by its size; no row multiplies.
     A range that is listed twice counts once, with the least of its values. Null addresses and those outside all ranges
     get nulls. ``at_least`` ignores shorter prefixes.
     """
-    ranges = ranges.where(f"lo is not null and masklen is not null and masklen >= {at_least}")
+    only = {"exact": "32", "node": "32"}.get(mode) or mode.partition("mask/")[2]
+    if mode not in ("longest", "super") and not only.isdigit():
+        raise ValueError(f"no lookup mode {mode!r}")
+    ranges = ranges.where(f"lo is not null and masklen is not null and masklen >= {at_least}" + (f" and masklen = {only}" if only else ""))
     one = ranges.groupBy("lo", "masklen").agg(F.min(F.struct(*values)).alias("_v"))
-    lengths = sorted((r[0] for r in one.select("masklen").distinct().collect()), reverse=True)
+    lengths = sorted((r[0] for r in one.select("masklen").distinct().collect()), reverse=mode != "super")
     out, found = df, []
     for n in lengths:
         side = one.where(F.col("masklen") == n).select(F.col("lo").alias(f"_lo{n}"), F.col("_v").alias(f"_v{n}"))

@@ -20,7 +20,8 @@ def _fold(sums: tuple[str, ...]):
     names = ["key", "n", "first", "last", "step", *sums]
     types = [pa.string()] + [pa.int64()] * (len(names) - 1)
 
-    def states(batch: pa.RecordBatch) -> list[list]:
+    def states(batch: pa.RecordBatch) -> list[np.ndarray]:
+        """One array a field, over the keys of the batch in their order."""
         raw = batch.column("key").to_numpy(zero_copy_only=False)
         start = np.concatenate([[0], np.flatnonzero(raw[1:] != raw[:-1]) + 1])
         end = np.concatenate([start[1:] - 1, [len(raw) - 1]])
@@ -32,34 +33,44 @@ def _fold(sums: tuple[str, ...]):
         step = np.zeros(len(t), dtype=np.int64)
         step[1:] = np.where(timed[1:] & timed[:-1], t[1:] - t[:-1], 0)
         step[start] = 0
-        gone = n_timed == 0
-        found = [np.where(gone, None, t[i]) for i in (first, end)]
         amounts = [np.add.reduceat(np.asarray(batch.column(c).fill_null(0), dtype=np.int64), start) for c in sums]
-        return [list(row) for row in zip(raw[start], end - start + 1, *found, np.maximum.reduceat(step, start), *amounts)]
+        return [raw[start], end - start + 1, t[first], t[end], np.maximum.reduceat(step, start), *amounts, n_timed == 0]
+
+    def one(rows: list[np.ndarray], i: int) -> list:
+        gone = bool(rows[-1][i])
+        return [rows[0][i], int(rows[1][i]), None if gone else int(rows[2][i]), None if gone else int(rows[3][i]), *(int(x[i]) for x in rows[4:-1])]
 
     def merged(a: list, b: list) -> list:
         over = b[2] - a[3] if b[2] is not None and a[3] is not None else 0
         return [a[0], a[1] + b[1], b[2] if a[2] is None else a[2], a[3] if b[3] is None else b[3], max(a[4], b[4], over), *(x + y for x, y in zip(a[5:], b[5:]))]
 
-    def out(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+    def some(rows: list[np.ndarray], lo: int, hi: int) -> pa.RecordBatch:
+        gone = rows[-1][lo:hi]
+        columns = [pa.array(rows[0][lo:hi], types[0]), pa.array(rows[1][lo:hi]), *(pa.array(x[lo:hi], mask=gone) for x in rows[2:4]), *(pa.array(x[lo:hi]) for x in rows[4:-1])]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def out(row: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = None  # the state of the last key, which the next batch may go on with
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = states(batch)
+            n, lo = len(rows[0]), 0
             if held:
                 if held[0] == rows[0][0]:
-                    rows[0] = merged(held, rows[0])
-                else:
-                    rows.insert(0, held)
-            held = rows.pop()
-            if rows:
-                yield out(rows)
+                    held, lo = merged(held, one(rows, 0)), 1
+                if n > lo:
+                    yield out(held)
+                    held = None
+            if n > lo:
+                if n - 1 > lo:
+                    yield some(rows, lo, n - 1)
+                held = one(rows, n - 1)
         if held:
-            yield out([held])
+            yield out(held)
 
     return fold
 

@@ -94,7 +94,16 @@ def st6_top(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/lists/list={max(seen)}").select("saddr", "bytes", "n")
 
 
-@core("st5_status")
+_REPORTS = """r AS (SELECT saddr, stime_us AS s, greatest(coalesce(ltime_us, stime_us), stime_us) AS e, coalesce(sbytes, 0) + coalesce(dbytes, 0) AS b, row_number() OVER (PARTITION BY saddr ORDER BY stime_us, greatest(coalesce(ltime_us, stime_us), stime_us), coalesce(sbytes, 0) + coalesce(dbytes, 0)) AS k FROM f WHERE saddr IS NOT NULL AND stime_us IS NOT NULL),
+w AS (SELECT saddr, k, s AS s0, e AS e0, 0 AS no FROM r WHERE k = 1 UNION ALL SELECT r.saddr, r.k, CASE WHEN e0 - s0 >= 300000000 OR r.s - e0 >= 3600000000 THEN r.s ELSE least(s0, r.s) END, CASE WHEN e0 - s0 >= 300000000 OR r.s - e0 >= 3600000000 THEN r.e ELSE greatest(e0, r.e) END,
+  no + CASE WHEN e0 - s0 >= 300000000 OR r.s - e0 >= 3600000000 THEN 1 ELSE 0 END FROM w JOIN r ON r.saddr = w.saddr AND r.k = w.k + 1),
+g AS (SELECT saddr, no, min(s) AS stime_us, max(e) AS ltime_us, count(*) AS n, sum(b)::BIGINT AS bytes FROM r JOIN w USING (saddr, k) GROUP BY ALL)"""
+
+
+@core("st5_status", f"""WITH RECURSIVE {VIEW},
+{_REPORTS}
+SELECT saddr, stime_us, ltime_us, n, bytes, CASE WHEN no < max(no) OVER (PARTITION BY saddr) THEN CASE WHEN ltime_us - stime_us >= 300000000 THEN 'status' ELSE 'idle' END
+  WHEN (ltime_us + 3600000000) // 1000 < (SELECT max(s) FROM r) // 1000 - 3600000 THEN 'idle' ELSE 'open' END AS reason FROM g""")
 def st5_status(spark: SparkSession, d: str) -> DataFrame:
     return live.stored_result(live.status_reports(_stream(spark, d), ["saddr"], 300, 3600), still_open=live.open_reports)
 

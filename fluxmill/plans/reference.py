@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses, fields, timerange
 from ..operators import anonymize, bins, cluster, histogram, inventory, labels, lookups, policy, sorting
+from ..sources import sinks
 from ..sources.flows import both_ways, flows, normalised, one_way, reverse, strip
 from ..sources.tables import table
 from .filterlang import where
@@ -105,7 +106,7 @@ def _us(*t: int) -> int:
 RANGES = {
     "f15_touches": ("2013/09/10-2013/09/12", f"stime_us < {_us(2013, 9, 13)} AND coalesce(ltime_us, stime_us) >= {_us(2013, 9, 10)}"),
     "f15_contained": ("c2013/09/10.14:00-2013/09/10.18:00", f"stime_us >= {_us(2013, 9, 10, 14)} AND coalesce(ltime_us, stime_us) < {_us(2013, 9, 10, 18)}"),
-    "f15_spans": ("n2013/09/20.10:00:00-2013/09/20.10:00:30", f"stime_us <= {_us(2013, 9, 20, 10)} AND coalesce(ltime_us, stime_us) >= {_us(2013, 9, 20, 10) + 30_000_000}"),
+    "f15_spans": ("n2013/10/09.14:30:00-2013/10/09.14:30:05", f"stime_us <= {_us(2013, 10, 9, 14, 30)} AND coalesce(ltime_us, stime_us) >= {_us(2013, 10, 9, 14, 30) + 5_000_000}"),
     "f15_inverted": ("x2013/09", f"NOT coalesce(stime_us < {_us(2013, 10, 1)} AND coalesce(ltime_us, stime_us) >= {_us(2013, 9, 1)}, false)"),
     "f15_wildcard": ("****/**/**.14", "hour(make_timestamp(stime_us)) = 14"),
     "f15_relative": ("-2d+6h", f"stime_us < {_us(2013, 9, 29, 6)} AND coalesce(ltime_us, stime_us) >= {_us(2013, 9, 29)}"),
@@ -119,7 +120,7 @@ on_flows("f12_counts", sql("SELECT sid, count(*) AS n FROM f WHERE NOT coalesce(
 on_flows("f12_payload_hex", sql("SELECT autoid FROM f WHERE coalesce(hex(suser) LIKE '3C00%', false)"), lambda f: labels.grep(f, [r"s:^<\x00"]).select("autoid"))
 on_flows("f14_label", sql("SELECT autoid, label FROM f WHERE regexp_matches(label, '\"svc\":\"(dns|web)\"')"), lambda f: f.where(F.col("label").rlike('"svc":"(dns|web)"')).select("autoid", "label"))
 on_flows("f17_service_available", sql("SELECT autoid, CASE WHEN proto = 6 AND dport = 443 THEN coalesce(status & 4, 0) <> 0 AND coalesce(dpkts, 0) > 0 END AS available FROM f"),
-         lambda f: f.select("autoid", F.when((F.col("proto") == 6) & (F.col("dport") == 443), (F.coalesce(F.col("status").bitwiseAND(4), F.lit(0)) != 0) & (F.coalesce("dpkts", F.lit(0)) > 0)).alias("available")))
+         lambda f: f.select("autoid", labels.available(6, 443).alias("available")))
 
 POLICY = """access-list 101 permit tcp 10.0.0.0 0.255.255.255 any eq https
 access-list 101 deny udp any range 1000 2000 any
@@ -302,7 +303,15 @@ on_flows("a19_peers", sql("SELECT host, count(*) AS peers, count(*) FILTER (insi
 on_flows("a19_peer_lists", sql("SELECT host, parts, list(peer ORDER BY peer) AS peers FROM (SELECT *, ceil(count(*) OVER (PARTITION BY host) / 20)::INT AS parts FROM p) GROUP BY host, parts", _PEERS),
          lambda f: inventory.peer_lists(f, 20).groupBy("host", "parts").agg(F.array_sort(F.flatten(F.collect_list("peers"))).alias("peers")))
 on_flows("a19_peer_rows", sql("SELECT * FROM p", _PEERS), inventory.peer_rows)
-on_flows("a20_matrix", None, lambda f: inventory.matrix(f, "saddr", "daddr", "sbytes", 8))
+_STRONG = ("c AS (SELECT daddr AS col, sum(coalesce(sbytes, 0)) AS v FROM f WHERE daddr IS NOT NULL GROUP BY daddr ORDER BY v DESC, col LIMIT 8)", "g AS (SELECT saddr AS row, daddr AS col, sum(coalesce(sbytes, 0)) AS v FROM f WHERE daddr IN (SELECT col FROM c) GROUP BY ALL)", "t AS (SELECT row, sum(v) AS v FROM g GROUP BY row ORDER BY v DESC, row NULLS FIRST LIMIT 8)")
+
+
+def _long(m):
+    cells = F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("sbytes")) for c in m.columns[1:]))
+    return m.select(F.col("saddr").alias("row"), F.explode(cells).alias("x")).select("row", "x.col", "x.sbytes")
+
+
+on_flows("a20_matrix", sql("SELECT t.row, c.col, cast(coalesce(g.v, 0) AS BIGINT) AS sbytes FROM t CROSS JOIN c LEFT JOIN g ON g.row IS NOT DISTINCT FROM t.row AND g.col = c.col", *_STRONG), lambda f: _long(inventory.matrix(f, "saddr", "daddr", "sbytes", 8)))
 on_flows("a20_edges", sql("SELECT saddr, daddr, cast(sum(coalesce(sbytes, 0)) AS BIGINT) AS sbytes FROM f WHERE daddr IN (SELECT daddr FROM f WHERE daddr IS NOT NULL GROUP BY daddr ORDER BY sum(coalesce(sbytes, 0)) DESC, daddr LIMIT 8) GROUP BY ALL"),
          lambda f: f.join(f.where("daddr is not null").groupBy("daddr").agg(F.sum(F.coalesce("sbytes", F.lit(0))).alias("v")).orderBy(F.desc("v"), "daddr").limit(8).select("daddr"), "daddr", "left_semi").groupBy("saddr", "daddr").agg(F.sum(F.coalesce("sbytes", F.lit(0))).alias("sbytes")))
 on_flows("a21_rollup", sql("SELECT epoch_us(date_trunc('month', make_timestamp(stime_us))) AS period_us, proto, cast(sum(trans) AS BIGINT) AS trans, round(avg(dur), 6) AS mean, round(stddev_pop(dur), 4) AS stddev FROM f WHERE stime_us IS NOT NULL GROUP BY 1, 2"),
@@ -355,6 +364,9 @@ def _labelled(spark, d):
 add("j1_prefix_label", sql("SELECT f.autoid, b.v.label AS src_label, b.v.locality AS src_locality, b.v.country AS src_country FROM f LEFT JOIN b USING (saddr_i)", CIDR_SQL,
     "u AS (SELECT DISTINCT saddr_i FROM f WHERE saddr_i IS NOT NULL)", "b AS (SELECT saddr_i, arg_max(v, masklen) AS v FROM u JOIN c ON saddr_i BETWEEN lo AND hi GROUP BY saddr_i)"),
     lambda spark, d: _labelled(spark, d).select("autoid", "src_label", "src_locality", "src_country"))
+for _mode, _pick in (("super", "arg_min(v, masklen)"), ("exact", "any_value(v) FILTER (masklen = 32)"), ("mask/16", "any_value(v) FILTER (masklen = 16)")):
+    add(f"j1_{_mode.replace('/', '_')}", sql("SELECT f.autoid, b.v.label AS net_label FROM f LEFT JOIN b USING (saddr_i)", CIDR_SQL, "u AS (SELECT DISTINCT saddr_i FROM f WHERE saddr_i IS NOT NULL)", f"b AS (SELECT saddr_i, {_pick} AS v FROM u JOIN c ON saddr_i BETWEEN lo AND hi GROUP BY saddr_i)"),
+        lambda spark, d, m=_mode: lookups.longest_prefix(flows(spark, d), "saddr_i", table(spark, d, "cidr_label"), {"label": "net_label", "locality": "_l", "country": "_c"}, mode=m).select("autoid", "net_label"))
 add("j1_all_prefixes", sql("SELECT f.autoid, coalesce(labels, []) AS labels FROM f LEFT JOIN b USING (daddr_i)", "c AS (SELECT lo, hi, masklen, min(label) AS label FROM cidr_label GROUP BY ALL)",
     "b AS (SELECT daddr_i, list(label ORDER BY masklen) AS labels FROM (SELECT DISTINCT daddr_i FROM f WHERE daddr_i IS NOT NULL) JOIN c ON daddr_i BETWEEN lo AND hi GROUP BY daddr_i)"),
     lambda spark, d: lookups.matching_prefixes(flows(spark, d), "daddr_i", table(spark, d, "cidr_label"), "label").select("autoid", "labels"))
@@ -385,11 +397,11 @@ on_flows(
 on_flows("j10_known", sql(f"SELECT autoid, CASE WHEN EXISTS (SELECT 1 FROM f g WHERE g.stime_us < {CUT} AND g.saddr = f.saddr AND g.daddr = f.daddr) THEN 2 ELSE -2 END AS match FROM f WHERE stime_us >= {CUT}"),
          lambda f: lookups.known(f.where(F.col("stime_us") >= CUT), f.where(F.col("stime_us") < CUT), ["saddr", "daddr"]).select("autoid", "match"))
 add("j6_events", sql(
-    "SELECT autoid, list_sort(list(DISTINCT prog)) AS programs, count(*) AS events FROM l JOIN o ON l.sid = o.sid AND l.proto = o.proto AND l.port = o.port WHERE abs(stime_us - ts_us) <= 600000000 GROUP BY autoid",
+    "SELECT autoid, list_sort(list(DISTINCT prog)) AS programs, count(*) AS events FROM l JOIN o ON l.sid = o.sid AND l.proto = o.proto AND l.port = o.port WHERE abs(stime_us - ts_us) <= 1728000000000 GROUP BY autoid",
     "r AS (SELECT DISTINCT sid, ts, prog, payload FROM raevent WHERE payload IS NOT NULL)",
     r"o AS (SELECT sid, epoch_us(ts) AS ts_us, string_split(prog, '/')[-1] AS prog, CASE WHEN x LIKE '%tcp' THEN 6 ELSE 17 END AS proto, split_part(x, '/', 1)::INT AS port FROM (SELECT *, unnest(regexp_extract_all(payload, '(\d{1,5}/(?:tcp|udp))')) AS x FROM r))",
     "l AS (SELECT autoid, sid, proto, stime_us, sport AS port FROM f WHERE stime_us IS NOT NULL AND sport IS NOT NULL UNION SELECT autoid, sid, proto, stime_us, dport FROM f WHERE stime_us IS NOT NULL AND dport IS NOT NULL)"),
-    lambda spark, d: lookups.correlate(flows(spark, d), lookups.open_ports(table(spark, d, "raevent")), 600))
+    lambda spark, d: lookups.correlate(flows(spark, d), lookups.open_ports(table(spark, d, "raevent")), 20 * 86_400))
 
 
 def _probe_status(spark, d):
@@ -410,12 +422,21 @@ on_flows("j12_vendors", sql("SELECT vendor, count(*) AS n FROM f LEFT JOIN (VALU
 on_flows("x12_mac_classes", sql("SELECT class, count(*) AS n FROM (SELECT CASE WHEN lower(smac) = 'ff:ff:ff:ff:ff:ff' THEN 'bcast' WHEN ('0x' || left(smac, 2))::INT & 1 = 1 THEN 'mcast' WHEN ('0x' || left(smac, 2))::INT & 2 = 2 THEN 'local' ELSE 'univ' END AS class FROM f WHERE smac IS NOT NULL) GROUP BY class"), lambda f: f.where("smac is not null").groupBy(addresses.mac_class("smac").alias("class")).agg(F.count(F.lit(1)).alias("n")))
 on_flows("x4_address_class", sql("SELECT class, count(*) AS n FROM (SELECT " + V4_CASE.replace("number", "daddr_i") + V6_CASE.replace("addr", "daddr") + " AS class FROM f) GROUP BY class"), lambda f: f.groupBy(addresses.address_class("daddr_i", "daddr").alias("class")).agg(F.count(F.lit(1)).alias("n")))
 on_flows("x4_numbers", sql("SELECT autoid, saddr_i AS number FROM f"), lambda f: f.select("autoid", addresses.v4_number("saddr").alias("number")))
-on_flows("x6_labels", None, lambda f: f.where("label is not null").select("autoid", labels.text(labels.parsed("label")).alias("label")))
+_PAIRS = (
+    "j AS (SELECT autoid, daddr, label, json_valid(label) AND label LIKE '{%' AS ok FROM f WHERE label IS NOT NULL)",
+    "k AS (SELECT autoid, daddr, label, unnest(json_keys(CASE WHEN ok THEN label ELSE '{}' END)) AS k FROM j)",
+    """e AS (SELECT autoid, daddr, k, unnest(CASE json_type(label, '$."' || k || '"') WHEN 'NULL' THEN [] WHEN 'ARRAY' THEN json_extract_string(json_extract(label, '$."' || k || '"'), '$[*]') ELSE [json_extract_string(label, '$."' || k || '"')] END) AS v FROM k WHERE k <> ''
+  UNION ALL SELECT autoid, daddr, split_part(p, '=', 1), split_part(p, '=', 2) FROM (SELECT autoid, daddr, unnest(string_split(label, ':')) AS p FROM j WHERE NOT ltrim(label) LIKE '{%' AND label LIKE '%=%') WHERE split_part(p, '=', 1) <> '')""",
+)
+_JSON = "'{' || string_agg('\"' || k || '\":[\"' || array_to_string(vs, '\",\"') || '\"]', ',' ORDER BY k) || '}'"
+on_flows("x6_labels", sql(f"SELECT j.autoid, label FROM j LEFT JOIN (SELECT autoid, {_JSON} AS label FROM (SELECT autoid, k, list(v) AS vs FROM e GROUP BY ALL) GROUP BY autoid) x USING (autoid)".replace("SELECT j.autoid, label", "SELECT j.autoid, x.label AS label"), *_PAIRS),
+         lambda f: f.where("label is not null").select("autoid", labels.text(labels.parsed("label")).alias("label")))
 on_flows("x6_label_keys", sql("SELECT json_extract_string(label, '$.svc') AS svc, count(*) AS n FROM f WHERE label LIKE '{%}' AND json_extract_string(label, '$.svc') IS NOT NULL GROUP BY 1"), lambda f: f.where("label like '{%}'").select(labels.parsed("label")["svc"][0].alias("svc")).where("svc is not null").groupBy("svc").agg(F.count(F.lit(1)).alias("n")))
-on_flows("x16_label_union", None, lambda f: labels.merged_labels(f.where("label is not null"), ["daddr"]))
+on_flows("x16_label_union", sql(f"SELECT daddr, {_JSON} AS label FROM (SELECT daddr, k, list_sort(list(DISTINCT v)) AS vs FROM e GROUP BY ALL) GROUP BY daddr", *_PAIRS),
+         lambda f: labels.merged_labels(f.where("label is not null"), ["daddr"]))
 on_flows("x13_sha1", sql("SELECT autoid, sha1(coalesce(saddr, '')) AS digest FROM f"), lambda f: f.select("autoid", F.sha1(F.coalesce("saddr", F.lit(""))).alias("digest")))
 on_flows("x15_direction_hint", sql("SELECT CASE WHEN sloc >= 3 AND dloc >= 3 THEN 'inside' WHEN sloc >= 3 THEN 'out' WHEN dloc >= 3 THEN 'in' WHEN sloc IS NULL AND dloc IS NULL THEN 'unknown' ELSE 'outside' END AS way, count(*) AS n FROM f GROUP BY 1"),
-         lambda f: f.groupBy(F.when((F.col("sloc") >= 3) & (F.col("dloc") >= 3), "inside").when(F.col("sloc") >= 3, "out").when(F.col("dloc") >= 3, "in").when(F.col("sloc").isNull() & F.col("dloc").isNull(), "unknown").otherwise("outside").alias("way")).agg(F.count(F.lit(1)).alias("n")))
+         lambda f: f.groupBy(labels.way().alias("way")).agg(F.count(F.lit(1)).alias("n")))
 _MAP = (
     "i AS (SELECT *, split_part(inode, '.', 1)::BIGINT * 16777216 + split_part(inode, '.', 2)::BIGINT * 65536 + split_part(inode, '.', 3)::BIGINT * 256 + split_part(inode, '.', 4)::BIGINT AS i FROM f WHERE regexp_full_match(inode, '(\\d+\\.){3}\\d+'))",
     "e AS (SELECT saddr_i AS a, autoid * 4 AS t FROM f UNION ALL SELECT daddr_i, autoid * 4 + 1 FROM f UNION ALL SELECT i, autoid * 4 + 2 FROM i)", "s AS (SELECT a, min(t) AS t, a >= 3758096384 OR a & 255 = 255 AS kept, a & 4294967040 AS net FROM e WHERE a IS NOT NULL GROUP BY a)",
@@ -438,8 +459,8 @@ on_flows("x9_signatures", sql("""SELECT autoid, CASE WHEN proto = 6 AND hex(suse
   WHEN proto = 17 AND hex(suser) LIKE '0_%' AND (coalesce(dport = 53, false) OR coalesce(sport = 53, false)) THEN 'short' END AS service FROM f"""), lambda f: labels.match_signatures(f, SIGNATURES).select("autoid", "service"))
 
 # --- management and event records
-add("s14_management", "SELECT sid, lower(trim(cause)) AS cause, count(*) AS n, max(pktsrcvd) AS pkts FROM (SELECT DISTINCT * FROM man) GROUP BY ALL", lambda spark, d: table(spark, d, "man").distinct().groupBy("sid", F.lower(F.trim("cause")).alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.max("pktsrcvd").alias("pkts")))
+add("s14_management", "SELECT sid, lower(trim(cause)) AS cause, count(*) AS n, max(pktsrcvd) AS pkts FROM (SELECT DISTINCT * FROM man) GROUP BY ALL", lambda spark, d: inventory.management(table(spark, d, "man")))
 add("s9_events", r"SELECT sid, string_split(prog, '/')[-1] AS prog, count(*) AS n, round(sum(nullif(regexp_extract(payload, 'load ([0-9.]+)', 1), '')::DOUBLE), 2) AS load FROM (SELECT DISTINCT * FROM raevent) GROUP BY ALL",
-    lambda spark, d: table(spark, d, "raevent").distinct().groupBy("sid", F.element_at(F.split("prog", "/"), -1).alias("prog")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.nullif(F.regexp_extract("payload", r"load ([0-9.]+)", 1), F.lit("")).cast("double")), 2).alias("load")))
+    lambda spark, d: inventory.events(table(spark, d, "raevent")).withColumn("load", F.round("load", 2)))
 on_flows("k8_seconds", sql("SELECT stime_us // 1000000 AS second, sid, min(autoid) AS first, max(autoid) AS last, count(*) AS n FROM f WHERE stime_us IS NOT NULL GROUP BY ALL"),
-         lambda f: f.where("stime_us is not null").groupBy(F.expr("stime_us div 1000000").alias("second"), "sid").agg(F.min("autoid").alias("first"), F.max("autoid").alias("last"), F.count(F.lit(1)).alias("n")))
+         lambda f: sinks.time_index(f).groupBy("second", "sid").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")))
