@@ -45,7 +45,7 @@ def _hops(ttl: str) -> str:
 
 
 def _net(n: str, t: str, bits: int = 24) -> str:
-    return f"coalesce(concat_ws('.', shiftright({n}, 24) & 255, shiftright({n}, 16) & 255, CASE WHEN {n} IS NOT NULL THEN shiftright({n}, 8) & 255 END, '0/{bits}'), {t})"
+    return f"CASE WHEN {n} IS NOT NULL THEN concat_ws('.', shiftright({n}, 24) & 255, shiftright({n}, 16) & 255, shiftright({n}, 8) & 255, '0/{bits}') ELSE {t} END"
 
 
 def state_sql() -> str:

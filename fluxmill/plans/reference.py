@@ -156,6 +156,32 @@ on_flows(
   CASE WHEN sloc >= dloc OR dloc IS NULL THEN saddr ELSE daddr END AS laddr FROM f"""),
     lambda f: f.select("autoid", *(fields.field(n) for n in "bytes pkts appbytes loss".split()), *(F.round(F.expr(fields.sql(n)), k).alias(n) for n, k in (("sploss", 3), ("pcr", 6), ("smeansz", 3))), *(fields.field(n) for n in ("load", "rate", "shops", "soui", "laddr"))),
 )
+#: Derived fields and the same in SQL; numbers are compared to six decimals.
+_PER = "CASE WHEN dur > 0 THEN {} / dur ELSE 0 END"
+_LOSS = "100.0 * {p} / nullif({w} + {p}, 0)"
+_LOCAL = "(sloc >= dloc OR dloc IS NULL)"
+_CNET = "coalesce({a}_i >> 24 & 255 || '.' || ({a}_i >> 16 & 255) || '.' || ({a}_i >> 8 & 255) || '.0/24', {a})"
+_BOTH_LOSS = "(coalesce(sloss, 0) + coalesce(dloss, 0))"
+FIELD_SQL = {
+    "sload": _PER.format("coalesce(sbytes, 0) * 8"), "dload": _PER.format("coalesce(dbytes, 0) * 8"), "srate": _PER.format("coalesce(spkts, 0)"), "drate": _PER.format("coalesce(dpkts, 0)"), "load": _PER.format(BYTES + " * 8"), "rate": _PER.format(PKTS),
+    "ploss": _LOSS.format(p=_BOTH_LOSS, w=PKTS), "sploss": _LOSS.format(p="sloss", w="spkts"), "dploss": _LOSS.format(p="dloss", w="dpkts"), "pretrans": _LOSS.format(p=_BOTH_LOSS, w=PKTS), "spretrans": _LOSS.format(p="sloss", w="spkts"), "dpretrans": _LOSS.format(p="dloss", w="dpkts"),
+    "psretrans": _LOSS.format(p="sloss", w="spkts"), "pdretrans": _LOSS.format(p="dloss", w="dpkts"), "retrans": _BOTH_LOSS, "sretrans": "sloss", "dretrans": "dloss", "loss": _BOTH_LOSS, "bytes": BYTES, "pkts": PKTS, "appbytes": "coalesce(sappbytes, 0) + coalesce(dappbytes, 0)",
+    "pcr": "(coalesce(sappbytes, 0) - coalesce(dappbytes, 0)) / nullif(coalesce(sappbytes, 0) + coalesce(dappbytes, 0), 0)", "abr": "(coalesce(sappbytes, 0) - coalesce(dappbytes, 0)) / nullif(coalesce(sappbytes, 0) + coalesce(dappbytes, 0), 0)", "smeansz": "sbytes / nullif(spkts, 0)", "dmeansz": "dbytes / nullif(dpkts, 0)",
+    "shops": "list_min(list_filter([32, 64, 128, 255], lambda x: x >= sttl)) - sttl", "dhops": "list_min(list_filter([32, 64, 128, 255], lambda x: x >= dttl)) - dttl", "srcid": "sid", "loc": "greatest(sloc, dloc)", "soui": "lower(smac[:8])", "doui": "lower(dmac[:8])", "smacoui": "lower(smac[:8])", "dmacoui": "lower(dmac[:8])",
+    "laddr": f"CASE WHEN {_LOCAL} THEN saddr ELSE daddr END", "raddr": f"CASE WHEN {_LOCAL} THEN daddr ELSE saddr END", "snet": _CNET.format(a="saddr"), "dnet": _CNET.format(a="daddr"), "lnet": f"CASE WHEN {_LOCAL} THEN {_CNET.format(a='saddr')} ELSE {_CNET.format(a='daddr')} END",
+    "rnet": f"CASE WHEN {_LOCAL} THEN {_CNET.format(a='daddr')} ELSE {_CNET.format(a='saddr')} END", "state": STATE_SQL, "type": "'far'", "cause": "'status'", "sdsb": "(stos >> 2)::VARCHAR", "ddsb": "(dtos >> 2)::VARCHAR", "offset": "autoid", "rank": "autoid - 1", "runtime": "dur", "sum": "dur", "mean": "dur", "min": "dur", "max": "dur",
+    "mindur": "dur", "maxdur": "dur", "sdur": "dur", "avgdur": "dur / nullif(trans, 0)", "stddev": "0.0", "binnum": "NULL::BIGINT", "etype": "CASE WHEN saddr_i IS NOT NULL THEN 'ipv4' WHEN saddr LIKE '%:%' THEN 'ipv6' END", "svc": "CASE WHEN json_valid(label) THEN json_extract_string(label, '$.svc') END",
+    "sjit": "NULL::DOUBLE", "dvlan": "NULL::INT", "tcpopt": "NULL::VARCHAR", "dmpls": "NULL::BIGINT", "tranref": "NULL::BIGINT",
+}
+
+
+def _computed(f):
+    kinds = dict(f.select(*(F.expr(fields.sql(n)).alias(n) for n in FIELD_SQL)).dtypes)
+    return f.select("autoid", *(F.round(F.expr(fields.sql(n)), 6).alias(n) if kinds[n].startswith(("double", "decimal")) else F.expr(fields.sql(n)).alias(n) for n in FIELD_SQL))
+
+
+_TEXTUAL = {"srcid", "soui", "doui", "smacoui", "dmacoui", "laddr", "raddr", "snet", "dnet", "lnet", "rnet", "state", "type", "cause", "sdsb", "ddsb", "etype", "svc", "tcpopt"}
+on_flows("x2_derived", sql("SELECT autoid, " + ", ".join(f"{e} AS {n}" if n in _TEXTUAL else f"round(({e})::DOUBLE, 6) AS {n}" for n, e in FIELD_SQL.items()) + " FROM f"), _computed)
 on_flows("x1_metrics", sql(f"SELECT proto, round(avg({BYTES}), 3) AS bytes, round(avg(CASE WHEN dur > 0 THEN {BYTES} * 8 / dur ELSE 0 END), 1) AS load, max(greatest(sloc, dloc)) AS loc, round(avg(dbytes / nullif(dpkts, 0)), 3) AS dmeansz FROM f GROUP BY proto"),
          lambda f: f.groupBy("proto").agg(F.round(F.avg(F.expr(fields.sql("bytes"))), 3).alias("bytes"), F.round(F.avg(F.expr(fields.sql("load"))), 1).alias("load"), F.max(F.expr(fields.sql("loc"))).alias("loc"), F.round(F.avg(F.expr(fields.sql("dmeansz"))), 3).alias("dmeansz")))
 on_flows("x2_catalogue", None, lambda f: f.select("autoid", *(fields.field(n) for n in fields.NAMES if n != "autoid")))

@@ -95,3 +95,21 @@ def test_archive_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text("#:unix_secs,unix_nsecs,sysuptime,exaddr,dpkts,doctets,first,last,srcaddr,dstaddr,nexthop,srcport,dstport,prot,tos,tcp_flags,src_as,dst_as\n1378080000,5000,1,192.0.2.9,3,300,1000,2500,10.0.0.1,10.0.0.2,0.0.0.0,5,443,6,0,2,7,8\n")
     r = formats.read_archive_text(spark, str(tmp_path / "a.csv")).first()
     assert (r["stime_us"], r["dur"], r["ltime_us"], r["sid"], r["spkts"], r["saddr"], r["dport"], r["das"]) == (1378080000000005, 1.5, 1378080001500005, "192.0.2.9", 3, "10.0.0.1", 443, 8)
+
+
+def test_more_payload_decoders(spark):
+    import json
+
+    from fluxmill.functions import decoders
+
+    dhcp = bytes([1, 1, 6, 0]) + bytes(12) + bytes([10, 0, 0, 9]) + bytes(8) + bytes([2, 0, 0, 0, 0, 7]) + bytes(202) + b"\x63\x82\x53\x63"
+    samples = {
+        b"INVITE sip:a@b SIP/2.0\r\n": ("sip", "INVITE"), b"SIP/2.0 200 OK\r\n": ("sip", 200), b"DESCRIBE rtsp://x RTSP/1.0\r\n": ("rtsp", "DESCRIBE"), b"EHLO me\r\n": ("mail", "smtp"), b"220 ready\r\n": ("mail", 220), b"<34>Oct": ("syslog", 4),
+        bytes([0x23, 2]) + bytes(46): ("ntp", 4), dhcp: ("dhcp", "10.0.0.9"), b"\x30\x20\x02\x01\x01\x04\x06public\xa0": ("snmp", "public"), b"\0\x01boot.img\0octet\0": ("tftp", "boot.img"), bytes(4) + b"\xfeSMB": ("smb", 2), b"\xff" * 16 + b"\0\x1d\x01": ("bgp", 1),
+    }
+    rows = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(samples)], "i int, d binary").orderBy("i").select(decoders.decode("d")).collect()
+    for (name, value), row in zip(samples.values(), rows):
+        got = json.loads(row[0])
+        assert got["decoder"] == name and value in got.values()
+    junk = spark.createDataFrame([(bytearray(b"hello-0d"),), (bytearray(b"0\x00\xcf\x07\r"),), (bytearray(),), (None,)], "d binary")
+    assert [r[0] for r in junk.select(decoders.decode("d")).collect()] == [None] * 4
