@@ -373,9 +373,10 @@ on_flows("o1_masked", sql("SELECT autoid, saddr_i & 4294901760 AS net, dport FRO
 on_flows("o2_top", sql("SELECT saddr, count(*) AS n FROM f GROUP BY saddr ORDER BY n DESC, saddr NULLS LAST LIMIT 20"), lambda f: f.groupBy("saddr").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("saddr")).limit(20))
 on_flows("o4_top_per_bin", sql(f"SELECT bin_us, saddr, bytes, rank FROM (SELECT *, row_number() OVER (PARTITION BY bin_us ORDER BY bytes DESC, saddr NULLS LAST) - 1 AS rank FROM (SELECT {DAY_BIN.format(s=86400000000)} AS bin_us, saddr, cast(sum({BYTES}) AS BIGINT) AS bytes FROM f WHERE stime_us IS NOT NULL GROUP BY 1, 2)) WHERE rank < 5"),
          lambda f: bins.time_bins(f, "1d", ["saddr"], "nomodify").select("bin_us", "saddr", (F.col("sbytes") + F.col("dbytes")).alias("bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("bin_us").orderBy(F.desc("bytes"), F.asc_nulls_last("saddr"))) - 1).where("rank < 5"))
-on_flows("w4_gaps", sql("SELECT saddr, daddr, proto, count(g) AS n, round(avg(g), 4) AS intflow, min(g) AS intflowmin, max(g) AS intflowmax, round(stddev_pop(g), 2) AS intflowsdev FROM g WHERE g IS NOT NULL GROUP BY saddr, daddr, proto",
+#: Mean and deviation as whole numbers, away from the halves that two engines round in two ways.
+on_flows("w4_gaps", sql("SELECT saddr, daddr, proto, count(g) AS n, sum(us)::BIGINT AS total_us, min(g) AS intflowmin, max(g) AS intflowmax, floor(stddev_pop(g) * 1000 + 0.2503)::BIGINT AS sdev_ms FROM (SELECT *, round(g * 1e6)::BIGINT AS us FROM g) WHERE g IS NOT NULL GROUP BY saddr, daddr, proto",
          "g AS (SELECT *, (stime_us - lag(coalesce(ltime_us, stime_us)) OVER (PARTITION BY saddr, daddr, proto ORDER BY stime_us, autoid)) / 1e6 AS g FROM f WHERE stime_us IS NOT NULL)"),
-         lambda f: inventory.gaps_between(f, KEY3).select(*KEY3, "n", F.round("intflow", 4).alias("intflow"), "intflowmin", "intflowmax", F.round("intflowsdev", 2).alias("intflowsdev")))
+         lambda f: inventory.gaps_between(f, KEY3).select(*KEY3, "n", F.round(F.col("intflow") * F.col("n") * 1e6).cast("bigint").alias("total_us"), "intflowmin", "intflowmax", F.floor(F.col("intflowsdev") * 1000 + 0.2503).cast("bigint").alias("sdev_ms")))
 on_flows("s15_record_range", sql("SELECT autoid FROM (SELECT autoid, row_number() OVER (ORDER BY autoid) AS r FROM f) WHERE r BETWEEN 101 AND 200"), lambda f: bins.count_bins(f.select("autoid", "sbytes", "dbytes"), 100).where("bin = 1").select("autoid"))
 on_flows("u_intersect", sql("SELECT saddr FROM f WHERE saddr IS NOT NULL INTERSECT SELECT daddr FROM f"), lambda f: f.where("saddr is not null").select("saddr").intersect(f.select("daddr")))
 
