@@ -180,8 +180,8 @@ def _computed(f):
     return f.select("autoid", *(F.round(F.expr(fields.sql(n)), 6).alias(n) if kinds[n].startswith(("double", "decimal")) else F.expr(fields.sql(n)).alias(n) for n in FIELD_SQL))
 
 
-_TEXTUAL = {"srcid", "soui", "doui", "smacoui", "dmacoui", "laddr", "raddr", "snet", "dnet", "lnet", "rnet", "state", "type", "cause", "sdsb", "ddsb", "etype", "svc", "tcpopt"}
-on_flows("x2_derived", sql("SELECT autoid, " + ", ".join(f"{e} AS {n}" if n in _TEXTUAL else f"round(({e})::DOUBLE, 6) AS {n}" for n, e in FIELD_SQL.items()) + " FROM f"), _computed)
+_FRACTIONS = set("sload dload srate drate load rate ploss sploss dploss pretrans spretrans dpretrans psretrans pdretrans pcr abr smeansz dmeansz runtime sum mean min max mindur maxdur sdur avgdur stddev sjit".split())
+on_flows("x2_derived", sql("SELECT autoid, " + ", ".join(f"round(({e})::DOUBLE, 6) AS {n}" if n in _FRACTIONS else f"{e} AS {n}" for n, e in FIELD_SQL.items()) + " FROM f"), _computed)
 on_flows("x1_metrics", sql(f"SELECT proto, round(avg({BYTES}), 3) AS bytes, round(avg(CASE WHEN dur > 0 THEN {BYTES} * 8 / dur ELSE 0 END), 1) AS load, max(greatest(sloc, dloc)) AS loc, round(avg(dbytes / nullif(dpkts, 0)), 3) AS dmeansz FROM f GROUP BY proto"),
          lambda f: f.groupBy("proto").agg(F.round(F.avg(F.expr(fields.sql("bytes"))), 3).alias("bytes"), F.round(F.avg(F.expr(fields.sql("load"))), 1).alias("load"), F.max(F.expr(fields.sql("loc"))).alias("loc"), F.round(F.avg(F.expr(fields.sql("dmeansz"))), 3).alias("dmeansz")))
 on_flows("x2_catalogue", None, lambda f: f.select("autoid", *(fields.field(n) for n in fields.NAMES if n != "autoid")))
