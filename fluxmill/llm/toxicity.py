@@ -51,8 +51,9 @@ _WORD = re.compile(r"\n|\s-\s|[.;:!?\]]\s|[^\W_][^\W_@$!|+*]*(?:[@$!|+*]+[^\W_]+
 #: A binary patch as version control writes it: head, size, lines of one letter and five encoded signs at a time. Only such
 #: lines, and only below such a head, are passed over.
 _BINARY = re.compile(r"(?mi)^(GIT binary patch\n)(?:(?:literal|delta) \d+\n(?:[A-Za-z](?:[0-9A-Za-z!#$%&()*+;<=>?@^_`{|}~-]{5})+(?:\n|\Z))+\n?)+")
-#: A line that names a person by mail address; it is scored, but does not stand for a case in training.
-_PERSON = re.compile(r"(?m)^.*<[^<>\s]+@[^<>\s]+>.*$")
+#: Lines that name a person by mail address, bear a date and time, or head a file in a diff: tools write them. They are
+#: scored as any other, but do not stand for a case in training.
+_STAMP = re.compile(r"(?m)^(?:.*<[^<>\s]+@[^<>\s]+>.*|.*\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d.*|diff --git .*|index [0-9a-f]+\.\..*|(?:---|\+\+\+) [ab]/.*|Binary files .* differ)$")
 _MIXED = re.compile(r"(?=.*[a-z])(?=.*[013457@$!|+])")
 
 
@@ -163,7 +164,7 @@ def train(texts: list[str], toxic: np.ndarray, trust: np.ndarray, rounds: int =
     codes, case = _Codes(), toxic > 0.5
     parts, n = [], 0
     for k in range(0, len(texts), 200):
-        plains = (plain(_PERSON.sub("", t) if c else t) for t, c in zip(texts[k : k + 200], case[k : k + 200]))
+        plains = (plain(_STAMP.sub("", t) if c else t) for t, c in zip(texts[k : k + 200], case[k : k + 200]))
         a, f, g, t = features([_words(p) for p in plains], codes)
         order = np.argsort(a, kind="stable")
         parts.append(((a[order] + n).astype(np.int32), f[order].astype(np.int32), g[order], t + k))
