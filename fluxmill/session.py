@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Temporary folders of local sessions, removed when the process ends.
+_OWN: set[str] = set()
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -35,7 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
         return at
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    return os.path.join(tempfile.gettempdir(), f"fluxmill-{os.getuid()}", spark.sparkContext.applicationId)
+    own = os.path.join(tempfile.gettempdir(), f"fluxmill-{os.getuid()}", spark.sparkContext.applicationId)
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
