@@ -17,11 +17,12 @@ WORD = 62
 def bitmaps(df: DataFrame, scope: list[str], ident: str, group_no: str) -> DataFrame:
     """(scope, ident, word, bits): the mergeable partial result, one row for each identifier and word of 62 groups.
 
-    ``group_no`` is a whole number >= 0. Rows with a null identifier or group are left out; repeats change nothing.
+    ``group_no`` is a whole number, below 0 too (days before 1970). Rows with a null identifier or group are left out;
+    repeats change nothing.
     """
     rows = df.where(F.col(ident).isNotNull() & F.col(group_no).isNotNull())
     no = F.col(group_no).cast("bigint")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (no % WORD).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(no, F.lit(WORD)).cast("int"))
     rows = rows.select(*scope, F.col(ident).alias("ident"), F.floor(no / WORD).cast("int").alias("word"), bit.alias("bits"))
     return rows.groupBy(*scope, "ident", "word").agg(F.bit_or("bits").alias("bits"))
 

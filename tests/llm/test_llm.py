@@ -100,6 +100,29 @@ def test_membership(spark):
     assert membership.per_group(membership.patterns(membership.members(membership.bitmaps(df.limit(0), ["s"], "x", "d"), ["s"]), ["s"]), ["s"]).count() == 0
 
 
+def test_membership_below_zero(spark):
+    df = spark.range(-200, 200).selectExpr("'x' as ident", "id as d")
+    rows = membership.per_group(membership.patterns(membership.members(membership.bitmaps(df, [], "ident", "d"), []), []), []).collect()
+    assert sorted(tuple(r) for r in rows) == [(d, 1) for d in range(-200, 200)]
+
+
+@pytest.mark.parametrize("name", ["p5_across", "p5_combinations", "p5_merged"])
+def test_records_before_1970_count(spark, tmp_path, name):
+    import duckdb
+
+    rng = random.Random(6)
+    rows = [(i, rng.randint(-40, 10) * 86_400_000_000, f"h{rng.randint(0, 7)}", f"d{rng.randint(0, 40)}") for i in range(400)]
+    rows += [(400 + i, -4 * 86_400_000_000, "busy", f"own{i}") for i in range(50)]  # a Sunday
+    spark.createDataFrame(rows, "autoid bigint, stime_us bigint, saddr string, daddr string").coalesce(1).write.parquet(str(tmp_path / "argus.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW argus AS SELECT * FROM read_parquet('{tmp_path}/argus.parquet/*.parquet')")
+    df = llm.queries[name](spark, str(tmp_path))
+    got = pd.DataFrame([r.asDict() for r in df.collect()], columns=df.columns, dtype=object)
+    cur = con.execute(llm.sql[name])
+    want = pd.DataFrame(cur.fetchall(), columns=[d[0] for d in cur.description], dtype=object)
+    assert canon(got) == canon(want) and len(want)
+
+
 # --- majority votes
 
 
